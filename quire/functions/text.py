@@ -1,14 +1,16 @@
 """Scalar text rules as Spark SQL expressions.
 
-Every builder takes the SQL text of an input expression and returns the SQL
-text of the result, so a 3,816-column select list is plain string work.
-All of them stay inside whole-stage codegen (no Python UDF).
+Rules are written against a ``Program`` (see ``program.py``): each takes
+the reference of an input column and returns the SQL text of the result,
+naming repeated intermediates with ``prog.let``. All of them are built-in
+expressions and stay inside whole-stage codegen (no Python UDF).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from quire.functions.program import Program, Ref
 from quire.functions.sqltext import lit
 
 # The characters Python's ``str.strip()`` removes (``str.isspace``),
@@ -22,6 +24,9 @@ PY_WHITESPACE_CLASS = (
 # \n, \r and \r\n (which Spark's text source already splits on).
 EXTRA_LINE_BREAK_CLASS = "[\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
+# The CSV cell rule's replacements, applied in this order.
+CSV_CELL_REPLACEMENTS = ((",", " "), ("\n", " "), ('"', "'"))
+
 
 def py_strip(expr: str) -> str:
     """``str.strip()`` with no argument: Unicode whitespace at both ends."""
@@ -29,89 +34,84 @@ def py_strip(expr: str) -> str:
     return f"regexp_replace({expr}, {lit(pattern)}, '')"
 
 
-def py_float_str(expr: str) -> str:
-    """Python ``str(float)`` text of a double expression.
+def py_float_str(prog: Program, x: Ref) -> str:
+    """Python ``str(float)`` text of a double.
 
     Spark prints doubles in exponent form outside [1e-3, 1e7) (``1.0E-4``);
-    Python switches to exponent form outside [1e-4, 1e16) and writes ``1e-05``.
-    The significant digits are the same shortest round-trip digits, so only
-    the layout is rewritten.
+    Python switches to exponent form outside [1e-4, 1e16) and writes
+    ``1e-05``. The significant digits are the same round-trip digits, so
+    only the layout is rewritten, and only for values Spark wrote with ``E``.
     """
-    s = f"cast({expr} AS STRING)"
-    mant = f"substring_index({s}, 'E', 1)"
-    sign = f"if(startswith({mant}, '-'), '-', '')"
-    absm = f"ltrim('-', {mant})"
-    d0 = f"substr({absm}, 1, 1)"
-    frac = f"regexp_replace(substr({absm}, 3), '0+$', '')"
-    exp = f"cast(substring_index({s}, 'E', -1) AS INT)"
-    digits = f"concat({d0}, {frac})"
-    n = f"length({digits})"
+    s = prog.let(f"cast({x} AS STRING)", x)
+    m = prog.let(f"CASE WHEN contains({s}, 'E') THEN ltrim('-', substring_index({s}, 'E', 1)) END", s)
+    e = prog.let(f"CASE WHEN contains({s}, 'E') THEN cast(substring_index({s}, 'E', -1) AS INT) END", s)
+    frac = prog.let(f"regexp_replace(substr({m}, 3), '0+$', '')", m)
+    digits = prog.let(f"concat(substr({m}, 1, 1), {frac})", m, frac)
     fixed_pos = (
-        f"if({n} <= {exp} + 1, concat({digits}, repeat('0', {exp} + 1 - {n}), '.0'), "
-        f"concat(substr({digits}, 1, {exp} + 1), '.', substr({digits}, {exp} + 2)))"
+        f"if(length({digits}) <= {e} + 1, concat({digits}, repeat('0', {e} + 1 - length({digits})), '.0'), "
+        f"concat(substr({digits}, 1, {e} + 1), '.', substr({digits}, {e} + 2)))"
     )
-    fixed_neg = f"concat('0.', repeat('0', -{exp} - 1), {digits})"
+    fixed_neg = f"concat('0.', repeat('0', -{e} - 1), {digits})"
     sci = (
-        f"concat({d0}, if({frac} = '', '', concat('.', {frac})), 'e', "
-        f"if({exp} < 0, '-', '+'), lpad(cast(abs({exp}) AS STRING), 2, '0'))"
-    )
-    body = (
-        f"CASE WHEN {exp} BETWEEN -4 AND 15 THEN "
-        f"(CASE WHEN {exp} >= 0 THEN {fixed_pos} ELSE {fixed_neg} END) ELSE {sci} END"
+        f"concat(substr({m}, 1, 1), if({frac} = '', '', concat('.', {frac})), 'e', "
+        f"if({e} < 0, '-', '+'), if(abs({e}) < 10, '0', ''), cast(abs({e}) AS STRING))"
     )
     return (
-        f"CASE WHEN {expr} IS NULL THEN NULL "
-        f"WHEN isnan({expr}) THEN 'nan' "
-        f"WHEN {expr} = double('inf') THEN 'inf' "
-        f"WHEN {expr} = double('-inf') THEN '-inf' "
+        f"CASE WHEN {s} IS NULL THEN NULL "
+        f"WHEN {s} = 'NaN' THEN 'nan' WHEN {s} = 'Infinity' THEN 'inf' WHEN {s} = '-Infinity' THEN '-inf' "
         f"WHEN NOT contains({s}, 'E') THEN {s} "
-        f"ELSE concat({sign}, {body}) END"
+        f"ELSE concat(if(startswith({s}, '-'), '-', ''), "
+        f"CASE WHEN {e} BETWEEN -4 AND 15 THEN (CASE WHEN {e} >= 0 THEN {fixed_pos} ELSE {fixed_neg} END) "
+        f"ELSE {sci} END) END"
     )
 
 
-def py_timestamp_str(expr: str) -> str:
+def py_timestamp_str(prog: Program, x: Ref) -> str:
     """Python ``str(datetime)``: seconds always, six fraction digits if non-zero."""
-    frac = f"date_format({expr}, 'SSSSSS')"
-    return (
-        f"concat(date_format({expr}, 'yyyy-MM-dd HH:mm:ss'), "
-        f"if({frac} = '000000', '', concat('.', {frac})))"
-    )
+    frac = prog.let(f"date_format({x}, 'SSSSSS')", x)
+    return (f"concat(date_format({x}, 'yyyy-MM-dd HH:mm:ss'), "
+            f"if({frac} = '000000', '', concat('.', {frac})))")
 
 
-def py_str(expr: str, dtype: T.DataType) -> str:
+def py_str(prog: Program, x: Ref, dtype: T.DataType) -> str:
     """Python ``str(value)`` of a typed column; null stays null."""
     if isinstance(dtype, T.StringType):
-        return expr
+        return x
     if isinstance(dtype, T.BooleanType):
-        return f"CASE WHEN {expr} THEN 'True' WHEN NOT {expr} THEN 'False' END"
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return py_float_str(f"cast({expr} AS DOUBLE)")
+        return f"CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' END"
+    if isinstance(dtype, T.DoubleType):
+        return py_float_str(prog, x)
+    if isinstance(dtype, T.FloatType):
+        return py_float_str(prog, prog.let(f"cast({x} AS DOUBLE)", x))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return py_timestamp_str(expr)
-    return f"cast({expr} AS STRING)"
+        return py_timestamp_str(prog, x)
+    return f"cast({x} AS STRING)"
 
 
-def stringify(expr: str, dtype: T.DataType) -> str:
+def stringify(prog: Program, x: Ref, dtype: T.DataType) -> str:
     """Cell rule of the Parquet export: null -> '', else ``str(cell)``."""
-    return f"coalesce({py_str(expr, dtype)}, '')"
+    return f"coalesce({py_str(prog, x, dtype)}, '')"
 
 
-def sanitize(expr: str, dtype: T.DataType) -> str:
+def sanitize(prog: Program, x: Ref, dtype: T.DataType) -> str:
     """Cell rule of the CSV export: null -> '', else ``str(cell)`` with
     ``,`` -> space, newline -> space and ``"`` -> ``'``. No strip; CR kept."""
-    return f"coalesce(translate({py_str(expr, dtype)}, {lit(',' + chr(10) + chr(34))}, {lit('  ' + chr(39))}), '')"
+    out = py_str(prog, x, dtype)
+    for old, new in CSV_CELL_REPLACEMENTS:
+        out = f"replace({out}, {lit(old)}, {lit(new)})"
+    return f"coalesce({out}, '')"
 
 
-def numeric_or_text(expr: str) -> str:
-    """Numeric detection with fallback to the original text (string input).
+def numeric_or_text(prog: Program, x: Ref, dtype: T.DataType) -> str:
+    """Numeric detection with fallback to the original text (text input).
 
     Whole numbers print as integers, other numbers in Python float form,
     anything that is not a number is returned unchanged.
     """
-    whole = f"try_cast({expr} AS BIGINT)"
-    real = f"try_cast({expr} AS DOUBLE)"
-    return (
-        f"CASE WHEN {whole} IS NOT NULL THEN cast({whole} AS STRING) "
-        f"WHEN {real} IS NOT NULL THEN {py_float_str(real)} "
-        f"ELSE {expr} END"
-    )
+    if not isinstance(dtype, T.StringType):
+        return x
+    whole = prog.let(f"try_cast({x} AS BIGINT)", x)
+    real = prog.let(f"try_cast({x} AS DOUBLE)", x)
+    return (f"CASE WHEN {whole} IS NOT NULL THEN cast({whole} AS STRING) "
+            f"WHEN {real} IS NOT NULL THEN {py_float_str(prog, real)} "
+            f"ELSE {x} END")

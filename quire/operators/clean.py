@@ -6,11 +6,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from quire.functions import text
 from quire.functions.names import clean_names, duplicates
-from quire.functions.sqltext import alias, ident
+from quire.functions.program import apply_rule
 
 
 def clean_header(df: DataFrame, rules: str = "csv", raw_names: Sequence[object | None] | None = None,
@@ -42,13 +41,7 @@ def clean_header_parquet(df: DataFrame, raw_names: Sequence[object | None] | Non
 
 
 def _cellwise(df: DataFrame, rule, columns: Sequence[str] | None) -> DataFrame:
-    chosen = set(df.columns if columns is None else columns)
-    # Work on positional names so duplicate CSV headers stay addressable.
-    tmp = [f"_q{i}" for i in range(len(df.columns))]
-    exprs = []
-    for t, f in zip(tmp, df.schema.fields):
-        exprs.append(alias(rule(ident(t), f.dataType), t) if f.name in chosen else ident(t))
-    return df.toDF(*tmp).selectExpr(*exprs).toDF(*df.columns)
+    return apply_rule(df, rule, columns)
 
 
 def sanitize_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -68,10 +61,8 @@ def fill_empty(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 def numeric_or_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text cell: a number is rewritten in its numeric text form, anything
-    else keeps its original text."""
-    def rule(c: str, dtype: T.DataType) -> str:
-        return text.numeric_or_text(c) if isinstance(dtype, T.StringType) else c
-    return _cellwise(df, rule, columns)
+    else keeps its original text. Other column types are untouched."""
+    return _cellwise(df, text.numeric_or_text, columns)
 
 
 def clean_csv_table(df: DataFrame, raw_names: Sequence[object | None] | None = None) -> DataFrame:

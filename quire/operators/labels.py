@@ -29,7 +29,7 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     ``mode="strict"`` fails on a line with no separator (blank lines too);
     ``"permissive"`` drops them.
     """
-    cleaned = lines.withColumn("_t", F.expr(py_strip("translate(line, '\"', '')")))
+    cleaned = lines.withColumn("_t", F.expr(py_strip("replace(line, '\"', '')")))
     is_head = F.col("_t").endswith(":")
     rows = cleaned.select(
         "file", "block", "seq", "sub", "_t",
@@ -69,7 +69,7 @@ def read_value_labels(spark, path, mode: str = "strict") -> DataFrame:
 
 def rejected_label_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither headings nor splittable, with their position."""
-    t = F.expr(py_strip("translate(line, '\"', '')"))
+    t = F.expr(py_strip("replace(line, '\"', '')"))
     return (lines.withColumn("_t", t)
             .where(~F.col("_t").endswith(":") & F.get(F.split("_t", CODE_SEPARATOR, 2), 1).isNull())
             .select("file", "block", "seq", "sub", "line"))

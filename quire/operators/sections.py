@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.sqltext import alias, ident, lit
+from quire.functions.program import apply_rule
+from quire.functions.sqltext import ident, lit
 from quire.functions.text import py_str
 
 SectionMap = Mapping[str, Sequence[str]]
@@ -78,14 +79,16 @@ def sections_long(df: DataFrame, keys: Sequence[str], sections: SectionMap,
     One scan and one row-local ``stack`` per input row; a column in several
     sections is emitted once per section. No join, no shuffle.
     """
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    used = [c for c in df.columns if c in keys or any(c in cols for cols in sections.values())]
+    text = apply_rule(df.select(*[F.col(ident(c)) for c in used]), py_str,
+                      [c for c in used if c not in keys])
     triples = []
     for section, cols in sections.items():
         for c in cols:
-            triples += [lit(section), lit(c), py_str(ident(c), types[c])]
+            triples += [lit(section), lit(c), ident(c)]
     n = len(triples) // 3
     gen = f"stack({n}, {', '.join(triples)}) AS ({ident(section_col)}, {ident(variable_col)}, {ident(value_col)})"
-    return df.selectExpr(*[ident(k) for k in keys], gen)
+    return text.selectExpr(*[ident(k) for k in keys], gen)
 
 
 def sections_by_prefix(variables: DataFrame, rules: Sequence[tuple[str, str, str]], *,

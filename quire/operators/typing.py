@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quire.functions.sqltext import alias, ident
 from quire.functions.types import STATA_TO_SQL, UNMAPPED, sql_to_spark, type_map_column
-from quire.session import sized_broadcast
+from quire.session import sized_broadcast, spread
 
 # PostgreSQL refuses tables wider than this; wider dictionaries are split.
 PG_MAX_COLUMNS = 1600
@@ -59,6 +59,7 @@ def apply_types(df: DataFrame, types: Mapping[str, str], *, empty_as_null: bool
     columns not named keep their type. ``''`` becomes null first, and
     values that do not parse become null (``try_cast``) instead of failing.
     """
+    df = spread(df)
     exprs = []
     for f in df.schema.fields:
         if f.name in types:

@@ -69,6 +69,37 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Inputs below this estimated size may be spread over all cores.
+SMALL_INPUT_BYTES = 1 << 30
+_MIN_SPREAD_BYTES = 1 << 20
+_SPREAD_HASH_COLUMNS = 16
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes for scans)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
+        return None
+
+
+def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Round-robin a small input over all cores before CPU-heavy row work.
+
+    A Parquet file with one row group is read by one task however it is
+    split, so per-cell work on it would use one core. Only inputs estimated
+    under ``max_bytes`` are spread: a large input is already read as many
+    splits, and a full shuffle of it would cost more than it returns.
+    """
+    size = estimated_bytes(df)
+    if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
+        return df
+    # Hash of the leading columns: deterministic on retry without the sort
+    # that a round-robin repartition performs first.
+    lead = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns[:_SPREAD_HASH_COLUMNS]]
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*lead))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
