@@ -47,14 +47,37 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "
             .drop("_pid", "_off", "_mid"))
 
 
+def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The rows whose position in ``order_by`` order is below ``n``.
+
+    Only the key columns are range-sorted and checkpointed to find the
+    ``n``-th key; the full rows are then filtered to keys at or below it
+    (the leading key also as a plain comparison, which reaches the Parquet
+    scan as a pushed filter) and only that subset is numbered. The full
+    table is never sorted or written.
+    """
+    keys = list(order_by)
+    key_idx = with_row_index(df.select(*keys), keys, index_col="_pos")
+    edge = key_idx.where(F.col("_pos") == F.lit(n - 1)).select(*keys).collect()
+    if not edge:
+        return df
+    last = edge[0]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    typed = {k: F.lit(last[k]).cast(types[k]) for k in keys}
+    bound = F.struct(*[F.col(k) for k in keys]) <= F.struct(*[typed[k].alias(k) for k in keys])
+    lead = F.col(keys[0]) <= typed[keys[0]] if last[keys[0]] is not None else F.lit(True)
+    return df.where(lead & bound)
+
+
 def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` rows. Unordered: any ``n`` (a plain limit). Ordered: the
-    first ``n`` in key order, selected by global position (no single-task
-    merge of per-partition top-n lists)."""
+    first ``n`` in key order, found by global position (no single-task merge
+    of per-partition top-n lists, no sort of the full rows)."""
     if not order_by:
         return df.limit(n)
     cols = df.columns
-    return with_row_index(df, order_by, index_col="_pos").where(F.col("_pos") < n).select(*cols)
+    subset = first_rows(df, n, order_by)
+    return with_row_index(subset, order_by, index_col="_pos").where(F.col("_pos") < n).select(*cols)
 
 
 def batch_preview(df: DataFrame, order_by: Sequence[str], *, batch_size: int = 50_000,
@@ -62,8 +85,9 @@ def batch_preview(df: DataFrame, order_by: Sequence[str], *, batch_size: int = 5
                   index_col: str = "row_index") -> DataFrame:
     """Rows of the first ``max_batches`` batches, numbered from 1, with their
     0-based global position."""
-    indexed = with_row_index(df, order_by, index_col=index_col)
-    return (indexed.where(F.col(index_col) < F.lit(batch_size * max_batches))
+    cap = batch_size * max_batches
+    indexed = with_row_index(first_rows(df, cap, order_by), order_by, index_col=index_col)
+    return (indexed.where(F.col(index_col) < F.lit(cap))
             .withColumn(batch_col, F.expr(f"`{index_col}` div {int(batch_size)}") + 1))
 
 

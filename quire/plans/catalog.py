@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.types import STATA_TO_SQL
 from quire.operators import chunks, clean, combine, labels, sections, typing
+from quire.plans import convert
 from quire.plans import oracle as O
 from quire.session import read_table, scratch_path
 from quire.sinks import writers
@@ -40,6 +41,8 @@ ORDERS_DECLARED = {
 FIXTURE_CODES = ["byte", "int", "long", "float", "double", "str20", "strL", "str5"]
 # Dirty raw header cells for customer's five columns (None = empty cell).
 DIRTY_HEADER = [' c,cust\nkey "id" ', None, '\tc nation\n"key"\t', "c acct bal", "c_mktsegment"]
+# Header cells written into a raw CSV export ("" is an empty header cell).
+RAW_CSV_HEADER = [" c cust\nkey ", "", 'c,"nation"', "c acct\nbal", "c mkt segment"]
 CUSTOMER_RANGES = [("place", "c_name", "c_nationkey"), ("money", "c_acctbal", "c_acctbal"),
                    ("who", "c_name", "c_name")]
 PART_RULES = [
@@ -182,6 +185,19 @@ def q_export_parquet(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def q_csv_to_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw CSV export with a dirty header and a null token, converted to
+    all-text Parquet with the header cleaned from its raw row."""
+    cust = read_table(spark, sf, "customer").withColumn(
+        "c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    raw = cust.toDF(*RAW_CSV_HEADER)
+    src = scratch_path(spark, "raw-csv")
+    writers.write_csv(raw, src, null_token=files.NULL_TOKEN)
+    out = scratch_path(spark, "from-csv")
+    convert.csv_to_parquet(spark, src, out)
+    return spark.read.parquet(out)
+
+
 def q_export_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     orders = read_table(spark, sf, "orders")
     path = scratch_path(spark, "sheets")
@@ -211,14 +227,41 @@ def q_parse_value_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels.read_value_labels(spark, path, mode="strict")
 
 
+def q_label_table_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Codebook -> label table -> CSV (no index column) -> read back."""
+    table = labels.read_value_labels(spark, _fixture_codebook(spark, sf), mode="strict")
+    path = scratch_path(spark, "labels-csv")
+    writers.write_csv(table, path)
+    return files.read_csv(spark, path, schema="vallab string, code string, value string", null_tokens=[])
+
+
 def q_map_types(spark: SparkSession, sf: str) -> DataFrame:
     return typing.map_types(_fixture_variables(spark, sf))
 
 
+def q_map_types_join(spark: SparkSession, sf: str) -> DataFrame:
+    book = spark.createDataFrame(list(STATA_TO_SQL.items()), "code string, sql_type string")
+    return typing.map_types(_fixture_variables(spark, sf), dictionary=book)
+
+
 def q_generate_ddl(spark: SparkSession, sf: str) -> DataFrame:
     return typing.generate_ddl(typing.map_types(_fixture_variables(spark, sf)))
 
 
+def q_variables_ddl(spark: SparkSession, sf: str) -> DataFrame:
+    """Dictionary file -> DDL text file: the variables are written as CSV in
+    (dataset, part key) order, read back with their file position as the
+    ordinal, typed, turned into statements, written as text and read back."""
+    variables = _fixture_variables(spark, sf).orderBy("dataset", "ordinal").select("dataset", "name", "type")
+    vpath = scratch_path(spark, "variables")
+    writers.write_csv(variables, vpath)
+    declared = typing.map_types(files.read_variables(spark, vpath))
+    ddl = typing.generate_ddl(declared)
+    dpath = scratch_path(spark, "ddl")
+    writers.write_text(ddl, dpath, "ddl")
+    return spark.read.text(dpath).withColumnRenamed("value", "ddl")
+
+
 def q_apply_types(spark: SparkSession, sf: str) -> DataFrame:
     text = clean.stringify_cells(_orders_p_as_null(spark, sf))
     return typing.apply_types(text, ORDERS_DECLARED)
@@ -297,12 +340,16 @@ QUERIES: dict[str, Query] = {
     "clean_csv_table": q_clean_csv_table,
     "export_csv": q_export_csv,
     "export_parquet": q_export_parquet,
+    "csv_to_parquet": q_csv_to_parquet,
     "export_partitioned": q_export_partitioned,
     "tagged_scan": q_tagged_scan,
     "append_chunks": q_append_chunks,
     "parse_value_labels": q_parse_value_labels,
+    "label_table_csv": q_label_table_csv,
     "map_types": q_map_types,
+    "map_types_join": q_map_types_join,
     "generate_ddl": q_generate_ddl,
+    "variables_ddl": q_variables_ddl,
     "apply_types": q_apply_types,
     "numeric_or_text": q_numeric_or_text,
     "sections_by_prefix": q_sections_by_prefix,
@@ -375,6 +422,19 @@ def _profile_sql() -> str:
     return " UNION ALL ".join(arms)
 
 
+def _ddl_sql(variables_sql: str, only_ddl: bool = False) -> str:
+    body = (
+        f"WITH m AS (SELECT dataset, name, ordinal, {O.type_case('type')} AS sql_type FROM ({variables_sql})), "
+        "g AS (SELECT dataset, ordinal // 1600 AS part, count(*) AS n_columns, "
+        "string_agg(name || ' ' || sql_type, ',' ORDER BY ordinal) AS defs FROM m GROUP BY 1, 2), "
+        "t AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY dataset) = 1 THEN dataset "
+        "ELSE dataset || '_' || CAST(part + 1 AS VARCHAR) END AS table_name FROM g) ")
+    if only_ddl:
+        return body + "SELECT 'CREATE TABLE IF NOT EXISTS ' || table_name || ' (' || defs || ');' AS ddl FROM t"
+    return (body + "SELECT dataset, part, table_name, n_columns, "
+            "'CREATE TABLE IF NOT EXISTS ' || table_name || ' (' || defs || ');' AS ddl FROM t")
+
+
 _KEYS = ", ".join(LINEITEM_KEYS)
 
 ORACLE: dict[str, str] = {
@@ -395,14 +455,23 @@ ORACLE: dict[str, str] = {
     "clean_csv_table": _all_cells("conversations", O.sanitize),
     "export_csv": "SELECT * FROM documents",
     "export_parquet": _all_cells("orders", O.stringify),
+    "csv_to_parquet": ("SELECT CAST(c_custkey AS VARCHAR) AS c_cust_key, coalesce(c_name, '') AS col_1, "
+                       "CAST(c_nationkey AS VARCHAR) AS \"c,\"\"nation\"\"\", CAST(c_acctbal AS VARCHAR) AS c_acct_bal, "
+                       "coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS c_mkt_segment FROM customer"),
     "export_partitioned": "SELECT * FROM orders",
     "tagged_scan": ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, "
                     "o_orderpriority AS sheet FROM orders"),
     "append_chunks": "SELECT * FROM lineitem",
+    "label_table_csv": ("SELECT p_brand AS vallab, CAST(p_partkey AS VARCHAR) AS code, p_name AS value "
+                        "FROM part"),
     "parse_value_labels": ("SELECT p_brand AS vallab, CAST(p_partkey AS VARCHAR) AS code, p_name AS value "
                            "FROM part"),
     "map_types": (f"SELECT dataset, name, type, ordinal, {O.type_case('type')} AS sql_type "
                   f"FROM ({_fixture_variables_sql()})"),
+    "map_types_join": (f"SELECT dataset, name, type, ordinal, {O.type_case('type')} AS sql_type "
+                       f"FROM ({_fixture_variables_sql()})"),
+    "variables_ddl": _ddl_sql(f"SELECT dataset, name, type, row_number() OVER (ORDER BY dataset, ordinal) - 1 "
+                              f"AS ordinal FROM ({_fixture_variables_sql()})", only_ddl=True),
     "generate_ddl": (
         f"WITH m AS (SELECT dataset, name, ordinal, {O.type_case('type')} AS sql_type "
         f"FROM ({_fixture_variables_sql()})), "

@@ -137,13 +137,19 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_variables(spark: SparkSession, path: str | Sequence[str], *,
                    dataset: str | None = None) -> DataFrame:
     """Variable dictionary CSV (at least ``name`` and ``type``), all rows,
-    with its declared order as ``ordinal`` (position in the file)."""
-    lines = read_csv(spark, path, null_tokens=(), multiline=False)
-    cols = [c for c in lines.columns]
-    with_pos = lines.withColumn("_rid", F.monotonically_increasing_id())
+    with its declared order as ``ordinal`` (0-based position over the files
+    in path order, then line order)."""
     from quire.operators.chunks import with_row_index  # local: avoids a cycle
 
-    indexed = with_row_index(with_pos, ["_rid"], index_col="ordinal")
+    lines = read_csv(spark, path, null_tokens=(), multiline=False)
+    cols = list(lines.columns)
+    pos = lines.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_rid"),
+    )
+    indexed = with_row_index(pos, ["_file", "_block", "_rid"], index_col="ordinal")
     out = indexed.select(*cols, "ordinal")
     if dataset is not None:
         out = out.withColumn("dataset", F.lit(dataset))
