@@ -49,22 +49,29 @@ def apply_rule(df: DataFrame, rule: Rule, columns: Sequence[str] | None = None,
                spread_input: bool = True) -> DataFrame:
     """Apply ``rule`` to every (or the chosen) column; others pass through.
 
-    Columns are addressed by position, so duplicate names survive. A small
-    input is first spread over all cores (``session.spread``).
+    One projection when no rule names an intermediate; otherwise one extra
+    projection per level of intermediates. Duplicate column names (kept by
+    the CSV header rules) are handled by working on positional names. A
+    small input is first spread over all cores (``session.spread``).
     """
     chosen = set(df.columns if columns is None else columns)
-    tmp = [f"_q{i}" for i in range(len(df.columns))]
-    work = (spread(df) if spread_input else df).toDF(*tmp)
+    names = list(df.columns)
+    positional = len({n.lower() for n in names}) != len(names)
+    work_names = [f"_q{i}" for i in range(len(names))] if positional else names
+    work = spread(df) if spread_input else df
+    if positional:
+        work = work.toDF(*work_names)
     finals: list[str] = []
     defs: list[tuple[str, str, int]] = []
-    for t, f in zip(tmp, df.schema.fields):
+    for i, (w, f) in enumerate(zip(work_names, df.schema.fields)):
         if f.name in chosen:
-            prog = Program(f"{t}t")
-            finals.append(f"{rule(prog, Ref(ident(t), 0), f.dataType)} AS {ident(t)}")
+            prog = Program(f"_q{i}t")
+            finals.append(f"{rule(prog, Ref(ident(w), 0), f.dataType)} AS {ident(w)}")
             defs += prog.defs
         else:
-            finals.append(ident(t))
+            finals.append(ident(w))
     for level in sorted({d[2] for d in defs}):
         new = [f"{expr} AS {ident(name)}" for name, expr, lv in defs if lv == level]
         work = work.selectExpr("*", *new)
-    return work.selectExpr(*finals).toDF(*df.columns)
+    out = work.selectExpr(*finals)
+    return out.toDF(*names) if positional else out

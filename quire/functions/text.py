@@ -37,40 +37,31 @@ def py_strip(expr: str) -> str:
 def py_float_str(prog: Program, x: Ref) -> str:
     """Python ``str(float)`` text of a double.
 
-    Spark prints doubles in exponent form outside [1e-3, 1e7) (``1.0E-4``);
-    Python switches to exponent form outside [1e-4, 1e16) and writes
-    ``1e-05``. The significant digits are the same round-trip digits, so
-    only the layout is rewritten, and only for values Spark wrote with ``E``.
+    Both print the same shortest round-trip digits; only the layout
+    differs. Spark writes plain text in [1e-3, 1e7) like Python. Python keeps
+    plain text down to 1e-4 and up to 1e16: there the digits are re-laid out
+    through a decimal parse of Spark's text (exact, no binary expansion).
+    Beyond, Python's exponent form differs from Spark's only in spelling
+    (``1e-05`` vs ``1.0E-5``). ``x`` should be a column or a cheap expression.
     """
-    s = prog.let(f"cast({x} AS STRING)", x)
-    m = prog.let(f"CASE WHEN contains({s}, 'E') THEN ltrim('-', substring_index({s}, 'E', 1)) END", s)
-    e = prog.let(f"CASE WHEN contains({s}, 'E') THEN cast(substring_index({s}, 'E', -1) AS INT) END", s)
-    frac = prog.let(f"regexp_replace(substr({m}, 3), '0+$', '')", m)
-    digits = prog.let(f"concat(substr({m}, 1, 1), {frac})", m, frac)
-    fixed_pos = (
-        f"if(length({digits}) <= {e} + 1, concat({digits}, repeat('0', {e} + 1 - length({digits})), '.0'), "
-        f"concat(substr({digits}, 1, {e} + 1), '.', substr({digits}, {e} + 2)))"
-    )
-    fixed_neg = f"concat('0.', repeat('0', -{e} - 1), {digits})"
-    sci = (
-        f"concat(substr({m}, 1, 1), if({frac} = '', '', concat('.', {frac})), 'e', "
-        f"if({e} < 0, '-', '+'), if(abs({e}) < 10, '0', ''), cast(abs({e}) AS STRING))"
-    )
+    s = f"cast({x} AS STRING)"
+    fixed = (f"regexp_replace(regexp_replace(cast(cast({s} AS DECIMAL(38, 22)) AS STRING), "
+             f"'0+$', ''), '\\\\.$', '.0')")
+    sci = (f"replace(regexp_replace(regexp_replace(regexp_replace({s}, '\\\\.0E', 'E'), "
+           f"'E(-?)([0-9])$', 'E$10$2'), 'E([0-9])', 'e+$1'), 'E-', 'e-')")
     return (
-        f"CASE WHEN {s} IS NULL THEN NULL "
-        f"WHEN {s} = 'NaN' THEN 'nan' WHEN {s} = 'Infinity' THEN 'inf' WHEN {s} = '-Infinity' THEN '-inf' "
-        f"WHEN NOT contains({s}, 'E') THEN {s} "
-        f"ELSE concat(if(startswith({s}, '-'), '-', ''), "
-        f"CASE WHEN {e} BETWEEN -4 AND 15 THEN (CASE WHEN {e} >= 0 THEN {fixed_pos} ELSE {fixed_neg} END) "
-        f"ELSE {sci} END) END"
+        f"CASE WHEN {x} IS NULL THEN NULL "
+        f"WHEN isnan({x}) THEN 'nan' WHEN {x} = double('inf') THEN 'inf' "
+        f"WHEN {x} = double('-inf') THEN '-inf' "
+        f"WHEN {x} = 0 OR (abs({x}) >= 1e-3 AND abs({x}) < 1e7) THEN {s} "
+        f"WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e16 THEN {fixed} "
+        f"ELSE {sci} END"
     )
 
 
 def py_timestamp_str(prog: Program, x: Ref) -> str:
     """Python ``str(datetime)``: seconds always, six fraction digits if non-zero."""
-    frac = prog.let(f"date_format({x}, 'SSSSSS')", x)
-    return (f"concat(date_format({x}, 'yyyy-MM-dd HH:mm:ss'), "
-            f"if({frac} = '000000', '', concat('.', {frac})))")
+    return f"regexp_replace(date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '\\\\.000000$', '')"
 
 
 def py_str(prog: Program, x: Ref, dtype: T.DataType) -> str:
@@ -82,7 +73,7 @@ def py_str(prog: Program, x: Ref, dtype: T.DataType) -> str:
     if isinstance(dtype, T.DoubleType):
         return py_float_str(prog, x)
     if isinstance(dtype, T.FloatType):
-        return py_float_str(prog, prog.let(f"cast({x} AS DOUBLE)", x))
+        return py_float_str(prog, Ref(f"cast({x} AS DOUBLE)", x.level))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return py_timestamp_str(prog, x)
     return f"cast({x} AS STRING)"

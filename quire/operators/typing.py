@@ -45,10 +45,10 @@ def _typed_expr(col: str, target: T.DataType, empty_as_null: bool) -> str:
     if isinstance(target, T.StringType):
         return src
     if isinstance(target, (T.ShortType, T.IntegerType, T.LongType, T.ByteType)):
-        # Integer codes sometimes arrive as "3.0": accept whole numbers.
+        # Integer codes sometimes arrive float-formatted ("3.0", "1e2"):
+        # accept any whole number; "3.5" stays unparseable.
         d = f"try_cast({src} AS DOUBLE)"
-        return (f"coalesce(try_cast({src} AS {t}), "
-                f"CASE WHEN {d} = floor({d}) THEN try_cast({d} AS {t}) END)")
+        return f"coalesce(try_cast({src} AS {t}), CASE WHEN {d} % 1 = 0 THEN try_cast({d} AS {t}) END)"
     return f"try_cast({src} AS {t})"
 
 

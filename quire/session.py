@@ -73,6 +73,7 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
 SMALL_INPUT_BYTES = 1 << 30
 _MIN_SPREAD_BYTES = 1 << 20
 _SPREAD_HASH_COLUMNS = 16
+_MAX_SPREAD_COLUMNS = 256
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -91,6 +92,8 @@ def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     under ``max_bytes`` are spread: a large input is already read as many
     splits, and a full shuffle of it would cost more than it returns.
     """
+    if len(df.columns) > _MAX_SPREAD_COLUMNS:
+        return df  # shuffling very wide rows costs more than the per-cell work
     size = estimated_bytes(df)
     if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
         return df
