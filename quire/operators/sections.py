@@ -66,6 +66,20 @@ def section_head(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n:
     return project_section(df, keys, columns).orderBy(*[F.col(ident(k)) for k in keys]).limit(n)
 
 
+def section_heads(df: DataFrame, keys: Sequence[str], sections: SectionMap, n: int = 5,
+                  section_col: str = "section", variable_col: str = "variable",
+                  value_col: str = "value") -> DataFrame:
+    """The first ``n`` rows (by key) of every section, in one long table.
+
+    All sections share their rows, so the head rows are found once (a
+    top-``n`` over the key and the used columns only) and then unpivoted;
+    the source is scanned once, not once per section.
+    """
+    used = list(dict.fromkeys([*keys, *[c for cols in sections.values() for c in cols]]))
+    head = df.select(*[F.col(ident(c)) for c in used]).orderBy(*[F.col(ident(k)) for k in keys]).limit(n)
+    return sections_long(head, keys, sections, section_col, variable_col, value_col)
+
+
 def split_sections(df: DataFrame, keys: Sequence[str], sections: SectionMap) -> dict[str, DataFrame]:
     """One pruned projection per section over the same source."""
     return {name: project_section(df, keys, cols) for name, cols in sections.items()}

@@ -283,6 +283,12 @@ def q_split_sections(spark: SparkSession, sf: str) -> DataFrame:
     return sections.sections_long(cust, ["c_custkey"], smap)
 
 
+def q_section_heads(spark: SparkSession, sf: str) -> DataFrame:
+    cust = read_table(spark, sf, "customer")
+    smap = sections.sections_from_ranges(cust.columns, CUSTOMER_RANGES)
+    return sections.section_heads(cust, ["c_custkey"], smap, 5)
+
+
 def q_batch_preview(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.batch_preview(read_table(spark, sf, "lineitem"), LINEITEM_KEYS,
                                 batch_size=1000, max_batches=50)
@@ -354,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "numeric_or_text": q_numeric_or_text,
     "sections_by_prefix": q_sections_by_prefix,
     "split_sections": q_split_sections,
+    "section_heads": q_section_heads,
     "batch_preview": q_batch_preview,
     "scan_row_cap": q_scan_row_cap,
     "chunk_manifest": q_chunk_manifest,
@@ -404,13 +411,13 @@ def _prefix_sql() -> str:
     return " UNION ALL ".join(arms)
 
 
-def _split_sql() -> str:
+def _split_sql(source: str = "customer") -> str:
     arms = []
     cols = TABLE_COLUMNS["customer"]
     for sec, first, last in CUSTOMER_RANGES:
         for c in cols[cols.index(first):cols.index(last) + 1]:
             arms.append(f"SELECT c_custkey, {O.s(sec)} AS section, {O.s(c)} AS variable, "
-                        f"CAST({c} AS VARCHAR) AS value FROM customer")
+                        f"CAST({c} AS VARCHAR) AS value FROM {source}")
     return " UNION ALL ".join(arms)
 
 
@@ -485,6 +492,7 @@ ORACLE: dict[str, str] = {
     "numeric_or_text": _all_cells("customer", lambda c, k: O.numeric_or_text(O.stringify(c, k))),
     "sections_by_prefix": _prefix_sql(),
     "split_sections": _split_sql(),
+    "section_heads": _split_sql("(SELECT * FROM customer ORDER BY c_custkey LIMIT 5)"),
     "batch_preview": (
         "SELECT * EXCLUDE (rn), rn - 1 AS row_index, (rn - 1) // 1000 + 1 AS batch FROM "
         f"(SELECT *, row_number() OVER (ORDER BY {_KEYS}) AS rn FROM lineitem) WHERE rn <= 50000"),

@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType | str, sink: str,
                        checkpoint: str, *, fmt: str = "parquet",
                        transform: Callable[[DataFrame], DataFrame] | None = None,
-                       max_files_per_trigger: int = 1, sink_format: str = "parquet",
+                       max_files_per_trigger: int = 1000, sink_format: str = "parquet",
                        sink_options: dict[str, str] | None = None,
                        source_options: dict[str, str] | None = None) -> list[dict]:
     """Process every file under ``source`` not yet seen by ``checkpoint``.
 
-    A fixed schema, ``maxFilesPerTrigger`` batches and an ``availableNow``
-    trigger: the query drains what is there and stops. Re-running picks up
+    A fixed schema, batches of at most ``max_files_per_trigger`` files (the
+    bounded chunk; each batch is converted by all tasks in parallel) and an
+    ``availableNow`` trigger: the query drains what is there and stops. Re-running picks up
     only new files; the file sink's log makes output exactly-once. Returns
     the per-batch progress (rows per batch, the running count is their sum).
     """
