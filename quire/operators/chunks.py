@@ -64,9 +64,12 @@ def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     last = edge[0]
     types = {f.name: f.dataType for f in df.schema.fields}
     typed = {k: F.lit(last[k]).cast(types[k]) for k in keys}
+    # Struct order is field by field with nulls first, as the ascending sort.
     bound = F.struct(*[F.col(k) for k in keys]) <= F.struct(*[typed[k].alias(k) for k in keys])
-    lead = F.col(keys[0]) <= typed[keys[0]] if last[keys[0]] is not None else F.lit(True)
-    return df.where(lead & bound)
+    if last[keys[0]] is None:
+        return df.where(F.col(keys[0]).isNull() & bound)
+    lead = F.col(keys[0]).isNull() | (F.col(keys[0]) <= typed[keys[0]])
+    return df.where(lead & (F.col(keys[0]).isNull() | bound))
 
 
 def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -40,3 +40,12 @@ def test_chunk_manifest_invariants(spark):
     assert all(r["n_columns"] == len(li.columns) for r in rows)
     empty = li.where("false")
     assert chunks.chunk_manifest(empty, 10).count() == 0
+
+
+def test_row_cap_with_null_keys(spark):
+    rows = [(None, 1), (None, None), (1, None), (1, 2), (2, 1), (None, 3), (3, 3), (0, 5)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    want = sorted(rows, key=lambda r: tuple((v is not None, v or 0) for v in r))
+    for n in range(1, len(rows) + 1):
+        got = [tuple(r) for r in chunks.scan_row_cap(df, n, order_by=["a", "b"]).collect()]
+        assert sorted(got, key=repr) == sorted(want[:n], key=repr), n
