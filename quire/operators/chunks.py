@@ -4,9 +4,11 @@ A global row number is built without an unpartitioned window: range
 partition + sort within partitions, then each row's local position
 (low 33 bits of ``monotonically_increasing_id``) plus the row count of all
 earlier partitions. The per-partition counts table has one row per
-partition, so broadcasting it has a proven size bound. The sorted frame is
-checkpointed (reliable storage) so both reads see the same rows and an
-executor loss does not recompute a different order.
+partition, so broadcasting it has a proven size bound. The sorted frame,
+with its row ids, is written once as a table in the shared checkpoint
+space (``session.materialize``), so both reads see the same rows, an
+executor loss does not recompute a different order, and the count pass
+reads a single column.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_dir
+from quire.session import materialize
 
 _LOCAL_BITS = 33
 
@@ -26,16 +28,14 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "
                    num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based global position in ``order_by`` order.
 
-    ``order_by`` should be unique; ties get an arbitrary but stable order
-    once checkpointed.
+    ``order_by`` should be unique; ties get an arbitrary order, fixed once
+    the ids are written.
     """
-    checkpoint_dir(df.sparkSession)
     keys = [F.col(c) for c in order_by]
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
               else df.repartitionByRange(*keys))
-    ordered = (ranged.sortWithinPartitions(*keys)
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .checkpoint(eager=True))
+    ordered = materialize(ranged.sortWithinPartitions(*keys)
+                          .withColumn("_mid", F.monotonically_increasing_id()), "row-index")
     pid = F.shiftrightunsigned("_mid", _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
@@ -50,7 +50,7 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The rows whose position in ``order_by`` order is below ``n``.
 
-    Only the key columns are range-sorted and checkpointed to find the
+    Only the key columns are range-sorted and written out to find the
     ``n``-th key; the full rows are then filtered to keys at or below it
     (the leading key also as a plain comparison, which reaches the Parquet
     scan as a pushed filter) and only that subset is numbered. The full

@@ -62,6 +62,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/quire-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint space and read
+    it back: the lineage is cut, the rows are computed once, and later reads
+    prune columns. Survives executor loss (reliable storage)."""
+    path = scratch_path(df.sparkSession, name)
+    # Scratch data is read once or twice: favour encode speed over size.
+    df.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when a count proves it small; otherwise return it
     unchanged so the planner shuffles (with AQE skew handling)."""

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 def dataset_profile(spark: SparkSession, tables: Mapping[str, DataFrame], preview: int = 5) -> DataFrame:
     """One row per table: name, rows, columns and the first ``preview`` names.
 
-    Each table is a global count (footer-answered on Parquet) unioned into
-    one job; width and names come from the schema.
+    All tables are counted in one job: each scan is reduced to its name
+    (no column is read), the scans are unioned and counted in one grouped
+    aggregate. Width and names come from the schemas; a table with no rows
+    still gets its row (count 0) from the metadata side.
     """
-    parts = []
-    for name, df in tables.items():
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), F.col("n_rows"),
-            F.lit(len(df.columns)).alias("n_columns"),
-            F.lit(",".join(df.columns[:preview])).alias("first_columns")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    names = list(tables)
+    scans = [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()]
+    counts = reduce(lambda a, b: a.unionAll(b), scans).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    meta = spark.createDataFrame(
+        [(n, len(tables[n].columns), ",".join(tables[n].columns[:preview])) for n in names],
+        "table_name string, n_columns int, first_columns string")
+    # Both sides have one row per table; the planner picks the join.
+    return (meta.join(counts, "table_name", "left")
+            .select("table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_columns",
+                    "first_columns"))
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
