@@ -3,18 +3,27 @@ lines become ``(vallab, code, value)`` rows; labels decode coded columns."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.sqltext import ident, lit
+
 from quire.functions.text import py_strip
 from quire.session import sized_broadcast
 from quire.sources.files import read_lines
 
 # Fixed value: a code and its value are separated by the first "-" or space.
 CODE_SEPARATOR = "[- ]"
+# With signed codes a separator at the very start is part of the code ("-1 Refused").
+SIGNED_CODE_SEPARATOR = "(?<=.)[- ]"
+# Codebooks up to this many entries are turned into literal maps for decoding.
+MAX_LITERAL_CODES = 200_000
 
 
-def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bool = False) -> DataFrame:
+def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bool = False,
+                       signed_codes: bool = False) -> DataFrame:
     """Parse ordered codebook lines (``sources.read_lines`` layout).
 
     Per line: delete ``"``, strip, a line ending in ``:`` is a heading (minus
@@ -27,7 +36,8 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     table. No window covers a whole file, so one huge codebook is not one task.
 
     ``mode="strict"`` fails on a line with no separator (blank lines too);
-    ``"permissive"`` drops them.
+    ``"permissive"`` drops them. ``signed_codes`` keeps a leading ``-`` in
+    the code instead of treating it as the separator.
     """
     cleaned = lines.withColumn("_t", F.expr(py_strip("replace(line, '\"', '')")))
     is_head = F.col("_t").endswith(":")
@@ -47,7 +57,7 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
 
     joined = carried.join(inherit, ["file", "block"], "left")
     values = joined.where(F.col("_head").isNull())
-    parts = F.split(F.col("_t"), CODE_SEPARATOR, 2)
+    parts = F.split(F.col("_t"), SIGNED_CODE_SEPARATOR if signed_codes else CODE_SEPARATOR, 2)
     bad = F.get(parts, 1).isNull()
     if mode == "strict":
         code = F.when(bad, F.raise_error(F.concat(F.lit("codebook line has no code separator: '"),
@@ -63,8 +73,8 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     return values.select(*out)
 
 
-def read_value_labels(spark, path, mode: str = "strict") -> DataFrame:
-    return parse_value_labels(read_lines(spark, path), mode)
+def read_value_labels(spark, path, mode: str = "strict", signed_codes: bool = False) -> DataFrame:
+    return parse_value_labels(read_lines(spark, path), mode, signed_codes=signed_codes)
 
 
 def rejected_label_lines(lines: DataFrame) -> DataFrame:
@@ -88,3 +98,37 @@ def decode_labels(df: DataFrame, column: str, labels: DataFrame, vallab: str,
            .dropDuplicates(["_code"]))
     return (df.join(sized_broadcast(lab), F.col(column).cast("string") == F.col("_code"), "left")
             .drop("_code"))
+
+
+def decode_columns(df: DataFrame, columns: Mapping[str, str], labels: DataFrame, *,
+                   suffix: str = "_label", max_codes: int = MAX_LITERAL_CODES) -> DataFrame:
+    """Add a label column for each coded column (``{column: vallab}``).
+
+    A survey decodes hundreds of columns; one join per column would shuffle
+    or broadcast the table once each. When a count shows the needed
+    codebooks hold at most ``max_codes`` entries, they are read to the
+    driver and every column is decoded with a literal map lookup in one
+    projection (no join). Larger codebooks fall back to one size-checked
+    join per column.
+    """
+    wanted = sorted(set(columns.values()))
+    book = labels.where(F.col("vallab").isin(*wanted)).select("vallab", "code", "value")
+    n = book.limit(max_codes + 1).count()
+    if n > max_codes:
+        out = df
+        for col, vallab in columns.items():
+            out = decode_labels(out, col, labels, vallab, f"{col}{suffix}")
+        return out
+    maps: dict[str, dict[str, str]] = {}
+    for r in book.collect():
+        maps.setdefault(r["vallab"], {}).setdefault(r["code"], r["value"])
+    exprs = [ident(c) for c in df.columns]
+    for col, vallab in columns.items():
+        entries = maps.get(vallab, {})
+        if entries:
+            pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in entries.items())
+            expr = f"try_element_at(map({pairs}), cast({ident(col)} AS STRING))"
+        else:
+            expr = "CAST(NULL AS STRING)"
+        exprs.append(f"{expr} AS {ident(col + suffix)}")
+    return df.selectExpr(*exprs)

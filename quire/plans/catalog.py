@@ -322,6 +322,19 @@ def q_decode_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labels.decode_labels(read_table(spark, sf, "customer"), "c_nationkey", book, "nation")
 
 
+def q_decode_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Decode with literal maps built from a codebook of two value labels
+    (nation names by nation key, region names by region key)."""
+    nation = read_table(spark, sf, "nation").select(
+        F.lit("nation").alias("vallab"), F.col("n_nationkey").cast("string").alias("code"),
+        F.col("n_name").alias("value"))
+    region = read_table(spark, sf, "region").select(
+        F.lit("region").alias("vallab"), F.col("r_regionkey").cast("string").alias("code"),
+        F.col("r_name").alias("value"))
+    return labels.decode_columns(read_table(spark, sf, "customer"), {"c_nationkey": "nation"},
+                                 nation.unionByName(region))
+
+
 def q_section_export(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: section projection of lineitem, cells sanitised, written as
     zstd Parquet, read back with a pruned scan, first rows by key."""
@@ -367,6 +380,7 @@ QUERIES: dict[str, Query] = {
     "dataset_profile": q_dataset_profile,
     "incremental_ingest": q_incremental_ingest,
     "decode_labels": q_decode_labels,
+    "decode_columns": q_decode_columns,
     "section_export": q_section_export,
 }
 
@@ -505,6 +519,8 @@ ORACLE: dict[str, str] = {
     "incremental_ingest": _all_cells("events", O.stringify),
     "decode_labels": ("SELECT c.*, n.n_name AS c_nationkey_label FROM customer c LEFT JOIN nation n "
                       "ON CAST(c.c_nationkey AS VARCHAR) = CAST(n.n_nationkey AS VARCHAR)"),
+    "decode_columns": ("SELECT c.*, n.n_name AS c_nationkey_label FROM customer c LEFT JOIN nation n "
+                       "ON CAST(c.c_nationkey AS VARCHAR) = CAST(n.n_nationkey AS VARCHAR)"),
     "section_export": (
         f"SELECT {_KEYS}, " + ", ".join(f"{O.sanitize(c, '')} AS {c}" for c in PRICE_SECTION)
         + f" FROM lineitem ORDER BY {_KEYS} LIMIT 5"),

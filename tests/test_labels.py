@@ -86,3 +86,23 @@ def test_decode_labels(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (4, None)], "id int, answer int")
     got = {r["id"]: r["answer_label"] for r in labels.decode_labels(df, "answer", book, "yn").collect()}
     assert got == {1: "Yes", 2: "No", 3: None, 4: None}
+
+
+def test_signed_codes(spark, tmp_dir):
+    path = write(tmp_dir, "signed.txt", '"r":\n-1 Refused\n1-Yes\n10 - Foo\n-2-Unknown\n')
+    got = [tuple(r) for r in labels.read_value_labels(spark, path, signed_codes=True).collect()]
+    assert got == [("r", "-1", "Refused"), ("r", "1", "Yes"), ("r", "10", "- Foo"), ("r", "-2", "Unknown")]
+
+
+def test_decode_columns_literal_and_join_paths(spark):
+    book = spark.createDataFrame([("yn", "1", "Yes"), ("yn", "2", "No"), ("sex", "1", "Male"),
+                                  ("sex", "2", "Female"), ("unused", "1", "X")],
+                                 "vallab string, code string, value string")
+    df = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, None)], "id int, q1 int, s int")
+    mapping = {"q1": "yn", "s": "sex"}
+    want = {1: ("Yes", "Female"), 2: ("No", "Male"), 3: (None, None)}
+    for max_codes in (100, 1):  # literal maps; forced fallback to joins
+        out = labels.decode_columns(df, mapping, book, max_codes=max_codes)
+        got = {r["id"]: (r["q1_label"], r["s_label"]) for r in out.collect()}
+        assert got == want
+        assert out.columns[:3] == ["id", "q1", "s"]
