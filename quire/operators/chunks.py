@@ -68,8 +68,10 @@ def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     bound = F.struct(*[F.col(k) for k in keys]) <= F.struct(*[typed[k].alias(k) for k in keys])
     if last[keys[0]] is None:
         return df.where(F.col(keys[0]).isNull() & bound)
+    # The leading-key test is implied by the bound but kept as its own
+    # conjunct so it is pushed into the scan (row-group pruning).
     lead = F.col(keys[0]).isNull() | (F.col(keys[0]) <= typed[keys[0]])
-    return df.where(lead & (F.col(keys[0]).isNull() | bound))
+    return df.where(lead & bound)
 
 
 def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | None = None) -> DataFrame:
