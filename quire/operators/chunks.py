@@ -24,17 +24,28 @@ from quire.session import materialize
 _LOCAL_BITS = 33
 
 
+def range_sorted(df: DataFrame, order_by: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort by ``order_by``; partition i holds the i-th range.
+
+    The input row id breaks ties: a key value (or a block of identical rows)
+    holding a third of the table is cut across range partitions instead of
+    landing in one task. File scans give the same ids on retry.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [F.col(c) for c in order_by] + [F.col("_tie")]
+    ranged = (tied.repartitionByRange(num_partitions, *keys) if num_partitions
+              else tied.repartitionByRange(*keys))
+    return ranged.sortWithinPartitions(*keys).drop("_tie")
+
+
 def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based global position in ``order_by`` order.
 
-    ``order_by`` should be unique; ties get an arbitrary order, fixed once
-    the ids are written.
+    Ties in ``order_by`` are ordered by input position, fixed once the ids
+    are written; partitions stay balanced however skewed the key is.
     """
-    keys = [F.col(c) for c in order_by]
-    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
-              else df.repartitionByRange(*keys))
-    ordered = materialize(ranged.sortWithinPartitions(*keys)
+    ordered = materialize(range_sorted(df, order_by, num_partitions)
                           .withColumn("_mid", F.monotonically_increasing_id()), "row-index")
     pid = F.shiftrightunsigned("_mid", _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))

@@ -107,10 +107,12 @@ def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     size = estimated_bytes(df)
     if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
         return df
-    # Hash of the leading columns: deterministic on retry without the sort
-    # that a round-robin repartition performs first.
+    # Hash of the leading columns and the input row id (so identical rows
+    # spread too): no sort first, unlike a round-robin repartition, and the
+    # same ids on retry of a file scan.
     lead = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns[:_SPREAD_HASH_COLUMNS]]
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*lead))
+    salt = F.xxhash64(*lead, F.monotonically_increasing_id())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, salt)
 
 
 def table_path(sf_dir: str, name: str) -> str:

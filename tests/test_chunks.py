@@ -49,3 +49,15 @@ def test_row_cap_with_null_keys(spark):
     for n in range(1, len(rows) + 1):
         got = [tuple(r) for r in chunks.scan_row_cap(df, n, order_by=["a", "b"]).collect()]
         assert sorted(got, key=repr) == sorted(want[:n], key=repr), n
+
+
+def test_row_index_balances_a_hot_key(spark):
+    # A third of the rows share one key value (and are identical copies).
+    hot = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 7 ELSE id END AS k", "'x' AS v")
+    idx = chunks.with_row_index(hot, ["k"], num_partitions=6)
+    assert sorted(r[0] for r in idx.select("row_index").collect()) == list(range(3000))
+    ranks = idx.where("k = 7").agg(F.min("row_index"), F.max("row_index")).collect()[0]
+    assert tuple(ranks) == (0, 999)  # the 1,000 copies sort first (all other keys are >= 1000)
+    ranged = chunks.range_sorted(hot, ["k"], num_partitions=6)
+    sizes = [r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 5 and max(sizes) < 1000  # the hot key is cut across partitions
