@@ -1,6 +1,6 @@
 from quire.sources.files import (NULL_TOKEN, read_csv, read_lines, read_raw_header, read_variables,
                                  tagged_scan)
-from quire.sources.profile import bytes_on_disk, dataset_profile, rows_per_file
+from quire.sources.profile import bytes_on_disk, dataset_profile, parquet_footers, rows_per_file
 
 __all__ = ["NULL_TOKEN", "read_csv", "read_lines", "read_raw_header", "read_variables", "tagged_scan",
-           "bytes_on_disk", "dataset_profile", "rows_per_file"]
+           "bytes_on_disk", "dataset_profile", "parquet_footers", "rows_per_file"]

@@ -92,3 +92,12 @@ def test_wide_table(spark, tmp_dir):
     rows = head.collect()
     assert len(rows) == 5 and len(rows[0]) == 572
     assert rows[0]["V0"] == ""  # id 0: 0 % 7 == 0 -> null -> ''
+
+
+def test_section_sizes_plus_unassigned_equal_width():
+    cols = ["interview__key", "interview__id"] + [f"X{i}" for i in range(40)]
+    ranges = [("s1", "X0", "X9"), ("s2", "X10", "X24"), ("s3", "X30", "X39")]
+    smap = sections.sections_from_ranges(cols, ranges)
+    cov = sections.coverage(cols, smap, ["interview__key", "interview__id"])
+    assert sum(len(v) for v in smap.values()) + len(cov["unassigned"]) + 2 == len(cols)
+    assert cov["unassigned"] == [f"X{i}" for i in range(25, 30)] and cov["multi_assigned"] == []
