@@ -23,3 +23,26 @@ def test_ingest_is_incremental(spark, tmp_dir):
     assert out.count() == events.count()
     want = clean.stringify_cells(events)
     assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+
+
+def test_csv_landing_to_text_parquet(spark, tmp_dir):
+    from quire.sources.files import read_raw_header
+
+    landing, sink, ckpt = f"{tmp_dir}/csv_in", f"{tmp_dir}/pq_out", f"{tmp_dir}/ckpt2"
+    import os
+    os.makedirs(landing)
+    for i in range(3):
+        with open(f"{landing}/part{i}.csv", "w") as f:
+            f.write('" a b ",,c\n')
+            f.write(f"{i},#NULL!,x{i}\n{i + 10},y,\n")
+    raw = read_raw_header(spark, f"{landing}/part0.csv")
+    schema = ",".join(f"`c{j}` string" for j in range(len(raw)))
+    progress = incremental_ingest(
+        spark, landing, schema, sink, ckpt, fmt="csv",
+        source_options={"header": "true", "nullValue": "#NULL!"},
+        transform=lambda d: clean.clean_parquet_table(d, raw_names=raw), max_files_per_trigger=1)
+    assert len(progress) == 3 and sum(p["rows"] for p in progress) == 6
+    out = spark.read.parquet(sink)
+    assert out.columns == ["a_b", "col_1", "c"]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(
+        [(str(i), "", f"x{i}") for i in range(3)] + [(str(i + 10), "y", "") for i in range(3)])
