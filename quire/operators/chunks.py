@@ -93,6 +93,8 @@ def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | No
         return df.limit(n)
     cols = df.columns
     subset = first_rows(df, n, order_by)
+    if subset is df:
+        return df  # fewer than n rows: all of them, no numbering needed
     return with_row_index(subset, order_by, index_col="_pos").where(F.col("_pos") < n).select(*cols)
 
 

@@ -178,6 +178,16 @@ def q_export_csv(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_csv(spark, path, schema=docs.schema, null_tokens=[], multiline=True)
 
 
+def q_table_to_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The CSV conversion end to end: CSV header rules, sanitised cells,
+    minimal-quoting CSV, read back as text with empty cells as ''."""
+    conv = read_table(spark, sf, "conversations")
+    path = scratch_path(spark, "to-csv")
+    convert.table_to_csv(conv, path)
+    schema = ", ".join(f"`{c}` string" for c in conv.columns)
+    return clean.fill_empty(files.read_csv(spark, path, schema=schema, null_tokens=[]))
+
+
 def q_export_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "parquet")
     converted = clean.clean_parquet_table(read_table(spark, sf, "orders"))
@@ -358,6 +368,7 @@ QUERIES: dict[str, Query] = {
     "clean_header_parquet": q_clean_header_parquet,
     "clean_csv_table": q_clean_csv_table,
     "export_csv": q_export_csv,
+    "table_to_csv": q_table_to_csv,
     "export_parquet": q_export_parquet,
     "csv_to_parquet": q_csv_to_parquet,
     "export_partitioned": q_export_partitioned,
@@ -475,6 +486,7 @@ ORACLE: dict[str, str] = {
                                          "c_mktsegment"]),
     "clean_csv_table": _all_cells("conversations", O.sanitize),
     "export_csv": "SELECT * FROM documents",
+    "table_to_csv": _all_cells("conversations", O.sanitize),
     "export_parquet": _all_cells("orders", O.stringify),
     "csv_to_parquet": ("SELECT CAST(c_custkey AS VARCHAR) AS c_cust_key, coalesce(c_name, '') AS col_1, "
                        "CAST(c_nationkey AS VARCHAR) AS \"c,\"\"nation\"\"\", CAST(c_acctbal AS VARCHAR) AS c_acct_bal, "
