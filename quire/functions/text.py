@@ -103,6 +103,8 @@ def numeric_or_text(prog: Program, x: Ref, dtype: T.DataType) -> str:
         return x
     whole = prog.let(f"try_cast({x} AS BIGINT)", x)
     real = prog.let(f"try_cast({x} AS DOUBLE)", x)
+    # A text that parses to NaN is not a number: it keeps its text, as the
+    # missing-value fill after numeric detection restores it.
     return (f"CASE WHEN {whole} IS NOT NULL THEN cast({whole} AS STRING) "
-            f"WHEN {real} IS NOT NULL THEN {py_float_str(prog, real)} "
+            f"WHEN {real} IS NOT NULL AND NOT isnan({real}) THEN {py_float_str(prog, real)} "
             f"ELSE {x} END")

@@ -37,7 +37,8 @@ def sanitize(c: str, kind: str) -> str:
 def numeric_or_text(c: str) -> str:
     whole = f"regexp_full_match({c}, '\\s*[+-]?[0-9]+\\s*') AND try_cast({c} AS BIGINT) IS NOT NULL"
     return (f"CASE WHEN {whole} THEN CAST(try_cast({c} AS BIGINT) AS VARCHAR) "
-            f"WHEN try_cast({c} AS DOUBLE) IS NOT NULL THEN CAST(try_cast({c} AS DOUBLE) AS VARCHAR) "
+            f"WHEN try_cast({c} AS DOUBLE) IS NOT NULL AND NOT isnan(try_cast({c} AS DOUBLE)) "
+            f"THEN CAST(try_cast({c} AS DOUBLE) AS VARCHAR) "
             f"ELSE {c} END")
 
 

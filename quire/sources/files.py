@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *,
              schema: T.StructType | str | None = None,
              null_tokens: Sequence[str] = (NULL_TOKEN,),
              header: bool = True, multiline: bool = False,
-             header_rules: str | None = None) -> DataFrame:
+             header_rules: str | None = None, sampling_ratio: float | None = None) -> DataFrame:
     """CSV scan with a header row and null tokens.
 
     One token is handed to the parser (``nullValue``). Several tokens are
@@ -37,6 +37,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *,
     Without ``schema`` a single-token scan infers types, as the reference
     does; give a schema at scale to skip the extra inference pass.
     ``header_rules`` ("csv" / "parquet") cleans the raw header row.
+    ``sampling_ratio`` infers types from a fraction of the rows instead of
+    a full pass.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(header=str(header).lower(),
@@ -50,7 +52,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *,
         if schema is not None:
             df = reader.schema(schema).csv(paths)
         else:
-            df = reader.option("inferSchema", "true").csv(paths)
+            reader = reader.option("inferSchema", "true")
+            if sampling_ratio is not None:
+                reader = reader.option("samplingRatio", str(sampling_ratio))
+            df = reader.csv(paths)
     else:
         if schema is not None:
             text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
