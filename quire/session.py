@@ -82,7 +82,6 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
 # Inputs below this estimated size may be spread over all cores.
 SMALL_INPUT_BYTES = 1 << 30
 _MIN_SPREAD_BYTES = 1 << 20
-_SPREAD_HASH_COLUMNS = 16
 _MAX_SPREAD_COLUMNS = 256
 
 
@@ -107,11 +106,10 @@ def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     size = estimated_bytes(df)
     if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
         return df
-    # Hash of the leading columns and the input row id (so identical rows
-    # spread too): no sort first, unlike a round-robin repartition, and the
-    # same ids on retry of a file scan.
-    lead = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns[:_SPREAD_HASH_COLUMNS]]
-    salt = F.xxhash64(*lead, F.monotonically_increasing_id())
+    # Hash of the input row id: identical rows spread too, no sort first
+    # (unlike a round-robin repartition), and a retried file-scan task
+    # produces the same ids, so the shuffle is deterministic.
+    salt = F.xxhash64(F.monotonically_increasing_id())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, salt)
 
 
