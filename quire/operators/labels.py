@@ -18,8 +18,9 @@ from quire.sources.files import read_lines
 CODE_SEPARATOR = "[- ]"
 # With signed codes a separator at the very start is part of the code ("-1 Refused").
 SIGNED_CODE_SEPARATOR = "(?<=.)[- ]"
-# Codebooks up to this many entries are turned into literal maps for decoding.
-MAX_LITERAL_CODES = 200_000
+# Codebooks up to this many entries are turned into literal maps for decoding
+# (each entry becomes two literals in the plan, so keep the plan small).
+MAX_LITERAL_CODES = 20_000
 
 
 def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bool = False,

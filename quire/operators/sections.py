@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.program import apply_rule
-from quire.functions.sqltext import ident, lit
+from quire.functions.sqltext import ident, lit, literal_frame
 from quire.functions.text import py_str
 
 SectionMap = Mapping[str, Sequence[str]]
@@ -51,7 +51,7 @@ def coverage(columns: Sequence[str], sections: SectionMap, keys: Sequence[str] =
 def section_map_frame(spark: SparkSession, sections: SectionMap) -> DataFrame:
     """``(section, ordinal, name)`` rows of a section map."""
     rows = [(s, i, c) for s, cols in sections.items() for i, c in enumerate(cols)]
-    return spark.createDataFrame(rows, "section string, ordinal int, name string")
+    return literal_frame(spark, rows, "section string, ordinal int, name string")
 
 
 def project_section(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.sqltext import literal_frame
 from quire.functions.types import STATA_TO_SQL
 from quire.operators import chunks, clean, combine, labels, sections, typing
 from quire.plans import convert
@@ -250,7 +251,7 @@ def q_map_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_map_types_join(spark: SparkSession, sf: str) -> DataFrame:
-    book = spark.createDataFrame(list(STATA_TO_SQL.items()), "code string, sql_type string")
+    book = literal_frame(spark, list(STATA_TO_SQL.items()), "code string, sql_type string")
     return typing.map_types(_fixture_variables(spark, sf), dictionary=book)
 
 

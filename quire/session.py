@@ -22,6 +22,7 @@ DEFAULT_CONF = {
 # Rows a side may hold to be broadcast on our own decision. Above this the
 # join is left to Spark (sort-merge, or AQE's runtime broadcast by bytes).
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 
 
 def get_session(master: str | None = None, app: str = "quire",
@@ -72,9 +73,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise return it
-    unchanged so the planner shuffles (with AQE skew handling)."""
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its size estimate and a row count prove it
+    small; otherwise return it unchanged so the planner shuffles (with AQE
+    skew handling)."""
+    size = estimated_bytes(df)
+    if size is not None and size > max_bytes:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.sqltext import literal_frame
+
 
 def dataset_profile(spark: SparkSession, tables: Mapping[str, DataFrame], preview: int = 5) -> DataFrame:
     """One row per table: name, rows, columns and the first ``preview`` names.
@@ -21,8 +23,8 @@ def dataset_profile(spark: SparkSession, tables: Mapping[str, DataFrame], previe
     scans = [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()]
     counts = reduce(lambda a, b: a.unionAll(b), scans).groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n_rows"))
-    meta = spark.createDataFrame(
-        [(n, len(tables[n].columns), ",".join(tables[n].columns[:preview])) for n in names],
+    meta = literal_frame(
+        spark, [(n, len(tables[n].columns), ",".join(tables[n].columns[:preview])) for n in names],
         "table_name string, n_columns int, first_columns string")
     # Both sides have one row per table; the planner picks the join.
     return (meta.join(counts, "table_name", "left")
