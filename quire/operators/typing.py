@@ -79,19 +79,21 @@ def declared_types(variables: DataFrame, name_col: str = "name", sql_type_col: s
 
 def generate_ddl(variables: DataFrame, *, table: str | None = None, dataset_col: str = "dataset",
                  name_col: str = "name", sql_type_col: str = "sql_type", ordinal_col: str = "ordinal",
-                 max_columns: int = PG_MAX_COLUMNS) -> DataFrame:
+                 max_columns: int | None = PG_MAX_COLUMNS) -> DataFrame:
     """``CREATE TABLE IF NOT EXISTS`` text per dataset, columns in declared order.
 
     Each statement holds at most ``max_columns`` columns: ordinals are cut
     into blocks of that many, so a group never grows past a table's width
     and a dataset wider than the limit gets numbered tables
-    (``name_1``, ``name_2`` ...). Output: dataset, part, table_name,
+    (``name_1``, ``name_2`` ...); ``max_columns=None`` keeps one statement
+    per dataset, however wide. Output: dataset, part, table_name,
     n_columns, ddl.
     """
     v = variables
     if table is not None:
         v = v.withColumn(dataset_col, F.lit(table))
-    part = F.floor(F.col(ordinal_col) / F.lit(max_columns)).cast("bigint")
+    part = (F.floor(F.col(ordinal_col) / F.lit(max_columns)).cast("bigint") if max_columns
+            else F.lit(0).cast("bigint"))
     defs = (v.select(F.col(dataset_col).alias("dataset"), part.alias("part"),
                      F.col(ordinal_col).alias("_ord"),
                      F.concat_ws(" ", F.col(name_col), F.col(sql_type_col)).alias("_def"))

@@ -1,0 +1,44 @@
+"""The survey steps end to end on a small synthetic survey."""
+
+import os
+
+from quire.operators import sections
+from quire.plans import survey_prep
+
+
+def test_survey_steps(spark, tmp_dir):
+    cols = ["interview__key", "interview__id", "county", "A07", "B1A", "B1B", "Latitude"]
+    with open(f"{tmp_dir}/survey.csv", "w") as f:
+        f.write(",".join(cols[:2]) + ", county ,A07,B1A,\"B1B\",Latitude\n")
+        f.write("k1,1,3,#NULL!,1,2,-1.25\n")
+        f.write("k2,2,#NULL!,7,2,1,0.5\n")
+    pq_path = f"{tmp_dir}/survey_pq"
+    survey_prep.convert_survey(spark, f"{tmp_dir}/survey.csv", pq_path)
+    table = spark.read.parquet(pq_path)
+    assert table.columns == cols
+    assert [tuple(r) for r in table.orderBy("interview__key").collect()] == [
+        ("k1", "1", "3", "", "1", "2", "-1.25"), ("k2", "2", "", "7", "2", "1", "0.5")]
+
+    with open(f"{tmp_dir}/values.txt", "w") as f:
+        f.write('"yesno":\n1 Yes\n2-No\n"county":\n3 Nairobi\n')
+    lab = survey_prep.labels_to_csv(spark, f"{tmp_dir}/values.txt", f"{tmp_dir}/labels_csv")
+    assert sorted(tuple(r) for r in lab.collect()) == [("county", "3", "Nairobi"), ("yesno", "1", "Yes"),
+                                                       ("yesno", "2", "No")]
+
+    with open(f"{tmp_dir}/variables.csv", "w") as f:
+        f.write("name,type\n" + "\n".join(f"{c},{t}" for c, t in zip(
+            cols, ["str99", "str32", "byte", "int", "byte", "byte", "double"])) + "\n")
+    ddl = survey_prep.variables_to_ddl(spark, f"{tmp_dir}/variables.csv", f"{tmp_dir}/ddl", "survey_2024",
+                                       max_columns=None)
+    text = [r["value"] for r in spark.read.text(f"{tmp_dir}/ddl").collect()]
+    assert text == ["CREATE TABLE IF NOT EXISTS survey_2024 (interview__key VARCHAR(99),interview__id VARCHAR(32),"
+                    "county SMALLINT,A07 INTEGER,B1A SMALLINT,B1B SMALLINT,Latitude DOUBLE PRECISION);"]
+    assert ddl.count() == 1
+
+    smap = sections.sections_from_ranges(cols, [("A", "county", "A07"), ("B1", "B1A", "B1B"),
+                                                ("V", "Latitude", "Latitude")])
+    paths = survey_prep.section_tables(spark, pq_path, f"{tmp_dir}/sections", cols[:2], smap)
+    assert sorted(paths) == ["A", "B1", "V"]
+    b1 = spark.read.parquet(paths["B1"])
+    assert b1.columns == ["interview__key", "interview__id", "B1A", "B1B"]
+    assert all(os.path.isdir(p) for p in paths.values())
