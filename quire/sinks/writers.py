@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # CSV with minimal quoting that round-trips any text: quotes are doubled,
 # "" and null are both written as nothing, outer spaces are kept.
@@ -46,13 +47,20 @@ def write_parquet(df: DataFrame, path: str, *, mode: str = "overwrite", compress
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] | str, *, fmt: str = "csv",
-                      mode: str = "overwrite") -> str:
+                      mode: str = "overwrite", files_per_value: int | None = None) -> str:
     """One folder per value of ``by`` (one file set per sheet).
 
-    No shuffle by the partition value: every task writes its own rows, so a
-    value holding a third of the table is spread over all tasks instead of
-    landing in one."""
+    By default there is no shuffle by the partition value: every task writes
+    its own rows, so a value holding a third of the table is spread over all
+    tasks instead of landing in one (at the price of one file per value per
+    task). ``files_per_value`` clusters rows by (value, salt) first: each
+    value gets at most that many files, and a hot value is still written by
+    that many tasks. The salt is a hash of the input row id, stable on retry.
+    """
     cols = [by] if isinstance(by, str) else list(by)
+    if files_per_value:
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(files_per_value)))
+        df = df.repartition(*[F.col(c) for c in cols], salt)
     w = df.write.mode(mode).partitionBy(*cols)
     if fmt == "csv":
         w = w.options(**CSV_WRITE_OPTIONS)

@@ -106,3 +106,19 @@ def test_append_and_profile(spark, tmp_dir):
         ("a", 1, 2, "id,s"), ("b", 2, 2, "id,s")]
     size = profile.bytes_on_disk(spark, path).collect()[0]
     assert size["bytes"] == sum(os.path.getsize(p) for p in glob.glob(f"{path}/*.parquet"))
+
+
+def test_partitioned_files_per_value(spark, tmp_dir):
+    # One value holds most rows; with files_per_value=3 it gets at most 3 files.
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id < 2000 THEN 'hot' ELSE concat('v', id % 3) END AS sheet")
+    path = f"{tmp_dir}/fpv"
+    # AQE would merge these tiny partitions into one; at scale they are large.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_partitioned(df.repartition(8), path, "sheet", fmt="parquet", files_per_value=3)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot_files = glob.glob(f"{path}/sheet=hot/*.parquet")
+    assert 1 < len(hot_files) <= 3
+    back = spark.read.parquet(path)
+    assert back.count() == 3000 and back.where("sheet = 'hot'").count() == 2000
