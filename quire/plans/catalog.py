@@ -120,6 +120,17 @@ def _fixture_codebook(spark: SparkSession, sf: str) -> str:
     return path
 
 
+EMBED_DIM = 64
+
+
+def _fixture_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide table grown from ``embeddings``: one float column per
+    dimension, named like multi-select answers (``E__1`` ... ``E__64``)."""
+    emb = read_table(spark, sf, "embeddings")
+    return emb.select("vec_id", "label",
+                      *[F.col("embedding")[i].alias(f"E__{i + 1}") for i in range(EMBED_DIM)])
+
+
 # --------------------------------------------------------------- queries
 
 def q_scan_null_token(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,6 +200,11 @@ def q_table_to_csv(spark: SparkSession, sf: str) -> DataFrame:
     return clean.fill_empty(files.read_csv(spark, path, schema=schema, null_tokens=[]))
 
 
+def q_wide_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The Parquet conversion on a 66-column table with float cells."""
+    return clean.clean_parquet_table(_fixture_wide(spark, sf))
+
+
 def q_export_parquet(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "parquet")
     converted = clean.clean_parquet_table(read_table(spark, sf, "orders"))
@@ -370,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "clean_csv_table": q_clean_csv_table,
     "export_csv": q_export_csv,
     "table_to_csv": q_table_to_csv,
+    "wide_to_text": q_wide_to_text,
     "export_parquet": q_export_parquet,
     "csv_to_parquet": q_csv_to_parquet,
     "export_partitioned": q_export_partitioned,
@@ -488,6 +505,9 @@ ORACLE: dict[str, str] = {
     "clean_csv_table": _all_cells("conversations", O.sanitize),
     "export_csv": "SELECT * FROM documents",
     "table_to_csv": _all_cells("conversations", O.sanitize),
+    "wide_to_text": ("SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(label AS VARCHAR) AS label, "
+                     + ", ".join(f"coalesce(CAST(CAST(embedding[{i + 1}] AS DOUBLE) AS VARCHAR), '') AS \"E__{i + 1}\""
+                                 for i in range(EMBED_DIM)) + " FROM embeddings"),
     "export_parquet": _all_cells("orders", O.stringify),
     "csv_to_parquet": ("SELECT CAST(c_custkey AS VARCHAR) AS c_cust_key, coalesce(c_name, '') AS col_1, "
                        "CAST(c_nationkey AS VARCHAR) AS \"c,\"\"nation\"\"\", CAST(c_acctbal AS VARCHAR) AS c_acct_bal, "
