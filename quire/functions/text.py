@@ -51,10 +51,12 @@ def py_float_str(prog: Program, x: Ref) -> str:
     columns, 2.7x faster bound than inlined).
     """
     s = prog.let(f"cast({x} AS STRING)", x)
-    fixed = (f"regexp_replace(regexp_replace(cast(cast({s} AS DECIMAL(38, 22)) AS STRING), "
-             f"'0+$', ''), '\\\\.$', '.0')")
-    sci = (f"replace(regexp_replace(regexp_replace(regexp_replace({s}, '\\\\.0E', 'E'), "
-           f"'E(-?)([0-9])$', 'E$10$2'), 'E([0-9])', 'e+$1'), 'E-', 'e-')")
+    # Plain layout: the decimal text without trailing zeros, keeping ".0".
+    fixed = (f"regexp_replace(cast(cast({s} AS DECIMAL(38, 22)) AS STRING), "
+             f"'(?<=\\\\.0)0+$|(?<=[1-9])0+$', '')")
+    # Exponent layout: "1.0E-5" -> "1e-05", "1.5E16" -> "1.5e+16".
+    sci = (f"format_string('%se%+03d', regexp_replace(substring_index({s}, 'E', 1), '\\\\.0$', ''), "
+           f"cast(substring_index({s}, 'E', -1) AS INT))")
     return (
         f"CASE WHEN {x} IS NULL THEN NULL "
         f"WHEN isnan({x}) THEN 'nan' WHEN {x} = double('inf') THEN 'inf' "
