@@ -44,7 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     private folder (tests); a cluster without the setting is an error,
     because a machine-local folder is not visible to other executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext on a remote session
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return d
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if d:
         if not sc.getCheckpointDir():
@@ -99,6 +105,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def _already_repartitioned(df: DataFrame) -> bool:
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001
+        return False
+    return "RepartitionByExpression" in plan or "Repartition " in plan
+
+
 def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     """Round-robin a small input over all cores before CPU-heavy row work.
 
@@ -109,6 +123,8 @@ def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     """
     if len(df.columns) > _MAX_SPREAD_COLUMNS:
         return df  # shuffling very wide rows costs more than the per-cell work
+    if _already_repartitioned(df):
+        return df  # an earlier step (e.g. a chained cell rule) spread it
     size = estimated_bytes(df)
     if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
         return df

@@ -57,3 +57,9 @@ def test_section_projection_keeps_codegen(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     plan = plan_of(clean.stringify_cells(sections.project_section(li, KEYS, ["l_tax", "l_shipdate"])))
     assert re.search(r"\*\(\d+\) Project", plan)
+
+
+def test_chained_cell_rules_spread_once(spark):
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    chained = clean.numeric_or_text(clean.stringify_cells(li))
+    assert exchanges(plan_of(chained)) == 1
