@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.sqltext import ident, lit
-
 from quire.functions.text import py_strip
 from quire.session import sized_broadcast
 from quire.sources.files import read_lines

@@ -33,9 +33,9 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *,
 
     One token is handed to the parser (``nullValue``). Several tokens are
     read as text, nulled with one ``IN`` test per column and then cast to
-    ``schema`` (or inferred types are not available: columns stay text).
-    Without ``schema`` a single-token scan infers types, as the reference
-    does; give a schema at scale to skip the extra inference pass.
+    ``schema`` (without a schema the columns stay text). Without ``schema``
+    a single-token scan infers types; give a schema at scale to skip the
+    extra inference pass.
     ``header_rules`` ("csv" / "parquet") cleans the raw header row.
     ``sampling_ratio`` infers types from a fraction of the rows instead of
     a full pass.
