@@ -65,17 +65,17 @@ def _read_footers(batches):
                                          "compression", "bytes"])
 
 
-def parquet_footers(spark: SparkSession, path: str, files_per_task: int = 64) -> DataFrame:
+def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
     """Footer facts of every Parquet file under ``path``: rows, row groups,
     columns, codec of the first column chunk, uncompressed bytes.
 
-    The file listing becomes a DataFrame and each task opens only the
-    footers of its files (Arrow inside the task), so thousands of files are
-    read in parallel and no data pages are touched. Local and ``file:``
-    paths are opened directly; other schemes need a filesystem pyarrow can
-    resolve from the URI.
+    The listing is a ``binaryFile`` scan with the content column pruned
+    (only paths travel), and each task opens just the footers of its files
+    (Arrow inside the task), so thousands of files are read in parallel
+    and no data pages are touched. Local and ``file:`` paths are opened
+    directly; other schemes need a filesystem pyarrow can resolve.
     """
-    files = sorted(spark.read.parquet(path).inputFiles())
-    listing = spark.createDataFrame([(f,) for f in files], "file_path string")
-    parts = max(1, -(-len(files) // files_per_task))
-    return listing.repartition(parts).mapInPandas(_read_footers, FOOTER_SCHEMA)
+    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+               .option("recursiveFileLookup", "true").load(path)
+               .select(F.col("path").alias("file_path")))
+    return listing.mapInPandas(_read_footers, FOOTER_SCHEMA)
