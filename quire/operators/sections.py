@@ -71,12 +71,20 @@ def section_heads(df: DataFrame, keys: Sequence[str], sections: SectionMap, n: i
                   value_col: str = "value") -> DataFrame:
     """The first ``n`` rows (by key) of every section, in one long table.
 
-    All sections share their rows, so the head rows are found once (a
-    top-``n`` over the key and the used columns only) and then unpivoted;
-    the source is scanned once, not once per section.
+    All sections share their rows, so the head rows are found once: a
+    top-``n`` over the key columns alone (narrow rows through the sort),
+    then only those rows are fetched with a broadcast semi-join (``n`` keys,
+    a bound fixed by the caller) and unpivoted.
     """
     used = list(dict.fromkeys([*keys, *[c for cols in sections.values() for c in cols]]))
-    head = df.select(*[F.col(ident(c)) for c in used]).orderBy(*[F.col(ident(k)) for k in keys]).limit(n)
+    order = [F.col(ident(k)) for k in keys]
+    head_keys = df.select(*order).orderBy(*order).limit(n)
+    cond = None
+    for k in keys:
+        c = df[ident(k)].eqNullSafe(head_keys[ident(k)])
+        cond = c if cond is None else cond & c
+    rows = df.join(F.broadcast(head_keys), cond, "left_semi")
+    head = rows.select(*[F.col(ident(c)) for c in used]).orderBy(*order).limit(n)
     return sections_long(head, keys, sections, section_col, variable_col, value_col)
 
 
