@@ -122,3 +122,15 @@ def test_partitioned_files_per_value(spark, tmp_dir):
     assert 1 < len(hot_files) <= 3
     back = spark.read.parquet(path)
     assert back.count() == 3000 and back.where("sheet = 'hot'").count() == 2000
+
+
+def test_read_variables_ordinal_is_file_then_line_order(spark, tmp_dir):
+    folder = f"{tmp_dir}/vars"
+    os.makedirs(folder)
+    # Two files; names sort as part-0 < part-1, lines keep their order inside.
+    with open(f"{folder}/part-1.csv", "w") as f:
+        f.write("name,type\nd,byte\ne,strL\n")
+    with open(f"{folder}/part-0.csv", "w") as f:
+        f.write("name,type\nc,int\na,double\nb,str20\n")
+    got = [(r["name"], r["ordinal"]) for r in files.read_variables(spark, folder).orderBy("ordinal").collect()]
+    assert got == [("c", 0), ("a", 1), ("b", 2), ("d", 3), ("e", 4)]
