@@ -60,10 +60,34 @@ def project_section(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return df.select(*[F.col(ident(c)) for c in [*keys, *columns]])
 
 
+# Beyond this many columns a top-n is taken over the keys first.
+_WIDE_HEAD_COLUMNS = 100
+
+
+def _head_rows(df: DataFrame, keys: Sequence[str], used: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by key, projected to ``used``.
+
+    Narrow rows: one top-``n`` (each task keeps ``n`` rows, one merge).
+    Wide rows: the top-``n`` runs over the key columns alone, then only
+    those rows are fetched with a broadcast semi-join (``n`` keys, a bound
+    fixed by the caller), so wide rows never pass through the sort.
+    """
+    order = [F.col(ident(k)) for k in keys]
+    src = df.select(*[F.col(ident(c)) for c in used])
+    if len(used) <= _WIDE_HEAD_COLUMNS:
+        return src.orderBy(*order).limit(n)
+    head_keys = df.select(*order).orderBy(*order).limit(n)
+    cond = None
+    for k in keys:
+        c = src[ident(k)].eqNullSafe(head_keys[ident(k)])
+        cond = c if cond is None else cond & c
+    return src.join(F.broadcast(head_keys), cond, "left_semi").orderBy(*order).limit(n)
+
+
 def section_head(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int = 5) -> DataFrame:
     """First ``n`` rows of a section by key order (file order is not kept by
     a distributed scan, so the key stands in for it)."""
-    return project_section(df, keys, columns).orderBy(*[F.col(ident(k)) for k in keys]).limit(n)
+    return _head_rows(df, keys, [*keys, *columns], n)
 
 
 def section_heads(df: DataFrame, keys: Sequence[str], sections: SectionMap, n: int = 5,
@@ -71,20 +95,12 @@ def section_heads(df: DataFrame, keys: Sequence[str], sections: SectionMap, n: i
                   value_col: str = "value") -> DataFrame:
     """The first ``n`` rows (by key) of every section, in one long table.
 
-    All sections share their rows, so the head rows are found once: a
-    top-``n`` over the key columns alone (narrow rows through the sort),
-    then only those rows are fetched with a broadcast semi-join (``n`` keys,
-    a bound fixed by the caller) and unpivoted.
+    All sections share their rows, so the head rows are found once
+    (``_head_rows``: key-first for wide tables) and then unpivoted; the
+    source is not scanned once per section.
     """
     used = list(dict.fromkeys([*keys, *[c for cols in sections.values() for c in cols]]))
-    order = [F.col(ident(k)) for k in keys]
-    head_keys = df.select(*order).orderBy(*order).limit(n)
-    cond = None
-    for k in keys:
-        c = df[ident(k)].eqNullSafe(head_keys[ident(k)])
-        cond = c if cond is None else cond & c
-    rows = df.join(F.broadcast(head_keys), cond, "left_semi")
-    head = rows.select(*[F.col(ident(c)) for c in used]).orderBy(*order).limit(n)
+    head = _head_rows(df, keys, used, n)
     return sections_long(head, keys, sections, section_col, variable_col, value_col)
 
 
