@@ -106,3 +106,43 @@ def test_decode_columns_literal_and_join_paths(spark):
         got = {r["id"]: (r["q1_label"], r["s_label"]) for r in out.collect()}
         assert got == want
         assert out.columns[:3] == ["id", "q1", "s"]
+
+
+def _model(text):
+    """The line rules, line by line in Python (the spec the parser follows)."""
+    import re
+    out, current = [], None
+    for line in text.splitlines():
+        line = line.replace('"', "").strip()
+        if line.endswith(":"):
+            current = line[:-1]
+            continue
+        parts = re.split(r"[- ]", line, maxsplit=1)
+        if len(parts) == 2:
+            out.append((current, parts[0], parts[1]))
+    return out
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_WORD = st.text(alphabet="abcXYZ019 -\"'", min_size=0, max_size=8)
+_LINE = st.one_of(
+    st.builds(lambda w: f'"{w}":', _WORD),
+    st.builds(lambda w: f"  {w}:  ", _WORD),
+    st.builds(lambda c, sep, v: f"{c}{sep}{v}", st.integers(-5, 99), st.sampled_from([" ", "-", " - ", "  "]), _WORD),
+    _WORD,
+)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(_LINE, min_size=1, max_size=30), st.sampled_from(["\n", "\r\n", "\r"]))
+def test_parse_matches_line_model(spark, lines, newline):
+    import tempfile
+    text = newline.join(lines) + newline
+    path = tempfile.mkdtemp(prefix="quire-cb-") + "/cb.txt"
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    got = labels.parse_value_labels(read_lines(spark, path), "permissive", keep_position=True)
+    got = [(r["vallab"], r["code"], r["value"]) for r in got.orderBy("file", "block", "seq", "sub").collect()]
+    assert got == _model(text)
