@@ -134,3 +134,21 @@ def test_read_variables_ordinal_is_file_then_line_order(spark, tmp_dir):
         f.write("name,type\nc,int\na,double\nb,str20\n")
     got = [(r["name"], r["ordinal"]) for r in files.read_variables(spark, folder).orderBy("ordinal").collect()]
     assert got == [("c", 0), ("a", 1), ("b", 2), ("d", 3), ("e", 4)]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=' ,"\'\n\r\tabé中;', max_size=12)),
+                min_size=1, max_size=20))
+def test_csv_round_trip_property(spark, texts):
+    import tempfile
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    path = tempfile.mkdtemp(prefix="quire-csv-") + "/out"
+    writers.write_csv(df, path)
+    back = files.read_csv(spark, path, schema=df.schema, null_tokens=[], multiline=True)
+    got = dict((r["id"], r["s"]) for r in back.collect())
+    # '' and null are written alike and read back as null.
+    assert got == {i: (t if t else None) for i, t in enumerate(texts)}
