@@ -61,3 +61,21 @@ def test_row_index_balances_a_hot_key(spark):
     ranged = chunks.range_sorted(hot, ["k"], num_partitions=6)
     sizes = [r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) >= 5 and max(sizes) < 1000  # the hot key is cut across partitions
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), min_size=1, max_size=60),
+       st.integers(1, 7))
+def test_row_index_matches_sorted_positions(spark, rows, parts):
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = sorted((r["a"], r["b"], r["row_index"]) for r in
+                 chunks.with_row_index(df, ["a", "b"], num_partitions=parts).collect())
+    want = sorted(rows)
+    # Positions are 0..n-1 and follow the key order (ties take any order).
+    assert sorted(g[2] for g in got) == list(range(len(rows)))
+    by_index = [g[:2] for g in sorted(got, key=lambda g: g[2])]
+    assert by_index == want

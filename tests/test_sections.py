@@ -101,3 +101,31 @@ def test_section_sizes_plus_unassigned_equal_width():
     cov = sections.coverage(cols, smap, ["interview__key", "interview__id"])
     assert sum(len(v) for v in smap.values()) + len(cov["unassigned"]) + 2 == len(cols)
     assert cov["unassigned"] == [f"X{i}" for i in range(25, 30)] and cov["multi_assigned"] == []
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_NAME = st.text(alphabet="ABDRS1_x", min_size=1, max_size=5)
+_RULE = st.tuples(st.sampled_from(["s1", "s2", "s3"]), st.sampled_from(["prefix", "name", "exclude"]),
+                  st.text(alphabet="ABDRS1_", min_size=1, max_size=3))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(_NAME, min_size=1, max_size=25, unique=True), st.lists(_RULE, min_size=1, max_size=8))
+def test_prefix_sections_match_model(spark, names, rules):
+    def model(name):
+        out = set()
+        for sec in {r[0] for r in rules}:
+            inc = any(name.startswith(p) for s, k, p in rules if s == sec and k == "prefix") or \
+                any(name == p for s, k, p in rules if s == sec and k == "name")
+            exc = any(name.startswith(p) for s, k, p in rules if s == sec and k == "exclude")
+            if inc and not exc:
+                out.add(sec)
+        return out
+
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {}
+    for r in sections.sections_by_prefix(df, rules).collect():
+        got.setdefault(r["name"], set()).add(r["section"])
+    assert got == {n: model(n) for n in names if model(n)}
