@@ -52,3 +52,25 @@ def section_heads(spark: SparkSession, parquet_path: str, keys: Sequence[str],
 def read_section(spark: SparkSession, parquet_path: str, keys: Sequence[str],
                  columns: Sequence[str]) -> DataFrame:
     return project_section(spark.read.parquet(parquet_path), keys, columns)
+
+
+def show_section_heads(df: DataFrame, keys: Sequence[str], sections: Mapping[str, Sequence[str]],
+                       n: int = 5) -> None:
+    """Print the first ``n`` rows of every section for a person to read.
+
+    The heads come from one scan (``section_heads``); only ``n`` rows per
+    section reach the driver.
+    """
+    from pyspark.sql import functions as F
+
+    from quire.operators.sections import section_heads
+
+    heads = section_heads(df, keys, sections, n).cache()
+    try:
+        for name, cols in sections.items():
+            part = (heads.where(F.col("section") == name)
+                    .groupBy(*keys).pivot("variable", list(cols)).agg(F.first("value")))
+            print(f"-- section {name} ({len(cols)} columns)")
+            part.orderBy(*keys).show(n, truncate=False)
+    finally:
+        heads.unpersist()

@@ -40,7 +40,8 @@ def rows_per_file(df: DataFrame) -> DataFrame:
 def bytes_on_disk(spark: SparkSession, path: str) -> DataFrame:
     """Total bytes of the files under ``path`` (file listing; contents not read)."""
     files = spark.read.format("binaryFile").load(path).select("length")
-    return files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return (files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+            .withColumn("gb", F.round(F.col("bytes") / F.lit(1e9), 2)))
 
 
 FOOTER_SCHEMA = ("file_path string, n_rows long, n_row_groups int, n_columns int, "

@@ -106,6 +106,7 @@ def test_append_and_profile(spark, tmp_dir):
         ("a", 1, 2, "id,s"), ("b", 2, 2, "id,s")]
     size = profile.bytes_on_disk(spark, path).collect()[0]
     assert size["bytes"] == sum(os.path.getsize(p) for p in glob.glob(f"{path}/*.parquet"))
+    assert size["gb"] == round(size["bytes"] / 1e9, 2)
 
 
 def test_partitioned_files_per_value(spark, tmp_dir):

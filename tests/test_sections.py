@@ -129,3 +129,13 @@ def test_prefix_sections_match_model(spark, names, rules):
     for r in sections.sections_by_prefix(df, rules).collect():
         got.setdefault(r["name"], set()).add(r["section"])
     assert got == {n: model(n) for n in names if model(n)}
+
+
+def test_show_section_heads(spark, capsys):
+    from quire.plans.convert import show_section_heads
+
+    cust = spark.read.parquet(f"{SF001}/customer.parquet")
+    show_section_heads(cust, ["c_custkey"], {"place": ["c_name", "c_nationkey"], "money": ["c_acctbal"]}, 3)
+    out = capsys.readouterr().out
+    assert "-- section place (2 columns)" in out and "-- section money (1 columns)" in out
+    assert "Customer#000000000" in out
