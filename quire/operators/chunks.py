@@ -58,43 +58,53 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "
             .drop("_pid", "_off", "_mid"))
 
 
-def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The rows whose position in ``order_by`` order is below ``n``.
-
-    Only the key columns are range-sorted and written out to find the
-    ``n``-th key; the full rows are then filtered to keys at or below it
-    (the leading key also as a plain comparison, which reaches the Parquet
-    scan as a pushed filter) and only that subset is numbered. The full
-    table is never sorted or written.
-    """
+def _first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Rows with key at or below the ``n``-th key, and whether that set is
+    exactly the first ``n`` rows (no tie straddles position ``n``)."""
     keys = list(order_by)
     key_idx = with_row_index(df.select(*keys), keys, index_col="_pos")
-    edge = key_idx.where(F.col("_pos") == F.lit(n - 1)).select(*keys).collect()
+    edge = (key_idx.where(F.col("_pos").isin(n - 1, n)).orderBy("_pos")
+            .select(*keys).collect())
     if not edge:
-        return df
+        return df, True
     last = edge[0]
+    exact = len(edge) == 1 or tuple(edge[1]) != tuple(last)
     types = {f.name: f.dataType for f in df.schema.fields}
     typed = {k: F.lit(last[k]).cast(types[k]) for k in keys}
     # Struct order is field by field with nulls first, as the ascending sort.
     bound = F.struct(*[F.col(k) for k in keys]) <= F.struct(*[typed[k].alias(k) for k in keys])
     if last[keys[0]] is None:
-        return df.where(F.col(keys[0]).isNull() & bound)
+        return df.where(F.col(keys[0]).isNull() & bound), exact
     # The leading-key test is implied by the bound but kept as its own
     # conjunct so it is pushed into the scan (row-group pruning).
     lead = F.col(keys[0]).isNull() | (F.col(keys[0]) <= typed[keys[0]])
-    return df.where(lead & bound)
+    return df.where(lead & bound), exact
+
+
+def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The rows whose key is at or below the ``n``-th key in ``order_by``
+    order (the first ``n`` rows plus any ties with the ``n``-th).
+
+    Only the key columns are range-sorted and written out to find the
+    ``n``-th key; the full rows are then filtered to keys at or below it
+    (the leading key also as a plain comparison, which reaches the Parquet
+    scan as a pushed filter). The full table is never sorted or written.
+    """
+    return _first_rows(df, n, order_by)[0]
 
 
 def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` rows. Unordered: any ``n`` (a plain limit). Ordered: the
     first ``n`` in key order, found by global position (no single-task merge
-    of per-partition top-n lists, no sort of the full rows)."""
+    of per-partition top-n lists, no sort of the full rows). When no tie
+    straddles position ``n`` the filtered rows are the answer as they are;
+    otherwise the subset is numbered and cut at ``n``."""
     if not order_by:
         return df.limit(n)
     cols = df.columns
-    subset = first_rows(df, n, order_by)
-    if subset is df:
-        return df  # fewer than n rows: all of them, no numbering needed
+    subset, exact = _first_rows(df, n, order_by)
+    if exact:
+        return subset
     return with_row_index(subset, order_by, index_col="_pos").where(F.col("_pos") < n).select(*cols)
 
 

@@ -79,3 +79,10 @@ def test_row_index_matches_sorted_positions(spark, rows, parts):
     assert sorted(g[2] for g in got) == list(range(len(rows)))
     by_index = [g[:2] for g in sorted(got, key=lambda g: g[2])]
     assert by_index == want
+
+
+def test_row_cap_with_ties_at_the_edge(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (0, "e")], "k int, v string")
+    for n, want_keys in [(1, [0]), (2, [0, 1]), (3, [0, 1, 1]), (4, [0, 1, 1, 1]), (5, [0, 1, 1, 1, 2])]:
+        got = sorted(r["k"] for r in chunks.scan_row_cap(df, n, order_by=["k"]).collect())
+        assert got == want_keys, n
