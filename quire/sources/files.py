@@ -118,6 +118,23 @@ def tagged_scan(spark: SparkSession, paths: Sequence[str], *, fmt: str = "parque
     return df.withColumn(tag, tag_col)
 
 
+FILE_POSITION = ["_file", "_block", "_row"]
+
+
+def with_file_position(df: DataFrame) -> DataFrame:
+    """Add the position of each row in its source files: file path, split
+    offset and a row id increasing through the split. Ordering by
+    ``FILE_POSITION`` is file order (files by path, then line order), so
+    ``batch_preview(df, FILE_POSITION)`` numbers batches as a sequential
+    reader would. Call it directly on a file scan, before any filter."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Text lines with a position key that keeps file order without one task.
 

@@ -86,3 +86,27 @@ def test_row_cap_with_ties_at_the_edge(spark):
     for n, want_keys in [(1, [0]), (2, [0, 1]), (3, [0, 1, 1]), (4, [0, 1, 1, 1]), (5, [0, 1, 1, 1, 2])]:
         got = sorted(r["k"] for r in chunks.scan_row_cap(df, n, order_by=["k"]).collect())
         assert got == want_keys, n
+
+
+
+def test_batches_in_file_order(spark, tmp_dir):
+    from quire.sources.files import FILE_POSITION, read_csv, with_file_position
+
+    folder = f"{tmp_dir}/csvs"
+    import os
+    os.makedirs(folder)
+    values = [f"v{i:04d}" for i in range(2500)]
+    # Two files; the second holds the later lines.
+    for name, chunk in (("a.csv", values[:1300]), ("b.csv", values[1300:])):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("v\n" + "\n".join(chunk) + "\n")
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")  # many splits per file
+    try:
+        df = with_file_position(read_csv(spark, folder, schema="v string", null_tokens=[]))
+        prev_rows = chunks.batch_preview(df, FILE_POSITION, batch_size=100, max_batches=7).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    got = sorted((r["row_index"], r["batch"], r["v"]) for r in prev_rows)
+    assert [g[2] for g in got] == values[:700]
+    assert [g[1] for g in got] == [i // 100 + 1 for i in range(700)]
