@@ -11,10 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import labels, sections, typing
+from quire.operators import chunks, labels, sections, typing
 from quire.plans.convert import csv_to_parquet
 from quire.sinks import writers
-from quire.sources.files import NULL_TOKEN, read_variables
+from quire.sources.files import (FILE_POSITION, NULL_TOKEN, read_csv, read_variables,
+                                 with_file_position)
 
 
 def convert_survey(spark: SparkSession, csv_path: str, parquet_path: str, *,
@@ -24,6 +25,21 @@ def convert_survey(spark: SparkSession, csv_path: str, parquet_path: str, *,
                           row_group_rows=row_group_rows)
 
 
+def preview_batches(spark: SparkSession, csv_path: str, *, batch_size: int = 50_000,
+                    max_batches: int = 50, row_cap: int | None = 1_000_000,
+                    null_tokens: Sequence[str] = (NULL_TOKEN,)) -> DataFrame:
+    """The first ``max_batches`` batches of a CSV in file order, numbered
+    from 1, types inferred, null tokens as null; rows past ``row_cap`` are
+    not read into any batch."""
+    df = with_file_position(read_csv(spark, csv_path, null_tokens=null_tokens))
+    limit = batch_size * max_batches
+    if row_cap is not None:
+        limit = min(limit, row_cap)
+        max_batches = -(-limit // batch_size)
+    out = chunks.batch_preview(df, FILE_POSITION, batch_size=batch_size, max_batches=max_batches)
+    return out.where(out["row_index"] < limit).drop(*FILE_POSITION)
+
+
 def labels_to_csv(spark: SparkSession, codebook_path: str, out_path: str, *,
                   mode: str = "strict", signed_codes: bool = False) -> DataFrame:
     """Codebook text -> ``(vallab, code, value)`` CSV; returns the label table."""

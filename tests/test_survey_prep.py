@@ -42,3 +42,15 @@ def test_survey_steps(spark, tmp_dir):
     b1 = spark.read.parquet(paths["B1"])
     assert b1.columns == ["interview__key", "interview__id", "B1A", "B1B"]
     assert all(os.path.isdir(p) for p in paths.values())
+
+
+def test_preview_batches(spark, tmp_dir):
+    path = f"{tmp_dir}/big.csv"
+    with open(path, "w") as f:
+        f.write("a,b\n" + "\n".join(f"{i},{'#NULL!' if i % 4 == 0 else i * 2}" for i in range(1000)) + "\n")
+    out = survey_prep.preview_batches(spark, path, batch_size=60, max_batches=5, row_cap=250)
+    rows = sorted((r["row_index"], r["batch"], r["a"], r["b"]) for r in out.collect())
+    assert len(rows) == 250 and rows[-1][1] == 5
+    assert all(a == i and batch == i // 60 + 1 for i, batch, a, _ in rows)
+    assert all((b is None) == (a % 4 == 0) for _, _, a, b in rows)
+    assert dict(out.dtypes)["a"] == "int"
