@@ -20,7 +20,7 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType |
     bounded chunk; each batch is converted by all tasks in parallel) and an
     ``availableNow`` trigger: the query drains what is there and stops. Re-running picks up
     only new files; the file sink's log makes output exactly-once. Returns
-    the per-batch progress (rows per batch, the running count is their sum).
+    the per-batch progress of this run: rows per batch and the running total.
     """
     stream = (spark.readStream.format(fmt).schema(schema)
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -30,9 +30,10 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType |
              .option("path", sink).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
-    progress = [
-        {"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress
-    ]
+    progress, total = [], 0
+    for p in query.recentProgress:
+        total += p["numInputRows"]
+        progress.append({"batch": p["batchId"], "rows": p["numInputRows"], "rows_total": total})
     exc = query.exception()
     if exc is not None:
         raise RuntimeError(str(exc))

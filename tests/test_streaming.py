@@ -42,6 +42,7 @@ def test_csv_landing_to_text_parquet(spark, tmp_dir):
         source_options={"header": "true", "nullValue": "#NULL!"},
         transform=lambda d: clean.clean_parquet_table(d, raw_names=raw), max_files_per_trigger=1)
     assert len(progress) == 3 and sum(p["rows"] for p in progress) == 6
+    assert [p["rows_total"] for p in progress] == [2, 4, 6]
     out = spark.read.parquet(sink)
     assert out.columns == ["a_b", "col_1", "c"]
     assert sorted(tuple(r) for r in out.collect()) == sorted(
