@@ -28,6 +28,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 LINEITEM_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 PRICE_SECTION = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# The four keys repeat at the smallest scale (one pair at sf0.001); the other
+# columns complete a total order so positions are defined at every scale.
+LINEITEM_ORDER = LINEITEM_KEYS + ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                                  "l_returnflag", "l_linestatus", "l_shipdate"]
 ORDERS_SECTION = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 ORDERS_DECLARED = {
     "o_orderkey": "BIGINT",
@@ -317,12 +321,12 @@ def q_section_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_batch_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.batch_preview(read_table(spark, sf, "lineitem"), LINEITEM_KEYS,
+    return chunks.batch_preview(read_table(spark, sf, "lineitem"), LINEITEM_ORDER,
                                 batch_size=1000, max_batches=50)
 
 
 def q_scan_row_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.scan_row_cap(read_table(spark, sf, "lineitem"), 25_000, order_by=LINEITEM_KEYS)
+    return chunks.scan_row_cap(read_table(spark, sf, "lineitem"), 25_000, order_by=LINEITEM_ORDER)
 
 
 def q_chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -486,6 +490,7 @@ def _ddl_sql(variables_sql: str, only_ddl: bool = False) -> str:
 
 
 _KEYS = ", ".join(LINEITEM_KEYS)
+_ORDER = ", ".join(LINEITEM_ORDER)
 
 ORACLE: dict[str, str] = {
     "scan_null_token": _orders_typed_sql(),
@@ -542,8 +547,8 @@ ORACLE: dict[str, str] = {
     "section_heads": _split_sql("(SELECT * FROM customer ORDER BY c_custkey LIMIT 5)"),
     "batch_preview": (
         "SELECT * EXCLUDE (rn), rn - 1 AS row_index, (rn - 1) // 1000 + 1 AS batch FROM "
-        f"(SELECT *, row_number() OVER (ORDER BY {_KEYS}) AS rn FROM lineitem) WHERE rn <= 50000"),
-    "scan_row_cap": f"SELECT * FROM lineitem ORDER BY {_KEYS} LIMIT 25000",
+        f"(SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rn FROM lineitem) WHERE rn <= 50000"),
+    "scan_row_cap": f"SELECT * FROM lineitem ORDER BY {_ORDER} LIMIT 25000",
     "chunk_manifest": (
         "WITH c AS (SELECT (row_number() OVER () - 1) // 5000 + 1 AS chunk FROM lineitem) "
         "SELECT chunk, count(*) AS rows, CAST(sum(count(*)) OVER (ORDER BY chunk) AS BIGINT) AS rows_total, "
