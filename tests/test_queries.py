@@ -55,3 +55,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 5 and df.columns[:4] == ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def test_output_column_names_are_unique(spark):
+    # The driver sorts result columns by name before comparing.
+    for key, fn in E.queries().items():
+        cols = fn(spark, "/root/testdata/sf0.001").columns
+        assert len(cols) == len({c.lower() for c in cols}), key
