@@ -7,6 +7,8 @@ tables into key-carrying sections. Every operator takes and returns
 DataFrames built from Spark's own expressions.
 """
 
+from quire import functions, operators, sinks, sources, streaming
 from quire.session import checkpoint_dir, get_session, scratch_path, sized_broadcast
 
-__all__ = ["checkpoint_dir", "get_session", "scratch_path", "sized_broadcast"]
+__all__ = ["functions", "operators", "sinks", "sources", "streaming",
+           "checkpoint_dir", "get_session", "scratch_path", "sized_broadcast"]
