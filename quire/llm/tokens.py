@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Parts a worker remembers before it starts afresh.
-MEMO_PARTS = 500_000
+#: Parts of one generation; a worker remembers two of them.
+MEMO_PARTS = 400_000
 #: Characters that are certainly no white space for either side of a cut.
 _SOLID = "!-~¡-ɏ"
 _LOOSE = (re.compile(f" (?![{_SOLID}])"), re.compile(f"[^{_SOLID}] "))
@@ -39,16 +39,23 @@ def byte_letters() -> list[str]:
 
 
 class Parts(dict):
-    """Part of a text -> its ids as little-endian unsigned 32-bit integers."""
+    """Part of a text -> its ids as little-endian unsigned 32-bit integers. When
+    a generation is full it becomes the old one, from which parts in use return."""
 
     def __init__(self, tokenizer, lower: bool, before: str):
         self.tokenizer, self.lower, self.before, self.cores = tokenizer, lower, before, {}
+        self.old: dict = {}
         self.letters = byte_letters()
 
     def __missing__(self, part) -> bytes:
         if len(self) >= MEMO_PARTS:
+            self.old = dict(self)
             self.clear()
             self.cores.clear()
+        ids = self.old.get(part)
+        if ids is not None:
+            self[part] = ids
+            return ids
         text = part.decode() if isinstance(part, bytes) else part
         simple = _SIMPLE.fullmatch(text)
         if simple:
