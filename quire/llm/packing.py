@@ -6,8 +6,9 @@ each document is packed: documents are dealt at random into groups of bounded
 size, each group is packed best-fit in decreasing order, and a local search
 moves one document, exchanges one for one, or two for one, between underfull
 sequences as long as that increases the sum of squared fills, until sequences
-empty. What then sits in underfull sequences is dealt into groups again, until
-one group is left, so the rounds shrink and no group depends on the data's size.
+empty. Sequences that are then full, and the fuller half of the others, are
+settled; the documents of the rest are dealt into groups again, until one group
+is left, so each round is at most half the last and no group grows with the data.
 
 Defined results: a null text is an empty one; an empty text holds the end id
 only; rows with equal (or null) doc_id are separate documents; an empty table
@@ -174,7 +175,7 @@ def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = P
 
 def _packed(size: int, level: int):
     """One group: settled sequences get an id made of level, group and number."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", ignore_index=True)
         base = (level << 56) | (int(key[0]) << 24)
         n = rows["n_tokens"].to_numpy()
@@ -190,11 +191,14 @@ def _packed(size: int, level: int):
         fill = np.zeros(len(bins), np.int64)
         for k, b in enumerate(bins):
             fill[k] = rest[items[b]].sum()
-        full = np.isin(out_seq, [base | k for k in np.flatnonzero(fill == size).tolist()]) | (rest == 0)
+        done = fill == size
+        done[np.argsort(-fill, kind="stable")[:-(-len(bins) // 2)]] = True
+        settled = np.ones(len(rows), bool)  # a document of full pieces only has nothing to place
+        settled[items] = done[out_seq[items] - base]
         # Sequences of the full pieces are numbered after the packed ones, once, at the first level.
         pieces = n // size
         first_full = (base | len(bins)) + np.cumsum(pieces) - pieces if level == 0 else rows["full_id"].to_numpy()
-        return rows.assign(sequence_id=out_seq, offset=out_at, full_id=first_full, settled=full)[_PACKED]
+        return rows.assign(sequence_id=out_seq, offset=out_at, full_id=first_full, settled=settled)[_PACKED]
     return run
 
 
