@@ -83,18 +83,21 @@ class Automaton:
         self.__dict__.update(state)
         self.index = {}
 
-    def place(self, h: int) -> int:
-        at = int(np.searchsorted(self.hashes, np.uint64(h)))
-        return at if at < len(self.hashes) and int(self.hashes[at]) == h else ROOT
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word hash, ROOT for those that have none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), ROOT, np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, at, ROOT)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word, ROOT for those that have none."""
-        index = self.index
-        for w in set(words).difference(index):
-            if len(index) >= 2 * MEMO_WORDS:
-                index.clear()
-                return np.array([self.place(xxhash.xxh3_64_intdigest(w)) for w in words], np.int64)
-            index[w] = self.place(xxhash.xxh3_64_intdigest(w))
+        """Place of each word; those of a slice of text are looked up together."""
+        index, distinct = self.index, set(words)
+        if len(index) + len(distinct) > 2 * MEMO_WORDS:
+            index.clear()
+        new = list(distinct.difference(index))
+        index.update(zip(new, self.places(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))).tolist()))
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def traverse(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -118,7 +121,7 @@ def _paths(automaton: Automaton, texts: list[bytes]) -> tuple[list[list[bytes]],
     cut = [t.lower().split() for t in texts]
     size = np.array([len(c) + 1 for c in cut])
     last = np.cumsum(size) - 1
-    end = automaton.place(END)
+    end = int(automaton.places(np.array([END], np.uint64))[0])
     word = np.empty(int(last[-1]) + 1, np.int64)
     inner = np.ones(len(word), bool)
     inner[last] = False
