@@ -8,7 +8,7 @@ DataFrames built from Spark's own expressions.
 """
 
 from quire import functions, operators, sinks, sources, streaming
-from quire.session import checkpoint_dir, get_session, scratch_path, sized_broadcast
+from quire.session import checkpoint_dir, get_session, scratch_path
 
 __all__ = ["functions", "operators", "sinks", "sources", "streaming",
-           "checkpoint_dir", "get_session", "scratch_path", "sized_broadcast"]
+           "checkpoint_dir", "get_session", "scratch_path"]

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quire.functions.sqltext import ident
-from quire.session import spread
 
 
 class Ref(str):
@@ -45,20 +44,19 @@ class Program:
 Rule = Callable[[Program, Ref, T.DataType], str]
 
 
-def apply_rule(df: DataFrame, rule: Rule, columns: Sequence[str] | None = None,
-               spread_input: bool = True) -> DataFrame:
+def apply_rule(df: DataFrame, rule: Rule, columns: Sequence[str] | None = None) -> DataFrame:
     """Apply ``rule`` to every (or the chosen) column; others pass through.
 
     One projection when no rule names an intermediate; otherwise one extra
     projection per level of intermediates. Duplicate column names (kept by
-    the CSV header rules) are handled by working on positional names. A
-    small input is first spread over all cores (``session.spread``).
+    the CSV header rules) are handled by working on positional names.
+    Rows stay in their order and partitions.
     """
     chosen = set(df.columns if columns is None else columns)
     names = list(df.columns)
     positional = len({n.lower() for n in names}) != len(names)
     work_names = [f"_q{i}" for i in range(len(names))] if positional else names
-    work = spread(df) if spread_input else df
+    work = df
     if positional:
         work = work.toDF(*work_names)
     finals: list[str] = []

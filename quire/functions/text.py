@@ -3,7 +3,7 @@
 Rules are written against a ``Program`` (see ``program.py``): each takes
 the reference of an input column and returns the SQL text of the result,
 naming repeated intermediates with ``prog.let``. All of them are built-in
-expressions and stay inside whole-stage codegen (no Python UDF).
+expressions and run in the JVM (no Python UDF).
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ PY_WHITESPACE_CLASS = (
 # \n, \r and \r\n (which Spark's text source already splits on).
 EXTRA_LINE_BREAK_CLASS = "[\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
+# Texts that are numbers: decimal digits, a fraction, an exponent, or infinity.
+# The engine's cast also takes type suffixes (1D) and hexadecimal floats.
+NUMBER_TEXT = "(?i)^\\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\\s*$"
+
 # The CSV cell rule's replacements, applied in this order.
 CSV_CELL_REPLACEMENTS = ((",", " "), ("\n", " "), ('"', "'"))
 
@@ -110,7 +114,7 @@ def numeric_or_text(prog: Program, x: Ref, dtype: T.DataType) -> str:
     if not isinstance(dtype, T.StringType):
         return x
     whole = prog.let(f"try_cast({x} AS BIGINT)", x)
-    real = prog.let(f"try_cast({x} AS DOUBLE)", x)
+    real = prog.let(f"CASE WHEN {x} RLIKE {lit(NUMBER_TEXT)} THEN try_cast({x} AS DOUBLE) END", x)
     # A text that parses to NaN is not a number: it keeps its text, as the
     # missing-value fill after numeric detection restores it.
     return (f"CASE WHEN {whole} IS NOT NULL THEN cast({whole} AS STRING) "

@@ -18,8 +18,16 @@ def union_chunks(frames: Sequence[DataFrame]) -> DataFrame:
 
 def append_chunks(frames: Sequence[DataFrame], path: str, *, fmt: str = "parquet",
                   options: dict[str, str] | None = None) -> str:
-    """Write the first chunk (replacing the target), then append the rest."""
+    """Write the first chunk (replacing the target), then append the rest. The
+    first chunk fixes the columns and types; a chunk that differs is an error
+    before anything is written."""
+    if not frames:
+        raise ValueError("no chunks")
+    fixed = dict(frames[0].dtypes)
+    for i, df in enumerate(frames[1:], 2):
+        if dict(df.dtypes) != fixed:
+            raise ValueError(f"chunk {i} has columns {df.dtypes}, the first chunk {frames[0].dtypes}")
     for i, df in enumerate(frames):
-        (df.write.mode("overwrite" if i == 0 else "append")
+        (df.select(*frames[0].columns).write.mode("overwrite" if i == 0 else "append")
          .options(**(options or {})).format(fmt).save(path))
     return path

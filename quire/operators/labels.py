@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 
 from quire.functions.sqltext import ident, lit
 from quire.functions.text import py_strip
-from quire.session import sized_broadcast
 from quire.sources.files import read_lines
 
 # Fixed value: a code and its value are separated by the first "-" or space.
 CODE_SEPARATOR = "[- ]"
 # With signed codes a separator at the very start is part of the code ("-1 Refused").
 SIGNED_CODE_SEPARATOR = "(?<=.)[- ]"
-# Codebooks up to this many entries are turned into literal maps for decoding
-# (each entry becomes two literals in the plan, so keep the plan small).
-MAX_LITERAL_CODES = 20_000
-
 
 def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bool = False,
                        signed_codes: bool = False) -> DataFrame:
@@ -60,8 +55,10 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     parts = F.split(F.col("_t"), SIGNED_CODE_SEPARATOR if signed_codes else CODE_SEPARATOR, 2)
     bad = F.get(parts, 1).isNull()
     if mode == "strict":
-        code = F.when(bad, F.raise_error(F.concat(F.lit("codebook line has no code separator: '"),
-                                                   F.col("_t"), F.lit("'")))).otherwise(F.get(parts, 0))
+        # In a filter, so that a count or any projection fails as well.
+        values = values.where(F.when(bad, F.raise_error(F.concat(
+            F.lit("codebook line has no code separator: '"), F.col("_t"), F.lit("'"))).cast("boolean")).otherwise(F.lit(True)))
+        code = F.get(parts, 0)
     elif mode == "permissive":
         values = values.where(~bad)
         code = F.get(parts, 0)
@@ -77,58 +74,31 @@ def read_value_labels(spark, path, mode: str = "strict", signed_codes: bool = Fa
     return parse_value_labels(read_lines(spark, path), mode, signed_codes=signed_codes)
 
 
-def rejected_label_lines(lines: DataFrame) -> DataFrame:
+def rejected_label_lines(lines: DataFrame, signed_codes: bool = False) -> DataFrame:
     """Lines that are neither headings nor splittable, with their position."""
+    separator = SIGNED_CODE_SEPARATOR if signed_codes else CODE_SEPARATOR
     t = F.expr(py_strip("replace(line, '\"', '')"))
     return (lines.withColumn("_t", t)
-            .where(~F.col("_t").endswith(":") & F.get(F.split("_t", CODE_SEPARATOR, 2), 1).isNull())
+            .where(~F.col("_t").endswith(":") & F.get(F.split("_t", separator, 2), 1).isNull())
             .select("file", "block", "seq", "sub", "line"))
 
 
 def decode_labels(df: DataFrame, column: str, labels: DataFrame, vallab: str,
                   out_col: str | None = None) -> DataFrame:
-    """Add the label text of a coded column (left join on code).
-
-    The one codebook used is broadcast only when a count shows it small; a
-    big codebook goes through a shuffle join where AQE splits hot codes.
-    """
+    """Add the label text of a coded column (left join on code, whose strategy
+    the planner chooses). A code with two different labels is an error."""
     out_col = out_col or f"{column}_label"
-    lab = (labels.where(F.col("vallab") == F.lit(vallab))
-           .select(F.col("code").alias("_code"), F.col("value").alias(out_col))
-           .dropDuplicates(["_code"]))
-    return (df.join(sized_broadcast(lab), F.col(column).cast("string") == F.col("_code"), "left")
-            .drop("_code"))
+    same = F.min("value").eqNullSafe(F.max("value"))
+    clash = F.raise_error(F.concat(F.lit(f"two labels for a code of {vallab}: "), F.first("code")))
+    lab = (labels.where(F.col("vallab") == F.lit(vallab)).groupBy(F.col("code").alias("_code"))
+           .agg(F.when(same, F.min("value")).otherwise(clash).alias(out_col)))
+    return df.join(lab, F.col(column).cast("string") == F.col("_code"), "left").drop("_code")
 
 
 def decode_columns(df: DataFrame, columns: Mapping[str, str], labels: DataFrame, *,
-                   suffix: str = "_label", max_codes: int = MAX_LITERAL_CODES) -> DataFrame:
-    """Add a label column for each coded column (``{column: vallab}``).
-
-    A survey decodes hundreds of columns; one join per column would shuffle
-    or broadcast the table once each. When a count shows the needed
-    codebooks hold at most ``max_codes`` entries, they are read to the
-    driver and every column is decoded with a literal map lookup in one
-    projection (no join). Larger codebooks fall back to one size-checked
-    join per column.
-    """
-    wanted = sorted(set(columns.values()))
-    book = labels.where(F.col("vallab").isin(*wanted)).select("vallab", "code", "value")
-    n = book.limit(max_codes + 1).count()
-    if n > max_codes:
-        out = df
-        for col, vallab in columns.items():
-            out = decode_labels(out, col, labels, vallab, f"{col}{suffix}")
-        return out
-    maps: dict[str, dict[str, str]] = {}
-    for r in book.collect():
-        maps.setdefault(r["vallab"], {}).setdefault(r["code"], r["value"])
-    exprs = [ident(c) for c in df.columns]
+                   suffix: str = "_label") -> DataFrame:
+    """Add a label column for each coded column (``{column: vallab}``), one
+    planner-chosen join each."""
     for col, vallab in columns.items():
-        entries = maps.get(vallab, {})
-        if entries:
-            pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in entries.items())
-            expr = f"try_element_at(map({pairs}), cast({ident(col)} AS STRING))"
-        else:
-            expr = "CAST(NULL AS STRING)"
-        exprs.append(f"{expr} AS {ident(col + suffix)}")
-    return df.selectExpr(*exprs)
+        df = decode_labels(df, col, labels, vallab, f"{col}{suffix}")
+    return df

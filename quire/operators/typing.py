@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.sqltext import alias, ident
-from quire.functions.types import STATA_TO_SQL, UNMAPPED, sql_to_spark, type_map_column
-from quire.session import sized_broadcast, spread
+from quire.functions.sqltext import alias, ident, lit
+from quire.functions.types import UNMAPPED, sql_to_spark, type_map_column
 
-# PostgreSQL refuses tables wider than this; wider dictionaries are split.
-PG_MAX_COLUMNS = 1600
+# Number texts: decimal digits, a fraction, an exponent. The engine's own cast
+# also takes type suffixes (1D) and hexadecimal floats, which are text here.
+NUMBER = "^[ \\t\\n\\r\\f]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f]*$"
 
 
 def map_types(variables: DataFrame, type_col: str = "type", out_col: str = "sql_type", *,
@@ -21,8 +22,7 @@ def map_types(variables: DataFrame, type_col: str = "type", out_col: str = "sql_
     """Add the SQL type of each Stata storage code.
 
     By default the 33-entry dictionary is a literal map (no join). A user
-    dictionary table ``(code, sql_type)`` is joined instead, broadcast only
-    after its size is checked. Unknown codes give the text ``None``, or an
+    dictionary table ``(code, sql_type)`` is joined instead. Unknown codes give the text ``None``, or an
     error with ``on_unmapped="error"``.
     """
     if dictionary is None:
@@ -30,7 +30,7 @@ def map_types(variables: DataFrame, type_col: str = "type", out_col: str = "sql_
         out = variables.withColumn(out_col, looked)
     else:
         d = dictionary.select(F.col("code").alias("_code"), F.col("sql_type").alias("_sql"))
-        out = (variables.join(sized_broadcast(d), F.col(type_col) == F.col("_code"), "left")
+        out = (variables.join(d, F.col(type_col) == F.col("_code"), "left")
                .withColumn(out_col, F.col("_sql")).drop("_code", "_sql"))
     if on_unmapped == "error":
         fail = F.raise_error(F.concat(F.lit("unmapped type code: "), F.coalesce(F.col(type_col), F.lit("NULL"))))
@@ -44,6 +44,8 @@ def _typed_expr(col: str, target: T.DataType, empty_as_null: bool) -> str:
     t = target.simpleString()
     if isinstance(target, T.StringType):
         return src
+    if isinstance(target, T.NumericType):
+        src = f"CASE WHEN {src} RLIKE {lit(NUMBER)} THEN {src} END"
     if isinstance(target, (T.ShortType, T.IntegerType, T.LongType, T.ByteType)):
         # Integer codes sometimes arrive float-formatted ("3.0", "1e2"):
         # accept any whole number; "3.5" stays unparseable.
@@ -52,19 +54,48 @@ def _typed_expr(col: str, target: T.DataType, empty_as_null: bool) -> str:
     return f"try_cast({src} AS {t})"
 
 
-def apply_types(df: DataFrame, types: Mapping[str, str], *, empty_as_null: bool = True) -> DataFrame:
+def _checked(field: T.StructField, sql_type: str, empty_as_null: bool) -> tuple[str, str]:
+    """The typed expression of a column, and whether its value is refused."""
+    target = sql_to_spark(sql_type)
+    typed = _typed_expr(field.name, target, empty_as_null)
+    c = ident(field.name)
+    given = f"{c} IS NOT NULL" + (f" AND CAST({c} AS STRING) <> ''" if empty_as_null else "")
+    size = re.fullmatch(r"VARCHAR\((\d+)\)", sql_type.strip().upper())
+    if isinstance(target, T.StringType):
+        return typed, f"({given} AND length(CAST({c} AS STRING)) > {size[1]})" if size else "false"
+    return typed, f"({given} AND ({typed}) IS NULL)"
+
+
+def rejected_values(df: DataFrame, types: Mapping[str, str], keys: Sequence[str], *, empty_as_null: bool = True) -> DataFrame:
+    """Values that ``apply_types`` refuses: the keys, ``variable``, ``value`` and ``sql_type``."""
+    rows = []
+    for f in df.schema.fields:
+        if f.name in types:
+            _, bad = _checked(f, types[f.name], empty_as_null)
+            rows.append(f"CASE WHEN {bad} THEN named_struct('variable', {lit(f.name)}, "
+                        f"'value', CAST({ident(f.name)} AS STRING), 'sql_type', {lit(types[f.name])}) END")
+    out = df.selectExpr(*map(ident, keys), f"explode(array_compact(array({', '.join(rows)}))) AS _r")
+    return out.select(*map(ident, keys), "_r.variable", "_r.value", "_r.sql_type")
+
+
+def apply_types(df: DataFrame, types: Mapping[str, str], *, empty_as_null: bool = True,
+                on_error: str = "null") -> DataFrame:
     """Cast text columns to declared SQL types in one projection.
 
     ``types`` maps column -> SQL type (``SMALLINT``, ``VARCHAR(20)``, ...);
     columns not named keep their type. ``''`` becomes null first, and
-    values that do not parse become null (``try_cast``) instead of failing.
+    values that do not parse or are longer than their VARCHAR become null, or
+    fail the query with ``on_error="raise"``; ``rejected_values`` lists them.
     """
-    df = spread(df)
+    if on_error not in ("null", "raise"):
+        raise ValueError("on_error must be 'null' or 'raise'")
     exprs = []
     for f in df.schema.fields:
         if f.name in types:
-            target = sql_to_spark(types[f.name])
-            exprs.append(alias(_typed_expr(f.name, target, empty_as_null), f.name))
+            typed, bad = _checked(f, types[f.name], empty_as_null)
+            miss = ("NULL" if on_error == "null" else
+                    f"raise_error(concat('not a {types[f.name]}: ', CAST({ident(f.name)} AS STRING)))")
+            exprs.append(alias(f"CASE WHEN {bad} THEN {miss} ELSE {typed} END", f.name))
         else:
             exprs.append(ident(f.name))
     return df.selectExpr(*exprs)
@@ -77,38 +108,28 @@ def declared_types(variables: DataFrame, name_col: str = "name", sql_type_col: s
     return {r[0]: r[1] for r in rows}
 
 
-def generate_ddl(variables: DataFrame, *, table: str | None = None, dataset_col: str = "dataset",
-                 name_col: str = "name", sql_type_col: str = "sql_type", ordinal_col: str = "ordinal",
-                 max_columns: int | None = PG_MAX_COLUMNS) -> DataFrame:
-    """``CREATE TABLE IF NOT EXISTS`` text per dataset, columns in declared order.
-
-    Each statement holds at most ``max_columns`` columns: ordinals are cut
-    into blocks of that many, so a group never grows past a table's width
-    and a dataset wider than the limit gets numbered tables
-    (``name_1``, ``name_2`` ...); ``max_columns=None`` keeps one statement
-    per dataset, however wide. Output: dataset, part, table_name,
-    n_columns, ddl.
+def generate_ddl(variables: DataFrame, *, table: str | None = None, sections: DataFrame | None = None,
+                 keys: Sequence[str] = (), dataset_col: str = "dataset", name_col: str = "name",
+                 sql_type_col: str = "sql_type", ordinal_col: str = "ordinal") -> DataFrame:
+    """``CREATE TABLE IF NOT EXISTS`` text, columns in declared order: one
+    statement per dataset, whatever its width. With ``sections`` (section,
+    name), one per dataset and section, named ``dataset_section``, that holds
+    the dataset's ``keys`` first. Output: dataset, table_name, n_columns, ddl.
     """
-    v = variables
-    if table is not None:
-        v = v.withColumn(dataset_col, F.lit(table))
-    part = (F.floor(F.col(ordinal_col) / F.lit(max_columns)).cast("bigint") if max_columns
-            else F.lit(0).cast("bigint"))
-    defs = (v.select(F.col(dataset_col).alias("dataset"), part.alias("part"),
-                     F.col(ordinal_col).alias("_ord"),
-                     F.concat_ws(" ", F.col(name_col), F.col(sql_type_col)).alias("_def"))
-            .groupBy("dataset", "part")
-            .agg(F.count(F.lit(1)).alias("n_columns"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_def"))),
-                                          lambda x: x["_def"]), ",").alias("_defs")))
-    parts = F.count(F.lit(1)).over(Window.partitionBy("dataset"))
-    name = F.when(parts == 1, F.col("dataset")).otherwise(
-        F.concat(F.col("dataset"), F.lit("_"), (F.col("part") + 1).cast("string")))
-    return (defs.withColumn("table_name", name)
-            .select("dataset", "part", "table_name", "n_columns",
-                    F.concat(F.lit("CREATE TABLE IF NOT EXISTS "), F.col("table_name"), F.lit(" ("),
-                             F.col("_defs"), F.lit(");")).alias("ddl")))
-
-
-def stata_codes() -> list[str]:
-    return list(STATA_TO_SQL)
+    v = variables if table is None else variables.withColumn(dataset_col, F.lit(table))
+    v = v.select(F.col(dataset_col).alias("dataset"), F.col(name_col).alias("name"), F.col(ordinal_col).alias("_ord"),
+                 F.concat_ws(" ", F.col(name_col), F.col(sql_type_col)).alias("_def"))
+    if sections is None:
+        v = v.withColumn("table_name", F.col("dataset")).withColumn("_key", F.lit(0))
+    else:
+        key = F.col("name").isin(*keys)
+        of = v.where(~key).join(sections.select("section", "name"), "name")
+        heads = of.select("dataset", "section").distinct().join(v.where(key), "dataset")
+        v = heads.withColumn("_key", F.lit(0)).unionByName(of.withColumn("_key", F.lit(1)))
+        v = v.withColumn("table_name", F.concat_ws("_", "dataset", "section"))
+    # A statement is one value, so its columns meet in one row: as many as a table is wide.
+    defs = v.groupBy("dataset", "table_name").agg(
+        F.count("*").alias("n_columns"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_ord", "_def"))), lambda x: x["_def"]), ",").alias("_defs"))
+    return defs.select("dataset", "table_name", "n_columns",
+                       F.concat(F.lit("CREATE TABLE IF NOT EXISTS "), F.col("table_name"), F.lit(" ("), F.col("_defs"), F.lit(");")).alias("ddl"))

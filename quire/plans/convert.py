@@ -27,16 +27,14 @@ def table_to_parquet(df: DataFrame, path: str, raw_names: Sequence[object | None
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, *,
                    null_tokens: Sequence[str] = (NULL_TOKEN,), row_group_rows: int | None = None,
-                   multiline: bool | None = None) -> str:
+                   multiline: bool = True) -> str:
     """A raw CSV export to all-text Parquet, header cleaned from the raw row.
 
-    Quoted line breaks need the multi-line parser, which reads each file in
-    one task; it is used only when asked for or when the header itself holds
-    a line break, so ordinary exports stay splittable.
+    Cells may hold quoted line breaks, which needs the multi-line parser: each
+    file is then read by one task. ``multiline=False`` splits files, for
+    exports known to hold none.
     """
     raw = read_raw_header(spark, csv_path)
-    if multiline is None:
-        multiline = any(c is not None and ("\n" in c or "\r" in c) for c in raw)
     df = read_csv(spark, csv_path, null_tokens=null_tokens, multiline=multiline,
                   schema=",".join(f"`c{i}` string" for i in range(len(raw))))
     return table_to_parquet(df, out_path, raw_names=raw, row_group_rows=row_group_rows)

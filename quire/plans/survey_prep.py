@@ -48,13 +48,11 @@ def labels_to_csv(spark: SparkSession, codebook_path: str, out_path: str, *,
     return table
 
 
-def variables_to_ddl(spark: SparkSession, variables_path: str, out_path: str, table: str, *,
-                     max_columns: int | None = typing.PG_MAX_COLUMNS) -> DataFrame:
-    """Variable dictionary CSV -> ``CREATE TABLE`` text file (one statement
-    per line); returns the statements."""
+def variables_to_ddl(spark: SparkSession, variables_path: str, out_path: str, table: str) -> DataFrame:
+    """Variable dictionary CSV -> ``CREATE TABLE`` text file; returns the statement."""
     declared = typing.map_types(read_variables(spark, variables_path))
-    ddl = typing.generate_ddl(declared, table=table, max_columns=max_columns)
-    writers.write_text(ddl.orderBy("part"), out_path, "ddl")
+    ddl = typing.generate_ddl(declared, table=table)
+    writers.write_text(ddl, out_path, "ddl")
     return ddl
 
 

@@ -1,4 +1,4 @@
-"""Session defaults, shared scratch space and size-checked broadcast."""
+"""Session defaults, shared scratch space and table reads."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -19,11 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
-# Rows a side may hold to be broadcast on our own decision. Above this the
-# join is left to Spark (sort-merge, or AQE's runtime broadcast by bytes).
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 256 << 20
-
 
 def get_session(master: str | None = None, app: str = "quire",
                 conf: dict[str, str] | None = None) -> SparkSession:
@@ -79,62 +73,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its size estimate and a row count prove it
-    small; otherwise return it unchanged so the planner shuffles (with AQE
-    skew handling)."""
-    size = estimated_bytes(df)
-    if size is not None and size > max_bytes:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# Inputs below this estimated size may be spread over all cores.
-SMALL_INPUT_BYTES = 1 << 30
-_MIN_SPREAD_BYTES = 1 << 20
-_MAX_SPREAD_COLUMNS = 256
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes for scans)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. remote session)
-        return None
-
-
-def _already_repartitioned(df: DataFrame) -> bool:
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001
-        return False
-    return "RepartitionByExpression" in plan or "Repartition " in plan
-
-
-def spread(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Round-robin a small input over all cores before CPU-heavy row work.
-
-    A Parquet file with one row group is read by one task however it is
-    split, so per-cell work on it would use one core. Only inputs estimated
-    under ``max_bytes`` are spread: a large input is already read as many
-    splits, and a full shuffle of it would cost more than it returns.
-    """
-    if len(df.columns) > _MAX_SPREAD_COLUMNS:
-        return df  # shuffling very wide rows costs more than the per-cell work
-    if _already_repartitioned(df):
-        return df  # an earlier step (e.g. a chained cell rule) spread it
-    size = estimated_bytes(df)
-    if size is None or size > max_bytes or size < _MIN_SPREAD_BYTES:
-        return df
-    # Hash of the input row id: identical rows spread too, no sort first
-    # (unlike a round-robin repartition), and a retried file-scan task
-    # produces the same ids, so the shuffle is deterministic.
-    salt = F.xxhash64(F.monotonically_increasing_id())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, salt)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

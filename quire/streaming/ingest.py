@@ -26,10 +26,15 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType |
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .options(**(source_options or {})).load(source))
     out = transform(stream) if transform else stream
+    # The query keeps the progress of its latest batches only; keep that of all.
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept, None)
+    spark.conf.set(kept, str(2**31 - 1))
     query = (out.writeStream.format(sink_format).options(**(sink_options or {}))
              .option("path", sink).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+    spark.conf.set(kept, before) if before is not None else spark.conf.unset(kept)
     progress, total = [], 0
     for p in query.recentProgress:
         total += p["numInputRows"]

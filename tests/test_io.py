@@ -1,6 +1,8 @@
 """Sources and sinks: CSV quoting round trip, null tokens, raw headers,
 zstd Parquet row groups, partitioned writes and tagged scans."""
 
+import pytest
+
 import glob
 import os
 
@@ -153,3 +155,11 @@ def test_csv_round_trip_property(spark, texts):
     got = dict((r["id"], r["s"]) for r in back.collect())
     # '' and null are written alike and read back as null.
     assert got == {i: (t if t else None) for i, t in enumerate(texts)}
+
+
+def test_append_refuses_other_columns_before_writing(spark, tmp_dir):
+    path = f"{tmp_dir}/fixed"
+    spark.range(2).write.parquet(path)
+    with pytest.raises(ValueError):
+        combine.append_chunks([spark.range(3), spark.range(3).toDF("other")], path)
+    assert spark.read.parquet(path).count() == 2

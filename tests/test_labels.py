@@ -94,18 +94,17 @@ def test_signed_codes(spark, tmp_dir):
     assert got == [("r", "-1", "Refused"), ("r", "1", "Yes"), ("r", "10", "- Foo"), ("r", "-2", "Unknown")]
 
 
-def test_decode_columns_literal_and_join_paths(spark):
+def test_decode_columns(spark):
     book = spark.createDataFrame([("yn", "1", "Yes"), ("yn", "2", "No"), ("sex", "1", "Male"),
                                   ("sex", "2", "Female"), ("unused", "1", "X")],
                                  "vallab string, code string, value string")
     df = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 3, None)], "id int, q1 int, s int")
     mapping = {"q1": "yn", "s": "sex"}
     want = {1: ("Yes", "Female"), 2: ("No", "Male"), 3: (None, None)}
-    for max_codes in (100, 1):  # literal maps; forced fallback to joins
-        out = labels.decode_columns(df, mapping, book, max_codes=max_codes)
-        got = {r["id"]: (r["q1_label"], r["s_label"]) for r in out.collect()}
-        assert got == want
-        assert out.columns[:3] == ["id", "q1", "s"]
+    out = labels.decode_columns(df, mapping, book)
+    got = {r["id"]: (r["q1_label"], r["s_label"]) for r in out.collect()}
+    assert got == want
+    assert out.columns[:3] == ["id", "q1", "s"]
 
 
 def _model(text):
@@ -146,3 +145,18 @@ def test_parse_matches_line_model(spark, lines, newline):
     got = labels.parse_value_labels(read_lines(spark, path), "permissive", keep_position=True)
     got = [(r["vallab"], r["code"], r["value"]) for r in got.orderBy("file", "block", "seq", "sub").collect()]
     assert got == _model(text)
+
+
+def test_strict_fails_on_count_and_signed_rejects(spark):
+    lines = spark.createDataFrame([("f", 0, 0, 0, "h:"), ("f", 0, 1, 0, "1 one"), ("f", 0, 2, 0, "-1")],
+                                  "file string, block long, seq long, sub long, line string")
+    with pytest.raises(Exception, match="no code separator"):
+        labels.parse_value_labels(lines, signed_codes=True).count()
+    kept = labels.parse_value_labels(lines, mode="permissive", signed_codes=True).count()
+    assert kept + labels.rejected_label_lines(lines, signed_codes=True).count() == 2
+
+
+def test_conflicting_codes_are_an_error(spark):
+    book = spark.createDataFrame([("v", "1", "a"), ("v", "1", "b")], "vallab string, code string, value string")
+    with pytest.raises(Exception, match="two labels"):
+        labels.decode_labels(spark.createDataFrame([(1,)], "x int"), "x", book, "v").collect()

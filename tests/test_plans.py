@@ -5,7 +5,6 @@ import re
 from pyspark.sql import functions as F
 
 from quire.operators import chunks, clean, sections
-from quire.session import spread
 from quire.sources import profile
 
 from conftest import SF001
@@ -45,21 +44,12 @@ def test_profile_is_one_grouped_count_without_columns(spark):
     assert all(m == "" for m in re.findall(r"FileScan parquet \[([^\]]*)\]", plan))
 
 
-def test_spread_only_small_narrow_inputs(spark):
-    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
-    assert "hashpartitioning" in plan_of(spread(li))          # ~10 MB, 11 columns
-    assert exchanges(plan_of(spread(li, max_bytes=1000))) == 0  # "large"
-    wide = spark.range(10).selectExpr(*[f"id AS c{i}" for i in range(300)])
-    assert exchanges(plan_of(spread(wide))) == 0
-
-
 def test_section_projection_keeps_codegen(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     plan = plan_of(clean.stringify_cells(sections.project_section(li, KEYS, ["l_tax", "l_shipdate"])))
     assert re.search(r"\*\(\d+\) Project", plan)
 
 
-def test_chained_cell_rules_spread_once(spark):
+def test_cell_rules_keep_rows_where_they_are(spark):
     li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
-    chained = clean.numeric_or_text(clean.stringify_cells(li))
-    assert exchanges(plan_of(chained)) == 1
+    assert exchanges(plan_of(clean.numeric_or_text(clean.stringify_cells(li)))) == 0

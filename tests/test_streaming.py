@@ -47,3 +47,11 @@ def test_csv_landing_to_text_parquet(spark, tmp_dir):
     assert out.columns == ["a_b", "col_1", "c"]
     assert sorted(tuple(r) for r in out.collect()) == sorted(
         [(str(i), "", f"x{i}") for i in range(3)] + [(str(i + 10), "y", "") for i in range(3)])
+
+
+def test_progress_of_more_batches_than_spark_keeps(spark, tmp_dir):
+    landing = f"{tmp_dir}/many_in"
+    spark.range(0, 104, 1, 104).write.parquet(landing)
+    progress = incremental_ingest(spark, landing, "id long", f"{tmp_dir}/many_out", f"{tmp_dir}/many_ckpt", max_files_per_trigger=1)
+    assert len(progress) > 100
+    assert progress[-1]["rows_total"] == spark.read.parquet(f"{tmp_dir}/many_out").count() == 104

@@ -28,8 +28,7 @@ def test_survey_steps(spark, tmp_dir):
     with open(f"{tmp_dir}/variables.csv", "w") as f:
         f.write("name,type\n" + "\n".join(f"{c},{t}" for c, t in zip(
             cols, ["str99", "str32", "byte", "int", "byte", "byte", "double"])) + "\n")
-    ddl = survey_prep.variables_to_ddl(spark, f"{tmp_dir}/variables.csv", f"{tmp_dir}/ddl", "survey_2024",
-                                       max_columns=None)
+    ddl = survey_prep.variables_to_ddl(spark, f"{tmp_dir}/variables.csv", f"{tmp_dir}/ddl", "survey_2024")
     text = [r["value"] for r in spark.read.text(f"{tmp_dir}/ddl").collect()]
     assert text == ["CREATE TABLE IF NOT EXISTS survey_2024 (interview__key VARCHAR(99),interview__id VARCHAR(32),"
                     "county SMALLINT,A07 INTEGER,B1A SMALLINT,B1B SMALLINT,Latitude DOUBLE PRECISION);"]

@@ -58,7 +58,23 @@ def test_generate_ddl_order_and_split(spark):
     assert one["t"] == ("CREATE TABLE IF NOT EXISTS t (v0 TEXT,v1 SMALLINT,v2 TEXT,v3 SMALLINT,"
                         "v4 TEXT,v5 SMALLINT,v6 TEXT);")
     assert one["u"] == "CREATE TABLE IF NOT EXISTS u (only BIGINT);"
-    split = {r["table_name"]: (r["n_columns"], r["ddl"]) for r in typing.generate_ddl(v, max_columns=3).collect()}
-    assert sorted(split) == ["t_1", "t_2", "t_3", "u"]
-    assert split["t_3"] == (1, "CREATE TABLE IF NOT EXISTS t_3 (v6 TEXT);")
-    assert sum(n for n, _ in split.values()) == 8
+    sections = spark.createDataFrame([("odd", "v1"), ("odd", "v3"), ("even", "v2")], "section string, name string")
+    cut = {r["table_name"]: (r["n_columns"], r["ddl"]) for r in typing.generate_ddl(v, sections=sections, keys=["v0"]).collect()}
+    assert cut == {"t_odd": (3, "CREATE TABLE IF NOT EXISTS t_odd (v0 TEXT,v1 SMALLINT,v3 SMALLINT);"),
+                   "t_even": (2, "CREATE TABLE IF NOT EXISTS t_even (v0 TEXT,v2 TEXT);")}
+
+
+def test_wide_dataset_is_one_statement(spark):
+    v = spark.range(3816).selectExpr("'t' AS dataset", "concat('v', id) AS name", "'TEXT' AS sql_type", "id AS ordinal")
+    rows = typing.generate_ddl(v).collect()
+    assert len(rows) == 1 and rows[0]["n_columns"] == 3816
+
+
+def test_number_spellings_rejects_and_raise(spark):
+    df = spark.createDataFrame([(1, "1D", "abc"), (2, "70000", "ab"), (3, " 7 ", None), (4, "0x1p3", "")], "id int, n string, t string")
+    types = {"n": "SMALLINT", "t": "VARCHAR(2)"}
+    assert [r["n"] for r in typing.apply_types(df, types).orderBy("id").collect()] == [None, None, 7, None]
+    got = {(r["id"], r["variable"], r["value"]) for r in typing.rejected_values(df, types, ["id"]).collect()}
+    assert got == {(1, "n", "1D"), (1, "t", "abc"), (2, "n", "70000"), (4, "n", "0x1p3")}
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        typing.apply_types(df, types, on_error="raise").collect()
