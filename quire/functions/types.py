@@ -81,8 +81,3 @@ def type_map_column() -> F.Column:
     for k, v in STATA_TO_SQL.items():
         items += [F.lit(k), F.lit(v)]
     return F.create_map(*items)
-
-
-def type_map_sql() -> str:
-    pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in STATA_TO_SQL.items())
-    return f"map({pairs})"

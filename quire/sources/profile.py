@@ -42,41 +42,3 @@ def bytes_on_disk(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("length")
     return (files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
             .withColumn("gb", F.round(F.col("bytes") / F.lit(1e9), 2)))
-
-
-FOOTER_SCHEMA = ("file_path string, n_rows long, n_row_groups int, n_columns int, "
-                 "compression string, bytes long")
-
-
-def _read_footers(batches):
-    import pandas as pd
-    import pyarrow.parquet as pq
-    from urllib.parse import unquote, urlparse
-
-    for pdf in batches:
-        out = []
-        for uri in pdf["file_path"]:
-            parsed = urlparse(uri)
-            local = unquote(parsed.path) if parsed.scheme in ("", "file") else uri
-            meta = pq.ParquetFile(local).metadata
-            codec = meta.row_group(0).column(0).compression if meta.num_row_groups else None
-            size = sum(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups))
-            out.append((uri, meta.num_rows, meta.num_row_groups, meta.num_columns, codec, size))
-        yield pd.DataFrame(out, columns=["file_path", "n_rows", "n_row_groups", "n_columns",
-                                         "compression", "bytes"])
-
-
-def parquet_footers(spark: SparkSession, path: str) -> DataFrame:
-    """Footer facts of every Parquet file under ``path``: rows, row groups,
-    columns, codec of the first column chunk, uncompressed bytes.
-
-    The listing is a ``binaryFile`` scan with the content column pruned
-    (only paths travel), and each task opens just the footers of its files
-    (Arrow inside the task), so thousands of files are read in parallel
-    and no data pages are touched. Local and ``file:`` paths are opened
-    directly; other schemes need a filesystem pyarrow can resolve.
-    """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-               .option("recursiveFileLookup", "true").load(path)
-               .select(F.col("path").alias("file_path")))
-    return listing.mapInPandas(_read_footers, FOOTER_SCHEMA)
