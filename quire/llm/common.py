@@ -18,7 +18,7 @@ __all__ = ["WordHash", "batched", "crc_remainder", "documents", "few_rows", "id_
            "materialize", "mix", "ngram_hashes", "on_workers", "read_table", "text_slices"]
 
 #: Words a task remembers the hash of before it starts afresh (a cache, never a filter).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Text bytes a task turns into arrays at a time; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Rows of doc ids that may be broadcast (16 bytes each in the hash relation's keys).

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ STEPS, RATE, DECAY, SEED = 60, 0.03, 0.1, 7
 #: are a few hundredths of a text) and taken over PAD empty words more.
 GAIN, PAD = 100.0, 20
 FOLDS, HELD_OUT = 5, 0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def word_grams(word: str) -> np.ndarray:
@@ -117,17 +118,21 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, least: int =
     cross-entropy, with the vectors decayed towards zero."""
     if len(set(labels.tolist())) < 2:
         return constant(float(labels.mean()) if len(labels) else 0.0)
-    index: dict[bytes, int] = {}
-    rows = [np.array([index.setdefault(w, len(index)) for w in text_words(t)], np.int64) for t in texts]
+    # Words are hashes here; only those trained on are kept as text.
+    rows = [np.array([xxhash.xxh3_64_intdigest(w) for w in text_words(t)], np.uint64) for t in texts]
     n = np.array([len(r) for r in rows])
-    word, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
-    kept = np.bincount(word, minlength=len(index)) >= least
+    names, word, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    kept, doc = count >= least, np.repeat(np.arange(len(rows)), n)
     if not kept.any():
         return constant(float(labels.mean()))
     sel = kept[word]
     weight = (GAIN / (n + PAD)[doc[sel]]).astype(np.float32)
     word, doc = (np.cumsum(kept) - 1)[word[sel]], doc[sel]
-    grams = [word_grams(w.decode(errors="replace")) for w, i in index.items() if kept[i]]
+    known: dict[int, bytes] = {}
+    wanted = set(names[kept].tolist())
+    for t in texts:
+        known |= {h: w for w in text_words(t) if (h := xxhash.xxh3_64_intdigest(w)) in wanted}
+    grams = [word_grams(known[h].decode(errors="replace")) for h in names[kept].tolist()]
     size = np.array([len(g) for g in grams])
     of = np.repeat(np.arange(len(grams)), size)
     used, gram = np.unique(np.concatenate(grams), return_inverse=True)
