@@ -21,6 +21,10 @@ __all__ = ["WordHash", "batched", "crc_remainder", "documents", "few_rows", "id_
 MEMO_WORDS = 200_000
 #: Text bytes a task turns into arrays at a time; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Allocator settings of Python workers: freed blocks of a megabyte or more go
+#: back to the system at once instead of staying with an idle worker.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576",
+                 "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of doc ids that may be broadcast (16 bytes each in the hash relation's keys).
 BROADCAST_IDS = 2_000_000
 
@@ -31,12 +35,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def on_workers(spark: SparkSession) -> None:
     """Python workers of this session can import the package from where the
-    driver did (on a cluster without a shared source tree, install it)."""
+    driver did (on a cluster without a shared source tree, install it), and
+    give the memory of freed arrays and batches back."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
 
 
 def id_text(docs: DataFrame) -> DataFrame:

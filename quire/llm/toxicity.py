@@ -109,7 +109,9 @@ class _Sum:
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.size, rows.shape[1]), np.float32)
         if len(self.at):
-            out[self.to] = np.add.reduceat(rows[self.source] * self.weight, self.at, axis=0)
+            parts = rows[self.source]
+            parts *= self.weight
+            out[self.to] = np.add.reduceat(parts, self.at, axis=0)
         return out
 
 
