@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.session import materialize, read_table
 
 __all__ = ["WordHash", "batched", "crc_remainder", "documents", "few_rows", "id_text", "kept_by_ids",
-           "materialize", "mix", "ngram_hashes", "on_workers", "read_table", "text_slices"]
+           "materialize", "mix", "ngram_hashes", "on_workers", "read_table", "text_slices", "worker_cache"]
 
 #: Words a task remembers the hash of before it starts afresh (a cache, never a filter).
 MEMO_WORDS = 200_000
@@ -46,6 +46,18 @@ def on_workers(spark: SparkSession) -> None:
         env.setdefault(name, value)
 
 
+_CACHES: dict = {}
+
+
+def worker_cache(key, make):
+    """This worker's cache ``key``. Only the latest is held, so that a worker
+    that goes on to another operator gives up what it remembered for the last."""
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = make()
+    return _CACHES[key]
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` (long) and ``text``, whatever other columns there are."""
     on_workers(docs.sparkSession)

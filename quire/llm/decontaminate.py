@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, on_workers, read_table
+from .common import documents, id_text, on_workers, read_table, worker_cache
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -119,15 +119,9 @@ def item_sets(benchmark: DataFrame, set_bytes: int = SET_BYTES) -> Iterator[list
         yield [(r["item_id"], bytes(r["text"])) for r in part.collect()]
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def _matcher(items) -> Matcher:
     """Built once per worker for a broadcast set."""
-    if items.bid not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[items.bid] = Matcher(items.value)
-    return _MATCHERS[items.bid]
+    return worker_cache(("matcher", items.bid), lambda: Matcher(items.value))
 
 
 class _Set:

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Parts of one generation; a worker remembers two of them.
 MEMO_PARTS = 400_000
 #: Characters that are certainly no white space for either side of a cut.
@@ -21,7 +23,6 @@ _CUT = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 #: A run of letters that NFC leaves alone, then marks that start no contraction:
 #: for both tokenizer files these are exactly two pre-tokens.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -104,6 +105,4 @@ class Encoder:
 
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for ``path``."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    return worker_cache((path, kind), lambda: Encoder(path, kind))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, documents, id_text, on_workers, read_table
+from .common import crc_remainder, documents, id_text, on_workers, read_table, worker_cache
 
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5)
@@ -184,16 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     return Model.load(bytes(got["model"])) if got else constant(0.0)
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _loaded(model) -> Model:
     data = model.value
-    key = zlib.crc32(data)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model.load(data)
-    return _MODELS[key]
+    return worker_cache(zlib.crc32(data), lambda: Model.load(data))
 
 
 def _scored(model):
