@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import materialize
+from quire.sources.files import with_file_position
 
 _LOCAL_BITS = 33
 
@@ -58,6 +59,32 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], *, index_col: str = "
             .drop("_pid", "_off", "_mid"))
 
 
+def with_file_index(df: DataFrame, *, index_col: str = "row_index") -> DataFrame:
+    """A file scan (not filtered yet) with each row's 0-based position in file
+    order: files by path, then their lines or rows.
+
+    A split's rows are numbered by their row ids already; one pass that reads no
+    column counts them, and the counts of the splits before are added. No sort
+    and no written copy; the window is over one row per split.
+    """
+    rows = with_file_position(df)
+    splits = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    return (rows.join(splits.select("_file", "_block", offset.alias("_off")), ["_file", "_block"])
+            .withColumn(index_col, F.col("_off") + F.col("_row")).select(*df.columns, index_col))
+
+
+def batch_preview_file_order(df: DataFrame, *, batch_size: int = 50_000, max_batches: int = 50,
+                             row_cap: int | None = None, batch_col: str = "batch",
+                             index_col: str = "row_index") -> DataFrame:
+    """Rows of the first ``max_batches`` batches of a file scan in file order
+    (and before ``row_cap``), numbered from 1, with their 0-based position."""
+    cap = batch_size * max_batches if row_cap is None else min(batch_size * max_batches, row_cap)
+    return (with_file_index(df, index_col=index_col).where(F.col(index_col) < F.lit(cap))
+            .withColumn(batch_col, F.expr(f"`{index_col}` div {int(batch_size)}") + 1))
+
+
 def _first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, bool]:
     """Rows with key at or below the ``n``-th key, and whether that set is
     exactly the first ``n`` rows (no tie straddles position ``n``)."""

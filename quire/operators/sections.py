@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions.program import apply_rule
 from quire.functions.sqltext import ident, lit, literal_frame
 from quire.functions.text import py_str
+from quire.sources.files import FILE_POSITION, with_file_position
 
 SectionMap = Mapping[str, Sequence[str]]
 
@@ -60,48 +61,32 @@ def project_section(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return df.select(*[F.col(ident(c)) for c in [*keys, *columns]])
 
 
-# Beyond this many columns a top-n is taken over the keys first.
-_WIDE_HEAD_COLUMNS = 100
+def _head_rows(df: DataFrame, keys: Sequence[str], used: Sequence[str], n: int, file_order: bool) -> DataFrame:
+    """The first ``n`` rows by key, or by position in the files of a scan,
+    projected to ``used``: a top-``n`` (each task keeps ``n`` rows, one merge)."""
+    order = FILE_POSITION if file_order else [ident(k) for k in keys]
+    src = with_file_position(df) if file_order else df
+    return src.orderBy(*[F.col(c) for c in order]).limit(n).select(*[F.col(ident(c)) for c in used])
 
 
-def _head_rows(df: DataFrame, keys: Sequence[str], used: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows by key, projected to ``used``.
-
-    Narrow rows: one top-``n`` (each task keeps ``n`` rows, one merge).
-    Wide rows: the top-``n`` runs over the key columns alone, then only
-    those rows are fetched with a broadcast semi-join (``n`` keys, a bound
-    fixed by the caller), so wide rows never pass through the sort.
-    """
-    order = [F.col(ident(k)) for k in keys]
-    src = df.select(*[F.col(ident(c)) for c in used])
-    if len(used) <= _WIDE_HEAD_COLUMNS:
-        return src.orderBy(*order).limit(n)
-    head_keys = df.select(*order).orderBy(*order).limit(n)
-    cond = None
-    for k in keys:
-        c = src[ident(k)].eqNullSafe(head_keys[ident(k)])
-        cond = c if cond is None else cond & c
-    return src.join(F.broadcast(head_keys), cond, "left_semi").orderBy(*order).limit(n)
-
-
-def section_head(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int = 5) -> DataFrame:
-    """First ``n`` rows of a section by key order (file order is not kept by
-    a distributed scan, so the key stands in for it)."""
-    return _head_rows(df, keys, [*keys, *columns], n)
+def section_head(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int = 5, *,
+                 file_order: bool = False) -> DataFrame:
+    """First ``n`` rows of a section by key order, or with ``file_order`` the
+    first ``n`` of the file (``df`` is then a file scan)."""
+    return _head_rows(df, keys, [*keys, *columns], n, file_order)
 
 
 def section_heads(df: DataFrame, keys: Sequence[str], sections: SectionMap, n: int = 5,
                   section_col: str = "section", variable_col: str = "variable",
-                  value_col: str = "value") -> DataFrame:
-    """The first ``n`` rows (by key) of every section, in one long table.
+                  value_col: str = "value", *, file_order: bool = False) -> DataFrame:
+    """The first ``n`` rows (by key, or of the file) of every section, in one
+    long table.
 
-    All sections share their rows, so the head rows are found once
-    (``_head_rows``: key-first for wide tables) and then unpivoted; the
-    source is not scanned once per section.
+    All sections share their rows, so the head rows are found once and then
+    unpivoted; the source is not scanned once per section.
     """
     used = list(dict.fromkeys([*keys, *[c for cols in sections.values() for c in cols]]))
-    head = _head_rows(df, keys, used, n)
-    return sections_long(head, keys, sections, section_col, variable_col, value_col)
+    return sections_long(_head_rows(df, keys, used, n, file_order), keys, sections, section_col, variable_col, value_col)
 
 
 def split_sections(df: DataFrame, keys: Sequence[str], sections: SectionMap) -> dict[str, DataFrame]:

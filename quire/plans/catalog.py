@@ -22,6 +22,7 @@ from quire.plans import oracle as O
 from quire.session import read_table, scratch_path
 from quire.sinks import writers
 from quire.sources import files, profile
+from quire.sources import records as files_records
 from quire.streaming.ingest import incremental_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,6 +331,24 @@ def q_section_heads(spark: SparkSession, sf: str) -> DataFrame:
     return sections.section_heads(cust, ["c_custkey"], smap, 5)
 
 
+def q_section_heads_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    cust = read_table(spark, sf, "customer")
+    smap = sections.sections_from_ranges(cust.columns, CUSTOMER_RANGES)
+    return sections.section_heads(cust, ["c_custkey"], smap, 5, file_order=True)
+
+
+def q_batch_preview_file_order(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.batch_preview_file_order(read_table(spark, sf, "lineitem"), batch_size=1000, max_batches=50)
+
+
+def q_csv_records(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts, line breaks and quotes included, through a raw CSV export."""
+    docs = read_table(spark, sf, "documents")
+    path = scratch_path(spark, "records")
+    writers.write_csv(docs, path)
+    return files_records.read_csv_records(spark, path, schema=docs.schema, null_tokens=[])
+
+
 def q_batch_preview(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.batch_preview(read_table(spark, sf, "lineitem"), LINEITEM_ORDER,
                                 batch_size=1000, max_batches=50)
@@ -418,6 +437,9 @@ QUERIES: dict[str, Query] = {
     "sections_by_prefix": q_sections_by_prefix,
     "split_sections": q_split_sections,
     "section_heads": q_section_heads,
+    "section_heads_file_order": q_section_heads_file_order,
+    "batch_preview_file_order": q_batch_preview_file_order,
+    "csv_records": q_csv_records,
     "batch_preview": q_batch_preview,
     "scan_row_cap": q_scan_row_cap,
     "chunk_manifest": q_chunk_manifest,
@@ -546,6 +568,11 @@ ORACLE: dict[str, str] = {
     "sections_by_prefix": _prefix_sql(),
     "split_sections": _split_sql(),
     "section_heads": _split_sql("(SELECT * FROM customer ORDER BY c_custkey LIMIT 5)"),
+    "section_heads_file_order": _split_sql("(SELECT * FROM customer LIMIT 5)"),
+    "batch_preview_file_order": (
+        "SELECT * EXCLUDE (rn), rn - 1 AS row_index, (rn - 1) // 1000 + 1 AS batch FROM "
+        "(SELECT *, row_number() OVER () AS rn FROM lineitem) WHERE rn <= 50000"),
+    "csv_records": "SELECT * FROM documents",
     "batch_preview": (
         "SELECT * EXCLUDE (rn), rn - 1 AS row_index, (rn - 1) // 1000 + 1 AS batch FROM "
         f"(SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rn FROM lineitem) WHERE rn <= 50000"),

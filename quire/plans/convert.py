@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.operators.clean import clean_csv_table, clean_parquet_table
 from quire.operators.sections import project_section, section_head
 from quire.sinks.writers import write_csv, write_parquet
-from quire.sources.files import NULL_TOKEN, read_csv, read_raw_header
+from quire.sources.files import NULL_TOKEN, read_raw_header
+from quire.sources.records import read_csv_records
 
 
 def table_to_csv(df: DataFrame, path: str, raw_names: Sequence[object | None] | None = None,
@@ -26,17 +27,15 @@ def table_to_parquet(df: DataFrame, path: str, raw_names: Sequence[object | None
 
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, *,
-                   null_tokens: Sequence[str] = (NULL_TOKEN,), row_group_rows: int | None = None,
-                   multiline: bool = True) -> str:
+                   null_tokens: Sequence[str] = (NULL_TOKEN,), row_group_rows: int | None = None) -> str:
     """A raw CSV export to all-text Parquet, header cleaned from the raw row.
 
-    Cells may hold quoted line breaks, which needs the multi-line parser: each
-    file is then read by one task. ``multiline=False`` splits files, for
-    exports known to hold none.
+    Cells may hold quoted line breaks; files are read in splits all the same
+    (``read_csv_records``), rows keep their order, and all headers must agree.
     """
     raw = read_raw_header(spark, csv_path)
-    df = read_csv(spark, csv_path, null_tokens=null_tokens, multiline=multiline,
-                  schema=",".join(f"`c{i}` string" for i in range(len(raw))))
+    df = read_csv_records(spark, csv_path, null_tokens=null_tokens,
+                          schema=",".join(f"`c{i}` string" for i in range(len(raw))))
     return table_to_parquet(df, out_path, raw_names=raw, row_group_rows=row_group_rows)
 
 

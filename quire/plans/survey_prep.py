@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.operators import chunks, labels, sections, typing
 from quire.plans.convert import csv_to_parquet
 from quire.sinks import writers
-from quire.sources.files import (FILE_POSITION, NULL_TOKEN, read_csv, read_variables,
-                                 with_file_position)
+from quire.sources.files import NULL_TOKEN, read_csv, read_variables
 
 
 def convert_survey(spark: SparkSession, csv_path: str, parquet_path: str, *,
@@ -31,13 +30,8 @@ def preview_batches(spark: SparkSession, csv_path: str, *, batch_size: int = 50_
     """The first ``max_batches`` batches of a CSV in file order, numbered
     from 1, types inferred, null tokens as null; rows past ``row_cap`` are
     not read into any batch."""
-    df = with_file_position(read_csv(spark, csv_path, null_tokens=null_tokens))
-    limit = batch_size * max_batches
-    if row_cap is not None:
-        limit = min(limit, row_cap)
-        max_batches = -(-limit // batch_size)
-    out = chunks.batch_preview(df, FILE_POSITION, batch_size=batch_size, max_batches=max_batches)
-    return out.where(out["row_index"] < limit).drop(*FILE_POSITION)
+    return chunks.batch_preview_file_order(read_csv(spark, csv_path, null_tokens=null_tokens), batch_size=batch_size,
+                                           max_batches=max_batches, row_cap=row_cap)
 
 
 def labels_to_csv(spark: SparkSession, codebook_path: str, out_path: str, *,

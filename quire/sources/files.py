@@ -161,18 +161,9 @@ def read_variables(spark: SparkSession, path: str | Sequence[str], *,
     """Variable dictionary CSV (at least ``name`` and ``type``), all rows,
     with its declared order as ``ordinal`` (0-based position over the files
     in path order, then line order)."""
-    from quire.operators.chunks import with_row_index  # local: avoids a cycle
+    from quire.operators.chunks import with_file_index  # local: avoids a cycle
 
-    lines = read_csv(spark, path, null_tokens=(), multiline=False)
-    cols = list(lines.columns)
-    pos = lines.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_rid"),
-    )
-    indexed = with_row_index(pos, ["_file", "_block", "_rid"], index_col="ordinal")
-    out = indexed.select(*cols, "ordinal")
+    out = with_file_index(read_csv(spark, path, null_tokens=(), multiline=False), index_col="ordinal")
     if dataset is not None:
         out = out.withColumn("dataset", F.lit(dataset))
     return out
