@@ -1,16 +1,16 @@
 """Bigram language model as a weighted backoff automaton, and text scores.
 
 Word and pair counts come from all training documents. The automaton has a
-state for every word of some relative frequency and one root; a state has an
-arc for each frequent pair (interpolated absolute discounting) and a failure
-arc to the root with the mass left over, where a word costs its add-one unigram
-probability. One left-to-right traversal of a text carries the state and adds
-up arc weights; it runs over all texts of a batch at once.
+state for every word and one root; a state has an arc for each pair of count
+LEAST or more (interpolated absolute discounting) and a failure arc to the root
+with the mass left over, where a word costs its add-one unigram probability.
 
-The relative thresholds bound the automaton whatever the corpus: at most
-1 / WORD_RATE words and 1 / PAIR_RATE pairs, so it can be broadcast. Words below
-the threshold are not dropped: their exact counts are joined to the texts that
-hold them, for the unigram cost and the base score.
+Words and arcs are written tables of any size. Workers hold the frequent part of
+them as a cache of bounded size: the words of some relative frequency, with
+their failure weights, and the most frequent arcs. One left-to-right traversal
+runs over all texts of a batch at once and adds up what the cache has; words
+and pairs it lacks are counted per text and joined with the tables. What is
+cached changes the work, never the result.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 counts as crc32 of the empty text; rows with equal doc_id are scored one by one
@@ -27,19 +27,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, WordHash, crc_remainder, documents, id_text, materialize, text_slices
+from quire.session import scratch_path
+
+from .common import MEMO_WORDS, WordHash, crc_remainder, documents, id_text, mix, text_slices
 
 FOLDS, HELD_OUT = 7, 2
-#: Least share of the training tokens for a word, and for a pair, in the automaton.
+#: Least count of a pair that is an arc, whatever the corpus.
+LEAST = 2
+#: Least share of the training tokens for a cached word; 1 / PAIR_RATE arcs at most are cached.
 WORD_RATE, PAIR_RATE = 2e-7, 1e-6
+#: Bits of the filter that spares pairs without an arc the join. Fuller on larger
+#: corpora, it lets more of them through; it never holds back an arc.
+FILTER_BITS = 1 << 26
 DISCOUNT = 0.75
 #: Hash of the end token: of a blank, which no word is.
 END = xxhash.xxh3_64_intdigest(b" ")
-ROOT = -1  # state after a word without one
+ROOT = -1  # place of a word that is not cached
+#: Key of a word in the tables: its place if cached, else its hash with this bit (so negative).
+RARE = np.uint64(1 << 63)
 
 _HASHES = WordHash()
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialize``, in snappy: lz4_raw pages of the pair table could not
+    be read back (MalformedInputException of the decoder)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys.sort()
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
@@ -60,24 +77,27 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """``hashes`` (ascending) and ``counts`` of its words; ``pairs`` (state and
-    word in one key, ascending) with their log10 weights; ``fail`` per state."""
+    """The cache: ``hashes`` (ascending) and ``counts`` of its words, ``left`` as
+    mass of their failure arcs (``fail``, log10); ``pairs`` (state and word in one
+    key, ascending) with their log10 weights. ``rare`` and ``arcs`` are the
+    tables of the other words and of all arcs, on the driver only."""
 
-    def __init__(self, hashes, counts, total: int, distinct: int, pairs=None, pair_counts=None):
+    def __init__(self, hashes, counts, total: int, distinct: int, left=None, pairs=None, pair_counts=None):
         self.hashes, self.counts, self.total, self.distinct = hashes, counts, total, distinct
         self.unigram = np.log10((counts + 1) / (total + distinct + 1))
+        self.left = np.ones(len(counts)) if left is None else left
+        self.fail = np.log10(self.left)
         self.pairs = np.empty(0, np.uint64) if pairs is None else pairs
         n = np.empty(0) if pair_counts is None else pair_counts
         state, word = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        seen = (n - DISCOUNT) / counts[state] if len(self.pairs) else np.empty(0)
-        left = 1 - np.bincount(state, seen, minlength=len(counts)) if len(counts) else np.empty(0)
-        left = np.maximum(left, 1e-12)
-        self.fail = np.log10(left)
-        self.weight = np.log10(seen + left[state] * 10 ** self.unigram[word]) if len(self.pairs) else np.empty(0)
+        self.weight = (np.log10((n - DISCOUNT) / counts[state] + self.left[state] * 10 ** self.unigram[word])
+                       if len(self.pairs) else np.empty(0))
         self.index: dict[bytes, int] = {}
+        self.filter = np.zeros(FILTER_BITS // 8, np.uint8)
+        self.rare = self.arcs = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "rare", "arcs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -101,10 +121,15 @@ class Automaton:
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
     def traverse(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Weight of reading ``word`` in ``state``; a word without a place costs
-        the failure arc only (its unigram cost is added from its exact count)."""
+        """Weight of reading ``word`` in ``state``, as far as it is cached."""
+        return self.read(state, word)[0]
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights as of ``traverse``, and where no arc is cached: there the
+        failure arc and the unigram cost of cached words are what it adds up."""
         cost = np.where(state == ROOT, 0.0, self.fail[state] if len(self.fail) else 0.0)
         cost += np.where(word == ROOT, 0.0, self.unigram[word] if len(self.unigram) else 0.0)
+        missed = np.ones(len(cost), bool)
         if len(self.pairs):
             both = np.flatnonzero((state != ROOT) & (word != ROOT))
             key = (state[both].astype(np.uint64) << np.uint64(32)) | word[both].astype(np.uint64)
@@ -112,45 +137,91 @@ class Automaton:
             at[at == len(self.pairs)] = 0
             hit = self.pairs[at] == key
             cost[both[hit]] = self.weight[at[hit]]
-        return cost
+            missed[both[hit]] = False
+        return cost, missed
 
 
-def _paths(automaton: Automaton, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, and for all tokens in a row (words then end) the
-    state before, the place, and the text it is of."""
+def _paths(automaton: Automaton, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """For all tokens in a row (words of a text, then its end): the key of the
+    word before and its own, the place of the two, and the text it is of."""
     cut = [t.lower().split() for t in texts]
     size = np.array([len(c) + 1 for c in cut])
     last = np.cumsum(size) - 1
     end = int(automaton.places(np.array([END], np.uint64))[0])
+    words = [w for c in cut for w in c]
     word = np.empty(int(last[-1]) + 1, np.int64)
     inner = np.ones(len(word), bool)
     inner[last] = False
-    word[inner] = automaton.ids([w for c in cut for w in c])
+    word[inner] = automaton.ids(words)
     word[last] = end
-    state = np.concatenate([[end], word[:-1]])  # a text starts in the state of the end
-    return cut, state, word, np.repeat(np.arange(len(texts)), size)
+    key = word.copy()
+    out = np.flatnonzero(word[inner] == ROOT)
+    key[np.flatnonzero(inner)[out]] = (_HASHES.array([words[i] for i in out.tolist()]) | RARE).view(np.int64)
+    if end == ROOT:
+        key[last] = np.array([END | 1 << 63], np.uint64).view(np.int64)[0]
+
+    def before(x: np.ndarray) -> np.ndarray:  # a text starts in the state of the end
+        return np.concatenate([x[-1:], x[:-1]])
+
+    return before(key), key, before(word), word, np.repeat(np.arange(len(texts)), size)
 
 
-def _pairs(model, least: float):
+def _runs(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``keys``, in their order, and how often each occurs."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.diff(np.append(at, len(order)))
+
+
+def _slots(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Bit of each pair of keys in the filter, from 0."""
+    h = mix(s.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+    return (mix(h) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _pairs(model):
+    """Counts of pairs (by key) in the training texts of each slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = model.value
-        often = a.counts >= least  # a pair is no more frequent than its words
         for batch in batches:
-            ids, got = batch.column("doc_id").to_pylist(), [np.empty(0, np.uint64)]
+            ids = batch.column("doc_id").to_pylist()
             for first, texts in text_slices(batch):
                 train = [t for k, t in enumerate(texts) if crc_remainder(ids[first + k], FOLDS) != HELD_OUT]
-                if train and len(often):
-                    _, state, word, _ = _paths(a, train)
-                    use = (state != ROOT) & (word != ROOT)
-                    use &= often[state] & often[word]
-                    got.append((state[use].astype(np.uint64) << np.uint64(32)) | word[use].astype(np.uint64))
-            keys, n = _tally(np.concatenate(got))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "c"])
+                if train:
+                    before, key, *_ = _paths(model.value, train)
+                    (s, w), n = _runs(before, key)
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(w), pa.array(n.astype(np.int64))], names=["s", "w", "c"])
+    return run
+
+
+def _odds(model):
+    """Arcs with what cached words add to their odds against the failure arc (null: not cached)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = model.value
+        of_state, of_word = 1 / (a.counts * a.left), 10 ** -a.unigram
+        for batch in batches:
+            got = []
+            for name, factor in (("s", of_state), ("w", of_word)):
+                k = batch.column(name).to_numpy()
+                x = factor[np.maximum(k, 0)] if len(factor) else np.ones(len(k))
+                got.append(pa.array(x, pa.float64(), mask=k < 0))
+            got.append(pa.array(_slots(batch.column("s").to_numpy(), batch.column("w").to_numpy()) + 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s", "w", "c")), *got], names=["s", "w", "c", "fs", "fw", "slot"])
     return run
 
 
 _SCORED_DDL = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, path double, "
-               "rare array<long>, times array<long>")
+               "rare array<struct<h:long,m:long>>, missed array<struct<s:long,w:long,m:long>>")
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "path", "rare", "missed"]
+
+
+def _lists(text: np.ndarray, size: int, **columns: np.ndarray) -> pa.Array:
+    """Rows of ``columns``, in the order of ``text``, as a list for each text."""
+    offsets = np.searchsorted(text, np.arange(size + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], list(columns)))
 
 
 def _scored(model):
@@ -158,31 +229,35 @@ def _scored(model):
         a = model.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            n, known, base, path, rare, times = [], [], [], [], [], []
-            for _, texts in text_slices(batch):
-                cut, state, word, text = _paths(a, texts)
-                placed = word != ROOT
-                n += [len(c) + 1 for c in cut]
-                known += np.bincount(text[placed], minlength=len(cut)).tolist()
-                base += np.bincount(text[placed], a.unigram[word[placed]] if len(a.unigram) else None, minlength=len(cut)).tolist()
-                path += np.bincount(text, a.traverse(state, word), minlength=len(cut)).tolist()
-                at = np.cumsum([0] + [len(c) + 1 for c in cut])
-                for k, c in enumerate(cut):
-                    out = np.flatnonzero(word[at[k]:at[k + 1] - 1] == ROOT).tolist()
-                    h, m = _tally(_HASHES.array([c[i] for i in out]))
-                    rare.append(h.view(np.int64))
-                    times.append(m)
-            held = [crc_remainder(i, FOLDS) == HELD_OUT for i in ids]
-            cols = [batch.column("row"), batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(path, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "path", "rare", "times"])
+            for first, texts in text_slices(batch):
+                before, key, state, word, text = _paths(a, texts)
+                m, placed = len(texts), word != ROOT
+                cost, missed = a.read(state, word)
+                base = np.bincount(text[placed], a.unigram[word[placed]] if len(a.unigram) else None, minlength=m)
+                missed = np.flatnonzero(missed)
+                slot = _slots(before[missed], key[missed])
+                missed = missed[(a.filter[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                (rt, rk), rn = _runs(text[~placed], key[~placed])
+                (mt, ms, mw), mn = _runs(text[missed], before[missed], key[missed])
+                cols = [batch.column("row").slice(first, m), batch.column("doc_id").slice(first, m),
+                        pa.array([crc_remainder(i, FOLDS) == HELD_OUT for i in ids[first:first + m]], pa.bool_()),
+                        pa.array(np.bincount(text, minlength=m), pa.int64()), pa.array(np.bincount(text[placed], minlength=m), pa.int64()),
+                        pa.array(base, pa.float64()), pa.array(np.bincount(text, cost, minlength=m), pa.float64()),
+                        _lists(rt, m, h=rk, m=rn), _lists(mt, m, s=ms, w=mw, m=mn)]
+                yield pa.RecordBatch.from_arrays(cols, names=_SCORED)
     return run
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): exact counts of all training tokens, by hash; a written table."""
     parts = docs.mapInArrow(_words, "h long, c long")
-    return materialize(parts.groupBy("h").agg(F.sum("c").alias("c")), "words")
+    return _written(parts.groupBy("h").agg(F.sum("c").alias("c")), "words")
+
+
+def _collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns as arrays, by Arrow: rows as Python objects would take many times the memory."""
+    got = df.select(*columns).toArrow()
+    return [got.column(c).to_numpy() for c in columns]
 
 
 def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair_rate: float = PAIR_RATE) -> Automaton:
@@ -190,32 +265,68 @@ def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair
     t = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = t["n"] or 0, t["v"]
     # At most 1 / word_rate rows have that share of the tokens.
-    top = counts.where(F.col("c") >= word_rate * total).toPandas()
-    hashes, n = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    hashes, n = _collected(counts.where(F.col("c") >= word_rate * total), "h", "c")
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
-    words = Automaton(hashes[order], n[order], total, distinct)
-    least = pair_rate * total
-    pairs = docs.mapInArrow(_pairs(sc.broadcast(words), least), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    pairs = pairs.where((F.col("c") >= least) & (F.col("c") > 1)).toPandas()
-    keys, n = pairs["k"].to_numpy(np.int64).view(np.uint64), pairs["c"].to_numpy(np.int64)
+    hashes, n = hashes[order], n[order]
+    words = Automaton(hashes, n, total, distinct)
+    pairs = docs.mapInArrow(_pairs(sc.broadcast(words)), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
+    pairs = _written(pairs.where(F.col("c") >= LEAST), "pairs")
+
+    # What the arcs of a state leave of its mass.
+    taken = _written(pairs.groupBy("s").agg(F.sum(F.col("c") - DISCOUNT).alias("taken")), "taken")
+    left, (state, mass) = np.ones(len(n)), _collected(taken.where("s >= 0"), "s", "taken")
+    left[state] -= mass / n[state]
+    key = F.col("h").bitwiseOR(F.lit(-1 << 63)).alias("s")
+    rare = counts.where(F.col("c") < word_rate * total).select(key, F.col("c").alias("n")).join(taken.where("s < 0"), "s", "left")
+    rare = _written(rare.select("s", "n", (1 - F.coalesce("taken", F.lit(0.0)) / F.col("n")).alias("left")), "rare")
+
+    # The most frequent arcs, as whole classes of a count.
+    placed = pairs.where("s >= 0 and w >= 0")
+    size, many = _collected(placed.groupBy("c").agg(F.count("*").alias("many")), "c", "many")
+    order = np.argsort(-size)
+    fit = size[order][np.cumsum(many[order]) <= 1 / pair_rate]
+    often = placed.where(F.col("c") >= (int(fit.min()) if len(fit) else 1 << 62))
+    state, word, often = _collected(often, "s", "w", "c")
+    keys = (state << 32 | word).view(np.uint64)
     order = np.argsort(keys)
-    return Automaton(words.hashes, words.counts, total, distinct, keys[order], n[order])
+    model = Automaton(hashes, n, total, distinct, left, keys[order], often[order])
+
+    # Odds of an arc against the failure arc; the factors of rare words are joined.
+    odds = _written(pairs.mapInArrow(_odds(sc.broadcast(model)), "s long, w long, c long, fs double, fw double, slot long"), "odds")
+    blocks = odds.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    if blocks.num_rows:  # a block has 2^15 bits; blocks count from 1
+        held = np.frombuffer(b"".join(blocks.column("bits").to_pylist()), np.uint8).reshape(blocks.num_rows, -1)
+        model.filter.reshape(-1, held.shape[1])[blocks.column("b").to_numpy() - 1] = held
+    odds = odds.drop("slot")
+    joined = odds.where("fs is null").drop("fs").join(rare, "s").withColumn("fs", 1 / (F.col("n") * F.col("left"))).select(odds.columns)
+    odds = odds.where("fs is not null").unionByName(joined)
+    floor = F.lit(float(total + distinct + 1))
+    joined = odds.where("fw is null").drop("fw").join(rare.select(F.col("s").alias("w"), "n"), "w").withColumn("fw", floor / (F.col("n") + 1))
+    odds = odds.where("fw is not null").unionByName(joined.select(odds.columns))
+    gain = F.log10(1 + (F.col("c") - DISCOUNT) * F.col("fs") * F.col("fw"))
+    model.rare, model.arcs = rare, _written(odds.select("s", "w", gain.alias("gain")), "arcs")
+    return model
 
 
 def score(docs: DataFrame, counts: DataFrame, automaton: Automaton, word_rate: float = WORD_RATE) -> DataFrame:
     """Per row: n_tokens, n_known, train_tokens, base_score and score (log10)."""
     model = docs.sparkSession.sparkContext.broadcast(automaton)
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows.mapInArrow(_scored(model), _SCORED_DDL), "scored")
+    rows = _written(rows.mapInArrow(_scored(model), _SCORED_DDL), "scored")
     total, floor = automaton.total, F.lit(float(automaton.total + automaton.distinct + 1))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
-    cost = rare.join(counts.where(F.col("c") < word_rate * total), "h", "left").select(
-        "row", "m", F.coalesce("c", F.lit(0)).alias("c")).groupBy("row").agg(
-        F.sum(F.col("m") * F.log10((F.col("c") + 1) / floor)).alias("extra"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"))
-    extra = F.coalesce("extra", F.lit(0.0))
-    return rows.drop("rare", "times").join(cost, "row", "left").select(
+    # Every word of a text is the state before one token of it: it costs its failure arc as often as itself.
+    words = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.h").alias("s"), "x.m").join(automaton.rare, "s", "left")
+    cost = words.select("row", (F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1) / floor)).alias("extra"),
+                        F.when(F.col("n") > 0, F.col("m")).otherwise(0).alias("more"),
+                        (F.col("m") * F.log10(F.coalesce("left", F.lit(1.0)))).alias("gain"))
+    pairs = rows.select("row", F.explode("missed").alias("x")).select("row", "x.s", "x.w", "x.m").join(automaton.arcs, ["s", "w"])
+    gain = pairs.select("row", F.lit(0.0).alias("extra"), F.lit(0).cast("long").alias("more"), (F.col("m") * F.col("gain")).alias("gain"))
+    cost = cost.unionByName(gain).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("extra", "more", "gain")))
+    extra, gain = F.coalesce("extra", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
+    return rows.drop("rare", "missed").join(cost, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("path") + extra).alias("score"))
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("path") + extra + gain).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,30 @@ def test_lm_scores(docs, empty):
     assert all(r["base_score"] == 0 for r in lm_scoring.score(ids, ec, lm_scoring.train(e, ec)).collect())
 
 
+@pytest.mark.parametrize("word_rate,pair_rate", [(1e-3, 1e-3), (0.02, 0.1), (2.0, 2.0)])
+def test_lm_scores_do_not_depend_on_the_cache(spark, word_rate, pair_rate, rng=np.random.default_rng(4)):
+    top = np.minimum(rng.zipf(1.3, 6000), 400)
+    rows = [(i, " ".join(f"w{x}" for x in top[20 * i:20 * i + 20])) for i in range(300)]
+    words_, pairs = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [*t.split(), " "]
+            words_.update(w)
+            pairs.update(zip([" ", *w], w))
+    arcs = {k: c for k, c in pairs.items() if c >= 2}
+    n, v, left = sum(words_.values()), len(words_), {}
+    for (s, _), c in arcs.items():
+        left[s] = left.get(s, 1) - (c - 0.75) / words_[s]
+    cost = lambda s, w: (arcs.get((s, w), 0.75) - 0.75) / max(1, words_[s]) + left.get(s, 1) * (words_[w] + 1) / (n + v + 1)
+    ids = lm_scoring.id_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    counts = lm_scoring.word_counts(ids)
+    got = by_id(lm_scoring.score(ids, counts, lm_scoring.train(ids, counts, word_rate, pair_rate), word_rate))
+    for i, t in rows:
+        w = [*t.split(), " "]
+        assert got[i][0]["score"] == pytest.approx(sum(math.log10(cost(*x)) for x in zip([" ", *w], w)))
+        assert got[i][0]["base_score"] == pytest.approx(sum(math.log10((words_[x] + 1) / (n + v + 1)) for x in w))
+
+
 def test_host_rules(docs, empty):
     got = by_id(host_rules.judge(docs))
     for i, t in TEXTS:
