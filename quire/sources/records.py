@@ -1,13 +1,15 @@
 """CSV records with quoted line breaks, read in splits.
 
-Files are cut into physical lines at ``\\n`` only. A line begins a record when
-an even number of quotes lies before it in its file, so the lines of a split
-need one number from the splits before them: the parity of their quotes. Lines
+Files are cut into physical lines at ``\\n`` only. A quote opens a cell only at
+its start; a line begins a record when no cell is open before it. Each line, and
+so each split, either sets that state, flips it or leaves it, whatever came
+before, so the lines of a split need one bit from the splits before them. Lines
 of one record are put together, and each record is parsed on its own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +23,26 @@ _BOM = "﻿"
 _RECORD_OPTIONS = {**CSV_READ_OPTIONS, "multiLine": "true", "lineSep": "\n"}
 
 
+#: One closed piece of a line that starts at a cell: a quoted piece before a
+#: doubled quote, the rest of a cell with its comma, or an empty cell.
+_PIECE = r'"[^"]*+"(?=")|"[^"]*+"(?!")[^,]*+(?:,|\z)|[^",][^,]*+(?:,|\z)|,'
+_PY_PIECE = re.compile(_PIECE.replace(r"\z", r"\Z"))
+#: Longest header, in characters.
+MAX_HEADER = 1 << 26
+
+
+def _opens(text: str) -> bool:
+    """Whether a quoted cell is open after ``text``, which starts at a cell."""
+    at = 0
+    while m := _PY_PIECE.match(text, at):
+        at = m.end()
+    return at < len(text)
+
+
+def _opens_column(line: F.Column) -> F.Column:
+    return F.when(F.regexp_replace(line, r"\G(?:" + _PIECE + ")", "") == "", 0).otherwise(1)
+
+
 def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, block, seq, record): every record's text, in file order.
 
@@ -30,22 +52,32 @@ def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """
     lines = spark.read.option("lineSep", "\n").text([path] if isinstance(path, str) else list(path)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "value",
-        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("q"))
+        F.monotonically_increasing_id().alias("seq"), "value")
+    quoted = F.contains("value", F.lit('"'))
+    # Whether a cell is open after the line, if none was before it, and if one was.
+    lines = lines.withColumn("e0", F.when(quoted, _opens_column(F.col("value"))).otherwise(0)).withColumn(
+        "e1", F.when(quoted, _opens_column(F.concat(F.lit('"'), "value"))).otherwise(1))
     split = Window.partitionBy("file", "block").orderBy("seq")
-    above = split.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("odd", F.coalesce(F.sum("q").over(above), F.lit(0)) % 2)
-
-    # Per split: its quotes, and its last record start for either parity before it.
-    splits = lines.groupBy("file", "block").agg(F.sum("q").alias("q"), *(
-        F.max(F.when(F.col("odd") == p, F.struct("block", "seq"))).alias(f"last{p}") for p in (0, 1)))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("before", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
+    above, upto = split.rowsBetween(Window.unboundedPreceding, -1), split.rowsBetween(Window.unboundedPreceding, 0)
+    flip, sets = F.when(F.col("e0") > F.col("e1"), 1).otherwise(0), F.col("e0") == F.col("e1")
+    lines = lines.withColumn("flips", F.sum(flip).over(upto)).withColumn("set", F.when(sets, (F.col("e0") + F.col("flips")) % 2))
+    lines = lines.withColumn("known", F.last("set", ignorenulls=True).over(above)).withColumn("turned", F.col("flips") - flip)
+    for p in (0, 1):
+        lines = lines.withColumn(f"open{p}", (F.coalesce("known", F.lit(p)) + F.col("turned")) % 2)
+
+    # Per split: the same, and its last record start for either state before it.
+    splits = lines.groupBy("file", "block").agg(F.max("flips").alias("flips"), F.max_by("set", F.when(F.col("set").isNotNull(), F.col("seq"))).alias("set"), *(
+        F.max(F.when(F.col(f"open{p}") == 0, F.struct("block", "seq"))).alias(f"last{p}") for p in (0, 1)))
+    files = Window.partitionBy("file").orderBy("block")
+    earlier, here = files.rowsBetween(Window.unboundedPreceding, -1), files.rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.when(F.col("set").isNull(), F.col("flips")).otherwise(0)
+    splits = splits.withColumn("turned", F.sum(turn).over(here)).withColumn("fixed", F.col("set") + F.col("flips") + F.col("turned"))
+    splits = splits.withColumn("before", (F.coalesce(F.last("fixed", ignorenulls=True).over(earlier), F.lit(0)) + F.col("turned") - turn) % 2)
     last = F.when(F.col("before") == 0, F.col("last0")).otherwise(F.col("last1"))
     splits = splits.select("file", "block", "before", F.last(last, ignorenulls=True).over(earlier).alias("open"))
 
-    begins = F.when(F.col("odd") == F.col("before"), F.struct("block", "seq"))
-    own = F.last(begins, ignorenulls=True).over(split.rowsBetween(Window.unboundedPreceding, 0))
+    begins = F.when(F.when(F.col("before") == 0, F.col("open0")).otherwise(F.col("open1")) == 0, F.struct("block", "seq"))
+    own = F.last(begins, ignorenulls=True).over(upto)
     placed = lines.join(splits, ["file", "block"]).select("file", F.coalesce(own, F.col("open")).alias("at"), F.struct("block", "seq", "value").alias("line"))
     # A range of whole records per task keeps the order of the files.
     ranged = placed.repartitionByRange("file", "at").groupBy("file", "at").agg(F.array_sort(F.collect_list("line")).alias("lines"))
@@ -66,7 +98,9 @@ def _header_text(spark: SparkSession, path: str | Sequence[str]) -> tuple[str, s
         got = [r["value"] for r in spark.read.option("lineSep", "\n").text(target).take(n)]
         for k in range(len(got)):
             text = "\n".join(got[:k + 1])
-            if text.count('"') % 2 == 0:
+            if len(text) > MAX_HEADER:
+                raise ValueError(f"the header of {target} has more than {MAX_HEADER} characters; is a quote left open?")
+            if not _opens(text):
                 return target, text.removesuffix("\r").lstrip(_BOM)
         if len(got) < n:
             return target, "\n".join(got).removesuffix("\r").lstrip(_BOM) if got else None

@@ -40,6 +40,21 @@ def test_quoted_cell_over_several_splits_keeps_order(spark, tmp_dir):
     assert sorted(tuple(r) for r in back.collect()) == sorted(map(tuple, rows))
 
 
+def test_quotes_inside_unquoted_cells_open_nothing(spark, tmp_dir):
+    rows = ['1,5" pipe', '2,"a\nb"', '3,6" and 7" pipe', '4,"say ""x""\n"', '5,8"', '6,""', '7,9" ""', *(f'{i},{i}" x' for i in range(8, 200))]
+    with open(f"{tmp_dir}/a.csv", "w", newline="") as f:
+        f.write("\n".join(["id,x", *rows]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = [tuple(r) for r in read_csv_records(spark, f"{tmp_dir}/a.csv", schema="id int, x string").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [i for i, _ in got] == list(range(1, 200))
+        assert [x for _, x in got[:7]] == ['5" pipe', "a\nb", '6" and 7" pipe', 'say "x"\n', '8"', None, '9" ""']
+
+
 def test_files_must_share_their_header(spark, tmp_dir):
     _write(f"{tmp_dir}/a.csv", [["x", "y"], ["1", "2"]])
     _write(f"{tmp_dir}/b.csv", [["x", "y"], ["3", "4"]])
