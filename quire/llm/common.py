@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize, read_table
 
-__all__ = ["WordHash", "batched", "crc_remainder", "documents", "few_rows", "id_text", "kept_by_ids",
+__all__ = ["WordHash", "batched", "crc_remainder", "documents", "few_rows", "id_text", "joined_back", "kept_by_ids",
            "materialize", "mix", "ngram_hashes", "on_workers", "read_table", "text_slices", "worker_cache"]
 
 #: Words a task remembers the hash of before it starts afresh (a cache, never a filter).
@@ -25,6 +25,8 @@ SLICE_BYTES = 4 << 20
 #: back to the system at once instead of staying with an idle worker.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576",
                  "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: A key with more than this share of the counted rows is hot; there are fewer than HOT_SHARE.
+HOT_SHARE = 1000
 #: Rows of doc ids that may be broadcast (16 bytes each in the hash relation's keys).
 BROADCAST_IDS = 2_000_000
 
@@ -148,3 +150,15 @@ def kept_by_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> Data
     The ids are broadcast only when a count proves them few; beyond that the
     planner shuffles both sides."""
     return docs.join(F.broadcast(ids) if few_rows(ids) else ids, "doc_id", how)
+
+
+def joined_back(rows: DataFrame, distinct: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with what ``distinct`` (a written table with one row for each
+    ``key`` of ``rows``, never null, and its count of rows) says of their key.
+    Hot keys, of which there are fewer than HOT_SHARE, are broadcast, so their
+    rows stay where they are; the others meet in a shuffle without large keys."""
+    total = distinct.agg(F.sum(count)).head()[0] or 0
+    hot, cool = F.col(count) * HOT_SHARE > total, F.col(count) * HOT_SHARE <= total
+    few = F.broadcast(distinct.where(hot).drop(count))
+    rest = rows.join(F.broadcast(distinct.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(distinct.where(cool).drop(count), key))

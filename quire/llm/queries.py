@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, host_rules, jaccard_join, lm_scoring, packing, pii, repair_output, substrings, token_counts,
-               toxicity)
+from . import (conversation_repair, decontaminate, host_rules, jaccard_join, lm_scoring, packing, pii, repair_output, substrings,
+               token_counts, toxicity, vantage, whitening)
 
 QUERIES = {
     "op1_repair_output": repair_output.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.query,
     "op9_host_rules": host_rules.query,
     "op10_pii": pii.query,
+    "op11_vantage_points": vantage.query,
+    "op12_whitening": whitening.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
