@@ -23,7 +23,7 @@ from quire.session import read_table, scratch_path
 from quire.sinks import writers
 from quire.sources import files, profile
 from quire.sources import records as files_records
-from quire.streaming.ingest import incremental_ingest
+from quire.streaming.ingest import incremental_ingest, ingest_log, read_ingested
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -366,12 +366,29 @@ def q_dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.dataset_profile(spark, {t: read_table(spark, sf, t) for t in TABLE_COLUMNS})
 
 
-def q_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
+INGEST_BATCHES, INGEST_FILES = 5, 4
+
+
+def _ingested(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Events that land in five slices of four files and are ingested four files
+    at a time; returns the sink and the checkpoint."""
     events = read_table(spark, sf, "events")
-    sink = scratch_path(spark, "ingest")
-    incremental_ingest(spark, f"{sf.rstrip('/')}/events.parque[t]", events.schema, sink,
-                       scratch_path(spark, "ingest-ckpt"), transform=clean.stringify_cells)
-    return spark.read.parquet(sink)
+    landing, sink, checkpoint = (scratch_path(spark, f"ingest-{x}") for x in ("in", "out", "ckpt"))
+    for i in range(INGEST_BATCHES):
+        part = events.where(F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(INGEST_BATCHES)) == i)
+        part.repartition(INGEST_FILES).write.mode("append").parquet(landing)
+    incremental_ingest(spark, landing, events.schema, sink, checkpoint, transform=clean.stringify_cells,
+                       max_files_per_trigger=INGEST_FILES)
+    return sink, checkpoint
+
+
+def q_incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return read_ingested(spark, *_ingested(spark, sf)).drop("batch")
+
+
+def q_ingest_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of the ingest with their rows and the running total."""
+    return ingest_log(spark, _ingested(spark, sf)[1])
 
 
 def q_decode_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "chunk_manifest": q_chunk_manifest,
     "dataset_profile": q_dataset_profile,
     "incremental_ingest": q_incremental_ingest,
+    "ingest_log": q_ingest_log,
     "decode_labels": q_decode_labels,
     "decode_columns": q_decode_columns,
     "section_export": q_section_export,
@@ -583,6 +601,9 @@ ORACLE: dict[str, str] = {
         f"{len(TABLE_COLUMNS['lineitem'])} AS n_columns FROM c GROUP BY chunk"),
     "dataset_profile": _profile_sql(),
     "incremental_ingest": _all_cells("events", O.stringify),
+    "ingest_log": (
+        f"SELECT coalesce(event_id, 0) % {INGEST_BATCHES} AS batch, count(*) AS rows, "
+        f"CAST(sum(count(*)) OVER (ORDER BY coalesce(event_id, 0) % {INGEST_BATCHES}) AS BIGINT) AS rows_total FROM events GROUP BY 1"),
     "decode_labels": ("SELECT c.*, n.n_name AS c_nationkey_label FROM customer c LEFT JOIN nation n "
                       "ON CAST(c.c_nationkey AS VARCHAR) = CAST(n.n_nationkey AS VARCHAR)"),
     "decode_columns": ("SELECT c.*, n.n_name AS c_nationkey_label, r.r_name AS c_custkey_label FROM customer c "

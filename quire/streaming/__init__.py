@@ -1,3 +1,3 @@
-from quire.streaming.ingest import incremental_ingest
+from quire.streaming.ingest import incremental_ingest, ingest_log, read_ingested
 
-__all__ = ["incremental_ingest"]
+__all__ = ["incremental_ingest", "ingest_log", "read_ingested"]

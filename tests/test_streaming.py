@@ -1,26 +1,33 @@
-"""Incremental ingest picks up only new files and writes each row once."""
+"""Incremental ingest picks up only new files, writes and counts each row once."""
+
+import os
+
+import pytest
 
 from quire.operators import clean
-from quire.streaming import incremental_ingest
+from quire.streaming import incremental_ingest, ingest_log, read_ingested
 
 from conftest import SF001
 
 
+def log_rows(log):
+    return [tuple(r) for r in log.orderBy("batch").collect()]
+
+
 def test_ingest_is_incremental(spark, tmp_dir):
     events = spark.read.parquet(f"{SF001}/events.parquet")
     landing, sink, ckpt = f"{tmp_dir}/landing", f"{tmp_dir}/sink", f"{tmp_dir}/ckpt"
     parts = events.randomSplit([1.0, 1.0, 1.0], seed=7)
-    for i, p in enumerate(parts[:2]):
+    for p in parts[:2]:
         p.write.mode("append").parquet(landing)
-    first = incremental_ingest(spark, landing, events.schema, sink, ckpt, transform=clean.stringify_cells)
-    n1 = spark.read.parquet(sink).count()
-    assert n1 == parts[0].count() + parts[1].count()
-    assert sum(b["rows"] for b in first) == n1
+    first = log_rows(incremental_ingest(spark, landing, events.schema, sink, ckpt, transform=clean.stringify_cells))
+    n1 = read_ingested(spark, sink, ckpt).count()
+    assert n1 == parts[0].count() + parts[1].count() == first[-1][2]
     parts[2].write.mode("append").parquet(landing)
-    second = incremental_ingest(spark, landing, events.schema, sink, ckpt, transform=clean.stringify_cells)
-    out = spark.read.parquet(sink)
-    assert sum(b["rows"] for b in second) == parts[2].count()
-    assert out.count() == events.count()
+    second = log_rows(incremental_ingest(spark, landing, events.schema, sink, ckpt, transform=clean.stringify_cells))
+    assert second[:len(first)] == first and sum(r for _, r, _ in second[len(first):]) == parts[2].count()
+    out = read_ingested(spark, sink, ckpt).drop("batch")
+    assert out.count() == events.count() == second[-1][2]
     want = clean.stringify_cells(events)
     assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
 
@@ -29,7 +36,6 @@ def test_csv_landing_to_text_parquet(spark, tmp_dir):
     from quire.sources.files import read_raw_header
 
     landing, sink, ckpt = f"{tmp_dir}/csv_in", f"{tmp_dir}/pq_out", f"{tmp_dir}/ckpt2"
-    import os
     os.makedirs(landing)
     for i in range(3):
         with open(f"{landing}/part{i}.csv", "w") as f:
@@ -37,21 +43,55 @@ def test_csv_landing_to_text_parquet(spark, tmp_dir):
             f.write(f"{i},#NULL!,x{i}\n{i + 10},y,\n")
     raw = read_raw_header(spark, f"{landing}/part0.csv")
     schema = ",".join(f"`c{j}` string" for j in range(len(raw)))
-    progress = incremental_ingest(
+    log = incremental_ingest(
         spark, landing, schema, sink, ckpt, fmt="csv",
         source_options={"header": "true", "nullValue": "#NULL!"},
         transform=lambda d: clean.clean_parquet_table(d, raw_names=raw), max_files_per_trigger=1)
-    assert len(progress) == 3 and sum(p["rows"] for p in progress) == 6
-    assert [p["rows_total"] for p in progress] == [2, 4, 6]
-    out = spark.read.parquet(sink)
+    assert log_rows(log) == [(0, 2, 2), (1, 2, 4), (2, 2, 6)]
+    out = read_ingested(spark, sink, ckpt).drop("batch")
     assert out.columns == ["a_b", "col_1", "c"]
     assert sorted(tuple(r) for r in out.collect()) == sorted(
         [(str(i), "", f"x{i}") for i in range(3)] + [(str(i + 10), "y", "") for i in range(3)])
 
 
-def test_progress_of_more_batches_than_spark_keeps(spark, tmp_dir):
-    landing = f"{tmp_dir}/many_in"
-    spark.range(0, 104, 1, 104).write.parquet(landing)
-    progress = incremental_ingest(spark, landing, "id long", f"{tmp_dir}/many_out", f"{tmp_dir}/many_ckpt", max_files_per_trigger=1)
-    assert len(progress) > 100
-    assert progress[-1]["rows_total"] == spark.read.parquet(f"{tmp_dir}/many_out").count() == 104
+def test_session_settings_stay(spark, tmp_dir):
+    landing = f"{tmp_dir}/few_in"
+    spark.range(0, 6, 1, 3).write.parquet(landing)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    log = incremental_ingest(spark, landing, "id long", f"{tmp_dir}/few_out", f"{tmp_dir}/few_ckpt", max_files_per_trigger=1)
+    assert [r for _, r, _ in log_rows(log)] == [2, 2, 2] and spark.conf.get(kept) == before
+
+
+@pytest.mark.parametrize("point", ["before the rows", "before the log"])
+def test_a_killed_batch_counts_once(spark, tmp_dir, point, monkeypatch):
+    """A batch that dies half-way, before or after its rows are written, is
+    repeated by the next run: no row and no count twice."""
+    from quire.streaming import ingest
+
+    landing, sink, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ckpt"
+    spark.range(0, 40, 1, 4).write.parquet(landing)
+    calls = []
+
+    def dies(df):
+        calls.append(1)
+        if point == "before the rows" and len(calls) == 3:
+            raise RuntimeError("killed")
+        return df
+
+    real = ingest.log_path
+    if point == "before the log":
+        def broken(checkpoint):
+            if len(calls) == 3:
+                raise RuntimeError("killed")
+            return real(checkpoint)
+        monkeypatch.setattr(ingest, "log_path", broken)
+    with pytest.raises(Exception, match="killed"):
+        incremental_ingest(spark, landing, "id long", sink, ckpt, transform=dies, max_files_per_trigger=1)
+    monkeypatch.setattr(ingest, "log_path", real)
+    assert read_ingested(spark, sink, ckpt).count() == 20
+    log = incremental_ingest(spark, landing, "id long", sink, ckpt, max_files_per_trigger=1)
+    assert log_rows(log) == [(0, 10, 10), (1, 10, 20), (2, 10, 30), (3, 10, 40)]
+    assert sorted(r["id"] for r in read_ingested(spark, sink, ckpt).collect()) == list(range(40))
+    again = incremental_ingest(spark, landing, "id long", sink, ckpt, max_files_per_trigger=1)
+    assert log_rows(again) == log_rows(ingest_log(spark, ckpt)) == log_rows(log)
