@@ -14,10 +14,12 @@ reads a single column.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import materialize
 from quire.sources.files import with_file_position
@@ -75,14 +77,78 @@ def with_file_index(df: DataFrame, *, index_col: str = "row_index") -> DataFrame
             .withColumn(index_col, F.col("_off") + F.col("_row")).select(*df.columns, index_col))
 
 
+#: Rows that a head may bring to the driver.
+HEAD_ROWS = 10_000
+
+
+def _in_files(df: DataFrame, files: Sequence[str]) -> DataFrame:
+    """A file scan of only these of its files (the others are not opened). A path
+    without a host is listed as ``file:///x`` and scanned as ``file:/x``."""
+    spelt = {*files, *(re.sub(r"^([A-Za-z0-9+.-]+):///", r"\1:/", f) for f in files)}
+    return df.where(F.col("_metadata.file_path").isin(sorted(spelt)))
+
+
+def _head(df: DataFrame, n: int) -> list:
+    if n > HEAD_ROWS:
+        raise ValueError(f"a head of {n} rows; at most {HEAD_ROWS}, use batch_preview_file_order for more")
+    rows: list = []
+    for path in sorted(df.inputFiles()):
+        if len(rows) >= n:
+            break
+        rows += _in_files(df, [path]).take(n - len(rows))
+    return rows
+
+
+def head_of_files(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a file scan in file order, ``n`` at most HEAD_ROWS.
+
+    Files are opened by path, one after the other, until there are enough rows;
+    ``take`` starts with the first split of a file and goes on to later ones
+    only as far as it must. The rows come back as a local table.
+    """
+    return df.sparkSession.createDataFrame(_head(df, n), df.schema)
+
+
+def _leading_files(df: DataFrame, cap: int) -> tuple[DataFrame, list[tuple]]:
+    """``df`` cut to its leading files that hold ``cap`` rows, with positions,
+    and the offset of each split: (file, block, offset).
+
+    Prefixes of 1, 2, 4, ... files are counted, without reading a column, until
+    one holds enough; the splits of that same scan are then numbered."""
+    files, k = sorted(df.inputFiles()), 1
+    while True:
+        rows = with_file_position(_in_files(df, files[:k]) if k < len(files) else df)
+        splits = sorted(rows.groupBy("_file", "_block").agg(F.count(F.lit(1)), F.min("_row")).collect())
+        if sum(r[2] for r in splits) >= cap or k >= len(files):
+            break
+        k *= 2
+    before, offsets = 0, []
+    for file, block, n, first in splits:
+        offsets.append((file, block, before - first))
+        before += n
+    return rows, offsets
+
+
 def batch_preview_file_order(df: DataFrame, *, batch_size: int = 50_000, max_batches: int = 50,
                              row_cap: int | None = None, batch_col: str = "batch",
                              index_col: str = "row_index") -> DataFrame:
     """Rows of the first ``max_batches`` batches of a file scan in file order
-    (and before ``row_cap``), numbered from 1, with their 0-based position."""
+    (and before ``row_cap``), numbered from 1, with their 0-based position.
+
+    Only leading files are read: up to HEAD_ROWS rows come from the first splits
+    alone (``head_of_files``), more from the leading files that hold them."""
     cap = batch_size * max_batches if row_cap is None else min(batch_size * max_batches, row_cap)
-    return (with_file_index(df, index_col=index_col).where(F.col(index_col) < F.lit(cap))
-            .withColumn(batch_col, F.expr(f"`{index_col}` div {int(batch_size)}") + 1))
+    if cap <= HEAD_ROWS:
+        head = [(*r, i) for i, r in enumerate(_head(df, cap))]
+        schema = T.StructType([*df.schema.fields, T.StructField(index_col, T.LongType())])
+        numbered = df.sparkSession.createDataFrame(head, schema)
+    else:
+        rows, offsets = _leading_files(df, cap)
+        # One row per split of the leading files.
+        splits = df.sparkSession.createDataFrame(offsets, "_file string, _block long, _off long")
+        numbered = rows.join(F.broadcast(splits), ["_file", "_block"]).withColumn(index_col, F.col("_off") + F.col("_row"))
+        numbered = numbered.where(F.col(index_col) < F.lit(cap)).select(*df.columns, index_col)
+    return numbered.withColumn(batch_col, F.expr(f"`{index_col}` div {int(batch_size)}") + 1)
 
 
 def _first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, bool]:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.program import apply_rule
-from quire.functions.sqltext import ident, lit, literal_frame
+from quire.functions.sqltext import ident, lit
 from quire.functions.text import py_str
-from quire.sources.files import FILE_POSITION, with_file_position
+from quire.operators.chunks import head_of_files
 
 SectionMap = Mapping[str, Sequence[str]]
 
@@ -49,12 +49,6 @@ def coverage(columns: Sequence[str], sections: SectionMap, keys: Sequence[str] =
     }
 
 
-def section_map_frame(spark: SparkSession, sections: SectionMap) -> DataFrame:
-    """``(section, ordinal, name)`` rows of a section map."""
-    rows = [(s, i, c) for s, cols in sections.items() for i, c in enumerate(cols)]
-    return literal_frame(spark, rows, "section string, ordinal int, name string")
-
-
 def project_section(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Keys first, then the section's columns, in the given order. On a
     Parquet source the scan reads only these columns."""
@@ -62,11 +56,12 @@ def project_section(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
 
 
 def _head_rows(df: DataFrame, keys: Sequence[str], used: Sequence[str], n: int, file_order: bool) -> DataFrame:
-    """The first ``n`` rows by key, or by position in the files of a scan,
-    projected to ``used``: a top-``n`` (each task keeps ``n`` rows, one merge)."""
-    order = FILE_POSITION if file_order else [ident(k) for k in keys]
-    src = with_file_position(df) if file_order else df
-    return src.orderBy(*[F.col(c) for c in order]).limit(n).select(*[F.col(ident(c)) for c in used])
+    """The first ``n`` rows, projected to ``used``: by key a top-``n`` (each task
+    keeps ``n`` rows, one merge), in file order a read of the first splits only."""
+    cols = [F.col(ident(c)) for c in used]
+    if file_order:
+        return head_of_files(df.select(*cols), n)
+    return df.orderBy(*[F.col(ident(k)) for k in keys]).limit(n).select(*cols)
 
 
 def section_head(df: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int = 5, *,

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.clean import clean_csv_table, clean_parquet_table
-from quire.operators.sections import project_section, section_head
 from quire.sinks.writers import write_csv, write_parquet
 from quire.sources.files import NULL_TOKEN, read_raw_header
 from quire.sources.records import read_csv_records
@@ -39,18 +38,6 @@ def csv_to_parquet(spark: SparkSession, csv_path: str, out_path: str, *,
     return table_to_parquet(df, out_path, raw_names=raw, row_group_rows=row_group_rows)
 
 
-def section_heads(spark: SparkSession, parquet_path: str, keys: Sequence[str],
-                  sections: Mapping[str, Sequence[str]], n: int = 5) -> dict[str, DataFrame]:
-    """First rows of every section, each a column-pruned scan of the file."""
-    src = spark.read.parquet(parquet_path)
-    return {name: section_head(src, keys, cols, n) for name, cols in sections.items()}
-
-
-def read_section(spark: SparkSession, parquet_path: str, keys: Sequence[str],
-                 columns: Sequence[str]) -> DataFrame:
-    return project_section(spark.read.parquet(parquet_path), keys, columns)
-
-
 def show_section_heads(df: DataFrame, keys: Sequence[str], sections: Mapping[str, Sequence[str]],
                        n: int = 5) -> None:
     """Print the first ``n`` rows of every section for a person to read.

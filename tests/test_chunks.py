@@ -110,3 +110,60 @@ def test_batches_in_file_order(spark, tmp_dir):
     got = sorted((r["row_index"], r["batch"], r["v"]) for r in prev_rows)
     assert [g[2] for g in got] == values[:700]
     assert [g[1] for g in got] == [i // 100 + 1 for i in range(700)]
+
+
+def _tasks(spark, run):
+    """Tasks of the jobs that ``run`` starts."""
+    spark.sparkContext.setJobGroup("count-tasks", "")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("count-tasks"))
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = set(tracker.getJobIdsForGroup("count-tasks")) - before
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    return sum(tracker.getStageInfo(s).numCompletedTasks for s in stages), out
+
+
+def _numbered_files(spark, tmp_dir):
+    """Six CSV files of 3,000 rows; sizes differ so that scan order is not file order."""
+    for i in range(6):
+        rows = spark.range(i * 3000, i * 3000 + 3000, 1, 1).selectExpr("id", f"repeat('x', {10 + 7 * i}) AS pad")
+        path = f"{tmp_dir}/in/f{i}"
+        rows.write.option("header", "true").csv(path)
+    return spark.read.schema("id long, pad string").option("header", "true").csv([f"{tmp_dir}/in/f{i}" for i in range(6)])
+
+
+def test_a_small_preview_reads_one_split(spark, tmp_dir):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = _numbered_files(spark, tmp_dir)
+        assert df.rdd.getNumPartitions() > 12
+        tasks, got = _tasks(spark, lambda: chunks.batch_preview_file_order(df, batch_size=5, max_batches=4))
+        assert tasks == 1
+        assert [(r["id"], r["row_index"], r["batch"]) for r in got.collect()] == [(i, i, i // 5 + 1) for i in range(20)]
+        tasks, head = _tasks(spark, lambda: chunks.head_of_files(df, 4000))
+        assert [r["id"] for r in head.collect()] == list(range(4000)) and tasks < df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_large_preview_opens_leading_files_only(spark, tmp_dir):
+    df = _numbered_files(spark, tmp_dir)
+    got = chunks.batch_preview_file_order(df, batch_size=2500, max_batches=5)
+    assert sorted((r["id"], r["row_index"], r["batch"]) for r in got.collect()) == [(i, i, i // 2500 + 1) for i in range(12500)]
+    rows, offsets = chunks._leading_files(df, 3001)
+    assert len({f for f, _, _ in offsets}) == 2 and len(rows.inputFiles()) == 6
+    assert rows.select("_file").distinct().count() == 2
+    capped = chunks.batch_preview_file_order(df, batch_size=50_000, max_batches=50, row_cap=11_000)
+    assert capped.count() == 11_000 and capped.selectExpr("max(id)").first()[0] == 10_999
+
+
+def test_heads_of_empty_inputs(spark, tmp_dir):
+    spark.range(0).write.parquet(f"{tmp_dir}/none")
+    none = spark.read.schema("id long").parquet(f"{tmp_dir}/none")
+    assert chunks.head_of_files(none, 5).count() == 0
+    assert chunks.batch_preview_file_order(none).count() == 0
+    assert chunks.batch_preview_file_order(none, batch_size=2, max_batches=2).count() == 0
