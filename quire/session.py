@@ -68,8 +68,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     it back: the lineage is cut, the rows are computed once, and later reads
     prune columns. Survives executor loss (reliable storage)."""
     path = scratch_path(df.sparkSession, name)
-    # Scratch data is read once or twice: favour encode speed over size.
-    df.write.mode("overwrite").option("compression", "lz4_raw").parquet(path)
+    # Read once or twice: the fast end of zstd. (lz4_raw pages of a large table
+    # could not be read back.)
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
