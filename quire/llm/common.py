@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -48,6 +50,14 @@ def on_workers(spark: SparkSession) -> None:
         env.setdefault(name, value)
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system, where it can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _CACHES: dict = {}
 
 
@@ -55,7 +65,9 @@ def worker_cache(key, make):
     """This worker's cache ``key``. Only the latest is held, so that a worker
     that goes on to another operator gives up what it remembered for the last."""
     if key not in _CACHES:
-        _CACHES.clear()
+        if _CACHES:
+            _CACHES.clear()
+            release()
         _CACHES[key] = make()
     return _CACHES[key]
 

@@ -27,9 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import scratch_path
-
-from .common import MEMO_WORDS, WordHash, crc_remainder, documents, id_text, mix, text_slices
+from .common import MEMO_WORDS, WordHash, crc_remainder, documents, id_text, materialize, mix, text_slices
 
 FOLDS, HELD_OUT = 7, 2
 #: Least count of a pair that is an arc, whatever the corpus.
@@ -49,14 +47,6 @@ RARE = np.uint64(1 << 63)
 _HASHES = WordHash()
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """As ``materialize``, in snappy: lz4_raw pages of the pair table could not
-    be read back (MalformedInputException of the decoder)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys.sort()
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
@@ -251,7 +241,7 @@ def _scored(model):
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): exact counts of all training tokens, by hash; a written table."""
     parts = docs.mapInArrow(_words, "h long, c long")
-    return _written(parts.groupBy("h").agg(F.sum("c").alias("c")), "words")
+    return materialize(parts.groupBy("h").agg(F.sum("c").alias("c")), "words")
 
 
 def _collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -271,15 +261,15 @@ def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair
     hashes, n = hashes[order], n[order]
     words = Automaton(hashes, n, total, distinct)
     pairs = docs.mapInArrow(_pairs(sc.broadcast(words)), "s long, w long, c long").groupBy("s", "w").agg(F.sum("c").alias("c"))
-    pairs = _written(pairs.where(F.col("c") >= LEAST), "pairs")
+    pairs = materialize(pairs.where(F.col("c") >= LEAST), "pairs")
 
     # What the arcs of a state leave of its mass.
-    taken = _written(pairs.groupBy("s").agg(F.sum(F.col("c") - DISCOUNT).alias("taken")), "taken")
+    taken = materialize(pairs.groupBy("s").agg(F.sum(F.col("c") - DISCOUNT).alias("taken")), "taken")
     left, (state, mass) = np.ones(len(n)), _collected(taken.where("s >= 0"), "s", "taken")
     left[state] -= mass / n[state]
     key = F.col("h").bitwiseOR(F.lit(-1 << 63)).alias("s")
     rare = counts.where(F.col("c") < word_rate * total).select(key, F.col("c").alias("n")).join(taken.where("s < 0"), "s", "left")
-    rare = _written(rare.select("s", "n", (1 - F.coalesce("taken", F.lit(0.0)) / F.col("n")).alias("left")), "rare")
+    rare = materialize(rare.select("s", "n", (1 - F.coalesce("taken", F.lit(0.0)) / F.col("n")).alias("left")), "rare")
 
     # The most frequent arcs, as whole classes of a count.
     placed = pairs.where("s >= 0 and w >= 0")
@@ -293,7 +283,7 @@ def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair
     model = Automaton(hashes, n, total, distinct, left, keys[order], often[order])
 
     # Odds of an arc against the failure arc; the factors of rare words are joined.
-    odds = _written(pairs.mapInArrow(_odds(sc.broadcast(model)), "s long, w long, c long, fs double, fw double, slot long"), "odds")
+    odds = materialize(pairs.mapInArrow(_odds(sc.broadcast(model)), "s long, w long, c long, fs double, fw double, slot long"), "odds")
     blocks = odds.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
     if blocks.num_rows:  # a block has 2^15 bits; blocks count from 1
         held = np.frombuffer(b"".join(blocks.column("bits").to_pylist()), np.uint8).reshape(blocks.num_rows, -1)
@@ -305,7 +295,7 @@ def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair
     joined = odds.where("fw is null").drop("fw").join(rare.select(F.col("s").alias("w"), "n"), "w").withColumn("fw", floor / (F.col("n") + 1))
     odds = odds.where("fw is not null").unionByName(joined.select(odds.columns))
     gain = F.log10(1 + (F.col("c") - DISCOUNT) * F.col("fs") * F.col("fw"))
-    model.rare, model.arcs = rare, _written(odds.select("s", "w", gain.alias("gain")), "arcs")
+    model.rare, model.arcs = rare, materialize(odds.select("s", "w", gain.alias("gain")), "arcs")
     return model
 
 
@@ -313,7 +303,7 @@ def score(docs: DataFrame, counts: DataFrame, automaton: Automaton, word_rate: f
     """Per row: n_tokens, n_known, train_tokens, base_score and score (log10)."""
     model = docs.sparkSession.sparkContext.broadcast(automaton)
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = _written(rows.mapInArrow(_scored(model), _SCORED_DDL), "scored")
+    rows = materialize(rows.mapInArrow(_scored(model), _SCORED_DDL), "scored")
     total, floor = automaton.total, F.lit(float(automaton.total + automaton.distinct + 1))
     # Every word of a text is the state before one token of it: it costs its failure arc as often as itself.
     words = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.h").alias("s"), "x.m").join(automaton.rare, "s", "left")

@@ -6,8 +6,10 @@ validates what it finds. Runs of digits are their own anchors for network
 addresses and card numbers. Spans are code-point offsets, end exclusive.
 
 Beyond the base kinds (email, ip, card, phone) the anchors give ``login`` (user
-and password in a URL: ``scheme://user:password@``) and ``account`` (an account
-number behind a cue: IBAN with its check digits, or 8 to 17 digits).
+and password in a URL: ``scheme://user:password@``), ``account`` (an account
+number behind a cue: IBAN with its check digits, or 8 to 17 digits) and
+``secret`` (a value assigned to a cue such as ``token =``, or a key that begins
+as the keys of a service do).
 
 Defined results: a null or empty text has no spans; rows with equal or null
 doc_id are searched one by one; a very long run of letters or digits costs time
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import documents, id_text, on_workers
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "account")
+KINDS = (*BASE, "login", "account", "secret")
 CUES = ("account number", "account no", "acct", "iban", "kontonummer", "numéro de compte", "número de cuenta")
+#: Names of a secret that is assigned, and beginnings of keys (fixed values of their issuers).
+SECRETS = ("token", "secret", "password", "passwd", "passwort", "mot de passe", "contraseña", "api key", "api_key", "api-key", "apikey",
+           "access key", "access_key", "private key", "private_key")
+KEYS = ("akia", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "aiza")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,10 +45,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@")
 _ACCOUNT = re.compile(r"[\s:#=.]{0,3}(?:([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)|([0-9](?:[ -]?[0-9]){7,16}))(?![A-Za-z0-9])")
 
+_ASSIGNED = re.compile(r"""["']?[ \t]{0,3}(?:=|:)>?[ \t]{0,3}(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"'<>,;|]{8,512}))""")
+_KEY = re.compile(r"[A-Za-z0-9_-]{16,255}(?![A-Za-z0-9_-])")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+#: Cues are compared without the case of these letters; no place moves.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÉÚÑ", "abcdefghijklmnopqrstuvwxyzéúñ")
+
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for s, kind in (("@", "email"), ("+", "phone"), ("://", "login"), *((c, "account") for c in CUES)):
+    for s, kind in (("@", "email"), ("+", "phone"), ("://", "login"), *((c, "account") for c in CUES),
+                    *((c, "secret") for c in SECRETS), *((k, "key") for k in KEYS)):
         a.add_word(s, (kind, len(s)))
     a.make_automaton()
     return a
@@ -65,6 +78,41 @@ def iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def account(text: str, at: int) -> tuple[int, int] | None:
+    """The account number that begins at ``at``: of an IBAN, which words in
+    capitals may follow, the longest run of whole groups with right check digits."""
+    m = _ACCOUNT.match(text, at)
+    if not m:
+        return None
+    if not m[1]:
+        return m.span(2)
+    start, stop = m.span(1)
+    while not iban(text[start:stop]):
+        stop = text.rfind(" ", start, stop)
+        if stop < 0:
+            return None
+    return start, stop
+
+
+def assigned(text: str, at: int) -> tuple[int, int] | None:
+    """A value assigned to the name before ``at``: quoted, or without blanks, and
+    with a digit among letters or of 16 characters without a blank at least."""
+    m = _ASSIGNED.match(text, at)
+    if not m:
+        return None
+    value = m[m.lastindex]
+    mixed = _DIGIT.search(value) and _LETTER.search(value)
+    return m.span(m.lastindex) if mixed or len(value) >= 16 and " " not in value and _DIGIT.search(value) else None
+
+
+def _key(text: str, at: int, stop: int) -> tuple[int, int] | None:
+    """A key of a service: the letters and digits that go on from its beginning."""
+    if at and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+        return None
+    m = _KEY.match(text, stop)
+    return (at, m.end()) if m and _DIGIT.search(m[0]) else None
+
+
 def _small(part: str) -> bool:
     """At most 255, whatever zeros lead."""
     p = part.lstrip("0")
@@ -75,9 +123,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind, in order of their start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended, kept or not
-    # Cues are compared without case, where lower case keeps every place.
-    low = text.lower()
-    low = low if len(low) == len(text) else text
+    low = text.translate(_LOWER)
     for end, (kind, size) in _ANCHORS.iter(low):
         at = end - size + 1
         if kind == "email":
@@ -98,13 +144,16 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if m:
                 out["login"].append((end + 1, m.end() - 1))
                 free["login"] = m.end()
+        elif kind in ("secret", "key"):
+            span = assigned(text, end + 1) if kind == "secret" else _key(text, at, end + 1)
+            if span and span[0] >= free["secret"]:
+                out["secret"].append(span)
+                free["secret"] = span[1]
         else:
-            m = _ACCOUNT.match(text, end + 1)
-            if m and (iban(m[1]) if m[1] else True):
-                span = m.span(1 if m[1] else 2)
-                if span[0] >= free["account"]:
-                    out["account"].append(span)
-                    free["account"] = span[1]
+            span = account(text, end + 1)
+            if span and span[0] >= free["account"]:
+                out["account"].append(span)
+                free["account"] = span[1]
     for m in _DOTTED.finditer(text):
         parts, at = m[0].split("."), m.start()
         for k in range(0, len(parts) - 3, 4):  # leftmost groups of four, none twice

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 from .common import worker_cache
 
-#: Parts of one generation; a worker remembers two of them.
-MEMO_PARTS = 400_000
+#: Bytes of one generation of remembered parts (a worker holds two of each
+#: dictionary), and what an entry takes besides its texts: two objects and a slot.
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 180
+#: Endings of words remembered at a time.
+MEMO_MARKS = 50_000
 #: Characters that are certainly no white space for either side of a cut.
 _SOLID = "!-~¡-ɏ"
 _LOOSE = (re.compile(f" (?![{_SOLID}])"), re.compile(f"[^{_SOLID}] "))
@@ -40,41 +42,47 @@ def byte_letters() -> list[str]:
 
 
 class Parts(dict):
-    """Part of a text -> its ids as little-endian unsigned 32-bit integers. When
-    a generation is full it becomes the old one, from which parts in use return."""
+    """Part of a text -> its ids as little-endian unsigned 32-bit integers. A
+    generation ends when its keys and ids take MEMO_BYTES; it then becomes the old
+    one, from which parts in use return, and the one before it is forgotten."""
 
     def __init__(self, tokenizer, lower: bool, before: str):
-        self.tokenizer, self.lower, self.before, self.cores = tokenizer, lower, before, {}
+        self.tokenizer, self.lower, self.before = tokenizer, lower, before
+        self.pieces = tokenizer.model.tokenize
         self.old: dict = {}
+        self.held, self.marks = 0, {}
         self.letters = byte_letters()
+        self.lead = "".join(self.letters[b] for b in before.encode())
 
     def __missing__(self, part) -> bytes:
-        if len(self) >= MEMO_PARTS:
-            self.old = dict(self)
-            self.clear()
-            self.cores.clear()
         ids = self.old.get(part)
-        if ids is not None:
-            self[part] = ids
-            return ids
-        text = part.decode() if isinstance(part, bytes) else part
-        simple = _SIMPLE.fullmatch(text)
-        if simple:
-            core, marks = simple.groups()
-            ids = self._core(self.before + (core.lower() if self.lower else core))
-            ids = ids + self._core(marks) if marks else ids
-        else:
-            ids = np.array(self.tokenizer.encode(self.before + text, add_special_tokens=False).ids, "<u4").tobytes()
+        if ids is None:
+            text = part if self.before or isinstance(part, str) else part.decode()
+            simple = _SIMPLE.fullmatch(text)
+            if not simple:
+                ids = array("I", self.tokenizer.encode(self.before + text, add_special_tokens=False).ids).tobytes()
+            elif marks := simple[2]:
+                core = simple[1]
+                ids = self[core if self.before or isinstance(part, str) else core.encode()]
+                more = self.marks.get(marks)
+                if more is None:
+                    if len(self.marks) >= MEMO_MARKS:
+                        self.marks.clear()
+                    more = self.marks[marks] = self._pieces(marks, "")
+                ids += more
+            else:
+                ids = self._pieces(text.lower() if self.lower else text, self.lead)
+        if self.held >= MEMO_BYTES:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
         self[part] = ids
         return ids
 
-    def _core(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        got = self.cores.get(text)
-        if got is None:
-            mapped = "".join([self.letters[b] for b in text.encode()])
-            got = self.cores[text] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-        return got
+    def _pieces(self, text: str, lead: str) -> bytes:
+        """Ids of one pre-token: ASCII letters and marks stand for themselves."""
+        mapped = lead + text if text.isascii() else lead + "".join([self.letters[b] for b in text.encode()])
+        return array("I", [t.id for t in self.pieces(mapped)]).tobytes()
 
 
 class Encoder:

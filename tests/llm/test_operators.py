@@ -199,6 +199,21 @@ def test_jaccard_edges(docs, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Rows are judged by their own text: no text is lost because its doc_id is
+    that of a copy, and a null doc_id is linked with nothing."""
+    a, b = "alpha beta gamma delta epsilon zeta", BASE
+    rows = [(1, b), (None, b), (2, b), (2, a), (3, a), (None, a), (4, "x y"), (4, "x y"), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, _row int")
+    got = sorted(tuple(r) for r in jaccard_join.join(df.where("doc_id is not null")).select("doc_id", "component_id").collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4), (5, 5), (5, 5)]
+    nulls = jaccard_join.join(df).where("doc_id is null").collect()
+    assert len(nulls) == 2 and all(r["component_id"] is None and r["n_shingles"] > 0 for r in nulls)
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, b), (None, b), (2, a), (None, a), (4, "x y"), (5, None), (5, "")])
+
+
 def test_jaccard_crowded_columns(spark, monkeypatch, rng=np.random.default_rng(5)):
     monkeypatch.setattr(jaccard_join, "DIRECT", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
@@ -326,3 +341,39 @@ def test_pii_spans_and_redaction(docs, empty):
     assert clean.columns == docs.columns and by_id(clean)[9][0]["text"].startswith("mail <EMAIL> or <PHONE> now")
     assert by_id(clean)[5][0]["text"] is None
     assert pii.spans(empty).count() == 0
+
+
+def test_pii_base_kinds_against_the_patterns(rng=np.random.default_rng(11)):
+    """Base spans against the contract's patterns, on texts drawn from what matters to them."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    parts = ["a", "b.c", "@", "@@", ".", "-", " ", "+", "+4", "9", "192", "256.", "4111 1111 1111 1111", "4111111111111111", "(030)", "12-34",
+             "1.2.3.4", "\n", "é", "İ", "_%", "x@y.de", "0.0.0.0.0.0.0.0", "token"]
+
+    def brute(t):
+        digits = lambda x: re.sub("[^0-9]", "", x)
+        out = [("email", *m.span()) for m in email.finditer(t)]
+        out += [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [("card", *m.span()) for m in card.finditer(t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        return out + [("phone", *m.span()) for m in phone.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+    for _ in range(3000):
+        t = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 14)))
+        got = pii.find(t)
+        assert [(k, a, b) for k in pii.BASE for a, b in got[k]] == brute(t), t
+
+
+def test_pii_accounts_and_secrets():
+    def found(t, kind):
+        return [t[a:b] for a, b in pii.find(t)[kind]]
+    assert found("İ IBAN ES91 2100 0418 4502 0005 1332 BIC", "account") == ["ES91 2100 0418 4502 0005 1332"]
+    assert found("IBAN AT61 1904 3002 3457 3201 BAWAATWW", "account") == ["AT61 1904 3002 3457 3201"]
+    assert found("IBAN ES92 2100 0418 4502 0005 1332", "account") == [] and found("Acct 12345678.", "account") == ["12345678"]
+    assert found('x TOKEN = "04dbebab91ab85687d33" y', "secret") == ["04dbebab91ab85687d33"]
+    assert found("password: hunter2hunter, api_key='a1b2c3d4'", "secret") == ["hunter2hunter", "a1b2c3d4"]
+    assert found("ghp_0123456789abcdefghijABCDEFGHIJ012345 tail", "secret") == ["ghp_0123456789abcdefghijABCDEFGHIJ012345"]
+    for clean in ("the token: a small thing", "secret = plain words", "password is needed", "desk-research-and-development-plan", "token = \"only words here\""):
+        assert found(clean, "secret") == [], clean
+    t = 'a token = "04dbebab91ab85687d33" b'
+    assert pii.redact(t, pii.find(t)) == 'a token = "<SECRET>" b'
