@@ -24,9 +24,9 @@ PY_WHITESPACE_CLASS = (
 # \n, \r and \r\n (which Spark's text source already splits on).
 EXTRA_LINE_BREAK_CLASS = "[\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 
-# Texts that are numbers: decimal digits, a fraction, an exponent, or infinity.
-# The engine's cast also takes type suffixes (1D) and hexadecimal floats.
-NUMBER_TEXT = "(?i)^\\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\\s*$"
+# Texts that are numbers: decimal digits, a fraction, an exponent, infinity or
+# not-a-number. The engine's cast also takes type suffixes (1D) and hexadecimal floats.
+NUMBER_TEXT = "(?i)^\\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\\s*$"
 
 # The CSV cell rule's replacements, applied in this order.
 CSV_CELL_REPLACEMENTS = ((",", " "), ("\n", " "), ('"', "'"))

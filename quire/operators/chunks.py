@@ -151,54 +151,118 @@ def batch_preview_file_order(df: DataFrame, *, batch_size: int = 50_000, max_bat
     return numbered.withColumn(batch_col, F.expr(f"`{index_col}` div {int(batch_size)}") + 1)
 
 
-def _first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Rows with key at or below the ``n``-th key, and whether that set is
-    exactly the first ``n`` rows (no tie straddles position ``n``)."""
+#: Keys drawn per round of a rank selection; as many are sorted in the end.
+SELECT_SAMPLE = 4096
+
+
+def _at(keys: Sequence[str], row: Sequence, types: dict[str, T.DataType]) -> F.Column:
+    return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, row)])
+
+
+def _between(df: DataFrame, keys: Sequence[str], low: tuple | None, high: tuple | None) -> DataFrame:
+    """Rows with key above ``low`` and below ``high``. The test of the leading
+    key alone is implied, but reaches the scan (row groups are pruned)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key, lead = F.struct(*[F.col(k) for k in keys]), F.col(keys[0])
+    if low is not None:
+        df = df.where(key > _at(keys, low, types))
+        df = df.where(lead >= F.lit(low[0]).cast(types[keys[0]])) if low[0] is not None else df
+    if high is not None:
+        df = df.where(key < _at(keys, high, types))
+        df = df.where(lead.isNull() | (lead <= F.lit(high[0]).cast(types[keys[0]]))) if high[0] is not None else df.where(lead.isNull())
+    return df
+
+
+def nth_key(df: DataFrame, n: int, order_by: Sequence[str], sample: int = SELECT_SAMPLE) -> tuple[tuple, int, int] | None:
+    """The ``n``-th key (from 1) in ``order_by`` order, nulls first, the rows below
+    it and the rows up to it; None if there are fewer rows than ``n``.
+
+    Rank selection: a sample of the keys still in question gives three candidates
+    about position ``n``, one aggregate counts the rows below and up to each, and
+    only the keys between two of them stay in question, until one candidate is the
+    key or few enough are left to be sorted. Rows are neither sorted, exchanged nor
+    written; each round reads the key columns of the range twice.
+    """
+    keys = list(order_by)
+    rows = df.select(*[F.col(k) for k in keys])
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    low = high = None
+    below, left, seed = 0, rows.count(), 0
+    if n > left or n < 1:
+        return None
+    while True:
+        part = _between(rows, keys, low, high)
+        if left <= sample:
+            got = [tuple(r) for r in part.orderBy(*keys).collect()]
+            at = n - below - 1
+            first = next(i for i in range(at + 1) if same_key(got[i], got[at]))
+            last = next((i for i in range(at, len(got)) if not same_key(got[i], got[at])), len(got))
+            return got[at], below + first, below + last
+        seed += 1
+        drawn = [tuple(r) for r in part.sample(sample / left, seed=seed).orderBy(*keys).collect()]
+        if not drawn:
+            continue
+        middle, spread = (n - below) / left * len(drawn), 2 * math.sqrt(len(drawn)) + 1
+        tries = [drawn[min(max(int(i), 0), len(drawn) - 1)] for i in (middle - spread, middle, middle + spread)]
+        key = F.struct(*[F.col(k) for k in keys])
+        counts = part.agg(*(F.count(F.when(t, 1)) for x in tries for t in (key < _at(keys, x, types), key <= _at(keys, x, types)))).head()
+        most = left
+        start = below
+        for x, less, upto in zip(tries, counts[::2], counts[1::2]):
+            if start + less < n <= start + upto:
+                return x, start + less, start + upto
+            if start + upto < n:
+                low, below = x, start + upto
+            elif less < most:
+                high, most = x, less
+        left = start + most - below
+
+
+def same_key(a: tuple, b: tuple) -> bool:
+    return all(x == y or x != x and y != y for x, y in zip(a, b))
+
+
+def _first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows surely among the first ``n``, the rows of the ``n``-th key if not all
+    of them are, and how many of those are."""
     keys = list(order_by)
-    key_idx = with_row_index(df.select(*keys), keys, index_col="_pos")
-    edge = (key_idx.where(F.col("_pos").isin(n - 1, n)).orderBy("_pos")
-            .select(*keys).collect())
-    if not edge:
-        return df, True
-    last = edge[0]
-    exact = len(edge) == 1 or tuple(edge[1]) != tuple(last)
+    found = nth_key(df, n, keys)
+    if found is None:
+        return (df if n > 0 else df.limit(0)), None, 0
+    last, below, upto = found
     types = {f.name: f.dataType for f in df.schema.fields}
-    typed = {k: F.lit(last[k]).cast(types[k]) for k in keys}
-    # Struct order is field by field with nulls first, as the ascending sort.
-    bound = F.struct(*[F.col(k) for k in keys]) <= F.struct(*[typed[k].alias(k) for k in keys])
-    if last[keys[0]] is None:
-        return df.where(F.col(keys[0]).isNull() & bound), exact
-    # The leading-key test is implied by the bound but kept as its own
-    # conjunct so it is pushed into the scan (row-group pruning).
-    lead = F.col(keys[0]).isNull() | (F.col(keys[0]) <= typed[keys[0]])
-    return df.where(lead & bound), exact
+    lead, key = F.col(keys[0]), F.struct(*[F.col(k) for k in keys])
+    # The test of the leading key alone is implied by the bound but reaches the scan.
+    near = lead.isNull() if last[0] is None else lead.isNull() | (lead <= F.lit(last[0]).cast(types[keys[0]]))
+    edge = _at(keys, last, types)
+    if upto == n:
+        return df.where(near & (key <= edge)), None, 0
+    return df.where(near & (key < edge)), df.where(near & key.eqNullSafe(edge)), n - below
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The rows whose key is at or below the ``n``-th key in ``order_by``
     order (the first ``n`` rows plus any ties with the ``n``-th).
 
-    Only the key columns are range-sorted and written out to find the
-    ``n``-th key; the full rows are then filtered to keys at or below it
-    (the leading key also as a plain comparison, which reaches the Parquet
-    scan as a pushed filter). The full table is never sorted or written.
+    The key is found by ``nth_key``; the full rows are then filtered to keys at
+    or below it (the leading key also as a plain comparison, which reaches the
+    Parquet scan as a pushed filter). The table is never sorted or written.
     """
-    return _first_rows(df, n, order_by)[0]
+    rows, ties, _ = _first_rows(df, n, order_by)
+    return rows if ties is None else rows.unionByName(ties)
 
 
 def scan_row_cap(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` rows. Unordered: any ``n`` (a plain limit). Ordered: the
-    first ``n`` in key order, found by global position (no single-task merge
-    of per-partition top-n lists, no sort of the full rows). When no tie
-    straddles position ``n`` the filtered rows are the answer as they are;
-    otherwise the subset is numbered and cut at ``n``."""
+    first ``n`` in key order, by a filter at the ``n``-th key (``nth_key``); only
+    where ties straddle position ``n``, the tied rows are numbered and cut."""
     if not order_by:
         return df.limit(n)
-    cols = df.columns
-    subset, exact = _first_rows(df, n, order_by)
-    if exact:
-        return subset
-    return with_row_index(subset, order_by, index_col="_pos").where(F.col("_pos") < n).select(*cols)
+    rows, ties, more = _first_rows(df, n, order_by)
+    if ties is None:
+        return rows
+    cut = with_row_index(ties, order_by, index_col="_pos").where(F.col("_pos") < more)
+    return rows.unionByName(cut.select(*df.columns))
 
 
 def batch_preview(df: DataFrame, order_by: Sequence[str], *, batch_size: int = 50_000,

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.sqltext import ident, lit
+from quire.functions.sqltext import alias, ident, lit
 from quire.functions.text import py_strip
 from quire.sources.files import read_lines
 
@@ -83,22 +83,59 @@ def rejected_label_lines(lines: DataFrame, signed_codes: bool = False) -> DataFr
             .select("file", "block", "seq", "sub", "line"))
 
 
+def _one_label(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """``labels`` with one row per code: its label, and whether there is another."""
+    return labels.groupBy(*keys).agg(F.min("value").alias("_label"), (~F.min("value").eqNullSafe(F.max("value"))).alias("_clash"))
+
+
+def _no_clash(vallab: F.Column, code: F.Column) -> F.Column:
+    """A filter, so that a count or any projection fails as well."""
+    fail = F.raise_error(F.concat(F.lit("two labels for a code of "), vallab, F.lit(": "), code)).cast("boolean")
+    return F.when(F.col("_clash"), fail).otherwise(F.lit(True))
+
+
 def decode_labels(df: DataFrame, column: str, labels: DataFrame, vallab: str,
                   out_col: str | None = None) -> DataFrame:
     """Add the label text of a coded column (left join on code, whose strategy
-    the planner chooses). A code with two different labels is an error."""
+    the planner chooses). A code in use with two different labels is an error."""
     out_col = out_col or f"{column}_label"
-    same = F.min("value").eqNullSafe(F.max("value"))
-    clash = F.raise_error(F.concat(F.lit(f"two labels for a code of {vallab}: "), F.first("code")))
-    lab = (labels.where(F.col("vallab") == F.lit(vallab)).groupBy(F.col("code").alias("_code"))
-           .agg(F.when(same, F.min("value")).otherwise(clash).alias(out_col)))
-    return df.join(lab, F.col(column).cast("string") == F.col("_code"), "left").drop("_code")
+    lab = _one_label(labels.where(F.col("vallab") == F.lit(vallab)), ["code"]).withColumnRenamed("code", "_code")
+    joined = df.join(lab, F.col(ident(column)).cast("string") == F.col("_code"), "left")
+    return joined.where(_no_clash(F.lit(vallab), F.col("_code"))).withColumnRenamed("_label", out_col).drop("_code", "_clash")
 
 
 def decode_columns(df: DataFrame, columns: Mapping[str, str], labels: DataFrame, *,
                    suffix: str = "_label") -> DataFrame:
-    """Add a label column for each coded column (``{column: vallab}``), one
-    planner-chosen join each."""
-    for col, vallab in columns.items():
-        df = decode_labels(df, col, labels, vallab, f"{col}{suffix}")
-    return df
+    """Add a label column for each coded column (``{column: vallab}``), all by one
+    join, however many there are.
+
+    A row becomes one entry per code it has, and one entry that carries the row
+    itself; the entries meet the codebook on (vallab, code) and are put together
+    again by row number. The codebook side has one row per code, so the join is
+    broadcast or, with a codebook too large for that, splits codes in frequent
+    use. A code in use with two different labels is an error.
+    """
+    if not columns:
+        return df
+    kept = [ident(c) for c in df.columns]
+    row = f"named_struct({', '.join(f'{lit(f'c{i}')}, {c}' for i, c in enumerate(kept))})"
+    code = [f"CAST({ident(c)} AS STRING)" for c in columns]
+    entries = [f"named_struct('at', {i}, 'vallab', {lit(v)}, 'code', {c}, 'row', CAST(NULL AS {_struct_type(df)}))"
+               for i, (c, v) in enumerate(zip(code, columns.values()))]
+    carrier = f"named_struct('at', -1, 'vallab', CAST(NULL AS STRING), 'code', CAST(NULL AS STRING), 'row', {row})"
+    entries = f"filter(array({', '.join([carrier, *entries])}), x -> x.at < 0 OR x.code IS NOT NULL)"
+    # Numbered before the entries are taken apart.
+    long = df.selectExpr("monotonically_increasing_id() AS _id", f"{entries} AS _e").select("_id", F.inline("_e"))
+    book = _one_label(labels.where(F.col("vallab").isin(sorted(set(columns.values())))), ["vallab", "code"])
+    met = long.join(book, ["vallab", "code"], "left").where(_no_clash(F.col("vallab"), F.col("code")))
+    found = F.struct("at", F.col("_label").alias("label"))
+    rows = met.groupBy("_id").agg(F.first("row", ignorenulls=True).alias("row"),
+                                  F.collect_list(F.when(F.col("_label").isNotNull(), found)).alias("found"))
+    rows = rows.select("row", F.map_from_entries("found").alias("found"))
+    out = [f"row.c{i} AS {c}" for i, c in enumerate(kept)]
+    out += [alias(f"try_element_at(found, {i})", f"{c}{suffix}") for i, c in enumerate(columns)]
+    return rows.selectExpr(*out)
+
+
+def _struct_type(df: DataFrame) -> str:
+    return "STRUCT<" + ", ".join(f"c{i}: {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)) + ">"

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.sqltext import alias, ident, lit
+from quire.functions.text import NUMBER_TEXT
 from quire.functions.types import UNMAPPED, sql_to_spark, type_map_column
 
-# Number texts: decimal digits, a fraction, an exponent. The engine's own cast
-# also takes type suffixes (1D) and hexadecimal floats, which are text here.
-NUMBER = "^[ \\t\\n\\r\\f]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f]*$"
-
-
 def map_types(variables: DataFrame, type_col: str = "type", out_col: str = "sql_type", *,
               on_unmapped: str = "none", dictionary: DataFrame | None = None) -> DataFrame:
     """Add the SQL type of each Stata storage code.
@@ -45,7 +41,7 @@ def _typed_expr(col: str, target: T.DataType, empty_as_null: bool) -> str:
     if isinstance(target, T.StringType):
         return src
     if isinstance(target, T.NumericType):
-        src = f"CASE WHEN {src} RLIKE {lit(NUMBER)} THEN {src} END"
+        src = f"CASE WHEN {src} RLIKE {lit(NUMBER_TEXT)} THEN {src} END"
     if isinstance(target, (T.ShortType, T.IntegerType, T.LongType, T.ByteType)):
         # Integer codes sometimes arrive float-formatted ("3.0", "1e2"):
         # accept any whole number; "3.5" stays unparseable.

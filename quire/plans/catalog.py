@@ -156,6 +156,26 @@ def q_scan_null_tokens_multi(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_csv(spark, path, schema=orders.schema, null_tokens=[files.NULL_TOKEN, "N/A"])
 
 
+def q_scan_inferred_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Inferred type and non-null cells of every column of orders, read with no,
+    one and two null tokens from files that hold that many."""
+    orders, out = read_table(spark, sf, "orders"), []
+    part = F.col("o_orderkey").cast("long") % 7
+    for n, tokens in enumerate(([], [files.NULL_TOKEN], [files.NULL_TOKEN, "N/A"])):
+        marked = orders.select(*(F.col(c).cast("string").alias(c) for c in orders.columns))
+        for i, token in enumerate(tokens):
+            for c in ("o_custkey", "o_totalprice", "o_orderdate"):
+                marked = marked.withColumn(c, F.when(part == i, F.lit(token)).otherwise(F.col(c)))
+        path = scratch_path(spark, "inferred")
+        writers.write_csv(marked, path)
+        df = files.read_csv(spark, path, null_tokens=tokens)
+        given = df.agg(*(F.count(c).alias(c) for c in df.columns))
+        types = F.create_map(*(F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())))
+        long = given.unpivot([], df.columns, "variable", "given")
+        out.append(long.select(F.lit(n).alias("tokens"), "variable", types[F.col("variable")].alias("type"), "given"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def q_project_section(spark: SparkSession, sf: str) -> DataFrame:
     return sections.project_section(read_table(spark, sf, "lineitem"), LINEITEM_KEYS, PRICE_SECTION)
 
@@ -192,7 +212,7 @@ def q_export_csv(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     path = scratch_path(spark, "csv")
     writers.write_csv(docs, path)
-    return files.read_csv(spark, path, schema=docs.schema, null_tokens=[], multiline=True)
+    return files_records.read_csv_records(spark, path, schema=docs.schema, null_tokens=[])
 
 
 def q_table_to_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,6 +446,7 @@ def q_section_export(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_null_token": q_scan_null_token,
     "scan_null_tokens_multi": q_scan_null_tokens_multi,
+    "scan_inferred_types": q_scan_inferred_types,
     "project_section": q_project_section,
     "section_head": q_section_head,
     "sanitize_cells": q_sanitize_cells,
@@ -527,6 +548,18 @@ def _profile_sql() -> str:
     return " UNION ALL ".join(arms)
 
 
+def _inferred_sql() -> str:
+    whole = "CASE WHEN max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END"
+    arms = []
+    for n in range(3):
+        for c in TABLE_COLUMNS["orders"]:
+            kind = (whole.format(c=c) if c.endswith("key") else {"o_totalprice": "'double'", "o_orderdate": "'timestamp'"}.get(c, "'string'"))
+            lost = c in ("o_custkey", "o_totalprice", "o_orderdate") and n
+            arms.append(f"SELECT {n} AS tokens, {O.s(c)} AS variable, {kind} AS type, "
+                        f"count({c}){f' FILTER (WHERE o_orderkey % 7 >= {n})' if lost else ''} AS given FROM orders")
+    return " UNION ALL ".join(arms)
+
+
 def _ddl_sql(columns: str) -> str:
     """One statement per dataset: name and type of its variables, in their order."""
     return (f"SELECT {columns} 'CREATE TABLE IF NOT EXISTS ' || dataset || ' (' || "
@@ -542,6 +575,7 @@ ORACLE: dict[str, str] = {
     "scan_null_tokens_multi": (
         "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus IN ('P', 'F') THEN NULL ELSE o_orderstatus END "
         "AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"),
+    "scan_inferred_types": _inferred_sql(),
     "project_section": f"SELECT {_KEYS}, {', '.join(PRICE_SECTION)} FROM lineitem",
     "section_head": f"SELECT o_orderkey, {', '.join(ORDERS_SECTION)} FROM orders ORDER BY o_orderkey LIMIT 5",
     "sanitize_cells": _all_cells("documents", O.sanitize),

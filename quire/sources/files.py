@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quire.functions.names import clean_names
 from quire.functions.sqltext import alias, ident, lit
 from quire.functions.text import EXTRA_LINE_BREAK_CLASS
+from quire.sources.inference import infer_types
 
 NULL_TOKEN = "#NULL!"
 
@@ -24,6 +25,22 @@ CSV_READ_OPTIONS = {
 }
 
 
+def null_cells(df: DataFrame, null_tokens: Sequence[str]) -> DataFrame:
+    """Text cells that are a null token become null."""
+    if not null_tokens:
+        return df
+    tokens = ", ".join(lit(t) for t in null_tokens)
+    return df.selectExpr(*(alias(f"CASE WHEN {ident(c)} IN ({tokens}) THEN NULL ELSE {ident(c)} END", c) for c in df.columns))
+
+
+def cast_cells(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns, by position, as the types of ``schema``; null where they are not."""
+    if all(isinstance(f.dataType, T.StringType) for f in schema):
+        return df
+    return df.selectExpr(*(ident(c) if isinstance(f.dataType, T.StringType) else alias(f"try_cast({ident(c)} AS {f.dataType.simpleString()})", c)
+                           for c, f in zip(df.columns, schema)))
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], *,
              schema: T.StructType | str | None = None,
              null_tokens: Sequence[str] = (NULL_TOKEN,),
@@ -31,46 +48,22 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *,
              header_rules: str | None = None, sampling_ratio: float | None = None) -> DataFrame:
     """CSV scan with a header row and null tokens.
 
-    One token is handed to the parser (``nullValue``). Several tokens are
-    read as text, nulled with one ``IN`` test per column and then cast to
-    ``schema`` (without a schema the columns stay text). Without ``schema``
-    a single-token scan infers types; give a schema at scale to skip the
-    extra inference pass.
+    Cells are read as text; empty cells and those equal to a null token, of
+    however many, are null, and the rest is cast to ``schema`` (a cell that is
+    not of its type is null). Without ``schema`` the types are those that hold
+    every value (``inference``), found by one aggregate over all rows or, with
+    ``sampling_ratio``, a fraction of them; give a schema at scale to spare it.
     ``header_rules`` ("csv" / "parquet") cleans the raw header row.
-    ``sampling_ratio`` infers types from a fraction of the rows instead of
-    a full pass.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(header=str(header).lower(),
                                 multiLine=str(multiline).lower(), **CSV_READ_OPTIONS)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    tokens = list(null_tokens)
-    if len(tokens) <= 1:
-        if tokens:
-            reader = reader.option("nullValue", tokens[0])
-        if schema is not None:
-            df = reader.schema(schema).csv(paths)
-        else:
-            reader = reader.option("inferSchema", "true")
-            if sampling_ratio is not None:
-                reader = reader.option("samplingRatio", str(sampling_ratio))
-            df = reader.csv(paths)
-    else:
-        if schema is not None:
-            text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-            df = reader.schema(text_schema).csv(paths)
-        else:
-            df = reader.csv(paths)
-        token_list = ", ".join(lit(t) for t in tokens)
-        exprs = []
-        for f in df.schema:
-            c = ident(f.name)
-            nulled = f"CASE WHEN {c} IN ({token_list}) THEN NULL ELSE {c} END"
-            if schema is not None and not isinstance(schema[f.name].dataType, T.StringType):
-                nulled = f"try_cast({nulled} AS {schema[f.name].dataType.simpleString()})"
-            exprs.append(alias(nulled, f.name))
-        df = df.selectExpr(*exprs)
+    if schema is not None:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
+    df = null_cells(reader.csv(paths), null_tokens)
+    df = cast_cells(df, infer_types(df, sampling_ratio) if schema is None else schema)
     if header_rules and header:
         raw = read_raw_header(spark, paths[0], multiline=True)
         df = df.toDF(*clean_names(raw, header_rules))

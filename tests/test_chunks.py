@@ -167,3 +167,32 @@ def test_heads_of_empty_inputs(spark, tmp_dir):
     assert chunks.head_of_files(none, 5).count() == 0
     assert chunks.batch_preview_file_order(none).count() == 0
     assert chunks.batch_preview_file_order(none, batch_size=2, max_batches=2).count() == 0
+
+
+def test_nth_key_by_rank_selection(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(None if rng.random() < 0.05 else int(rng.integers(0, 40)) if rng.random() < 0.5 else int(rng.integers(0, 10 ** 6)),
+             None if rng.random() < 0.1 else float(rng.integers(0, 5)), "s" * int(rng.integers(0, 3))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b double, c string").repartition(5).cache()
+    keys = ["a", "b", "c"]
+    want = sorted(rows, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r[:2]) + (r[2],))
+    for n in (1, 2, 700, 1500, 2999, 3000):
+        key, below, upto = chunks.nth_key(df, n, keys, sample=64)
+        assert key == want[n - 1]
+        assert (below, upto) == (want.index(key), len(want) - want[::-1].index(key))
+    assert chunks.nth_key(df, 3001, keys) is None and chunks.nth_key(df, 0, keys) is None
+    hot = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k")
+    assert chunks.nth_key(hot, 900, ["k"], sample=100)[0] == (7,)
+    for n in (3, 900, 2500):
+        got = chunks.scan_row_cap(hot, n, order_by=["k"])
+        assert got.count() == n
+        assert [r["k"] for r in got.orderBy("k").collect()] == [r["k"] for r in hot.orderBy("k").limit(n).collect()]
+
+
+def test_row_cap_has_no_range_exchange(spark):
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    order = KEYS + ["l_quantity", "l_extendedprice"]
+    plan = chunks.scan_row_cap(li, 25_000, order_by=order)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan and "PushedFilters: [Or(IsNull(l_orderkey)" in plan

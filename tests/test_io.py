@@ -160,3 +160,17 @@ def test_append_refuses_other_columns_before_writing(spark, tmp_dir):
     with pytest.raises(ValueError):
         combine.append_chunks([spark.range(3), spark.range(3).toDF("other")], path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_types_are_inferred_alike_for_any_number_of_tokens(spark, tmp_dir):
+    body = "1,9999999999,{x},true,2024-01-02,2024-01-02 03:04:05,abc,,123456789012345678901\n2,{x},1.5,FALSE,{x},2024-01-02,1,,1\n{x},3,nan,{x},2024-02-30,{x},2,,2\n"
+    kinds = []
+    for i, tokens in enumerate(([], ["#NULL!"], ["#NULL!", "N/A"], ["N/A", "x", "#NULL!"])):
+        path = f"{tmp_dir}/t{i}.csv"
+        with open(path, "w") as f:
+            f.write("i,l,d,b,dt,ts,s,e,w\n" + body.format(x=tokens[0] if tokens else ""))
+        df = files.read_csv(spark, path, null_tokens=tokens)
+        kinds.append([f.dataType.simpleString() for f in df.schema])
+        row = df.orderBy("i").collect()
+        assert [r["i"] for r in row] == [None, 1, 2] and row[1]["e"] is None and row[1]["l"] == 9999999999
+    assert kinds == [["int", "bigint", "double", "boolean", "string", "timestamp", "string", "string", "decimal(38,0)"]] * 4

@@ -4,6 +4,7 @@ file splits, and decoding."""
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 
@@ -160,3 +161,32 @@ def test_conflicting_codes_are_an_error(spark):
     book = spark.createDataFrame([("v", "1", "a"), ("v", "1", "b")], "vallab string, code string, value string")
     with pytest.raises(Exception, match="two labels"):
         labels.decode_labels(spark.createDataFrame([(1,)], "x int"), "x", book, "v").collect()
+
+
+def test_five_hundred_coded_columns_by_one_join(spark):
+    names = [f"q{i}" for i in range(500)]
+    df = spark.range(40).select("id", *(((F.col("id") + i) % 4).alias(n) for i, n in enumerate(names)))
+    df = df.withColumn("q7", F.when(F.col("id") < 20, F.col("q7")))
+    book = spark.createDataFrame([(f"v{k}", str(c), f"label {k} {c}") for k in range(5) for c in range(3)], "vallab string, code string, value string")
+    out = labels.decode_columns(df, {n: f"v{i % 5}" for i, n in enumerate(names)}, book)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    got = {r["id"]: r for r in out.select("id", "q0", "q0_label", "q7", "q7_label", "q499_label").collect()}
+    assert len(got) == 40 and len(out.columns) == 1001
+    for i, r in got.items():
+        assert r["q0"] == i % 4 and r["q0_label"] == (f"label 0 {i % 4}" if i % 4 < 3 else None)
+        want = (i + 7) % 4 if i < 20 else None
+        assert r["q7"] == want and r["q7_label"] == (f"label 2 {want}" if want is not None and want < 3 else None)
+        assert r["q499_label"] == (f"label 4 {(i + 499) % 4}" if (i + 499) % 4 < 3 else None)
+
+
+def test_a_clash_fails_counts_and_projections(spark):
+    book = spark.createDataFrame([("v", "1", "a"), ("v", "1", "b"), ("v", "2", "c")], "vallab string, code string, value string")
+    df = spark.createDataFrame([(1, 1), (2, 2)], "id int, c int")
+    for out in (labels.decode_labels(df, "c", book, "v"), labels.decode_columns(df, {"c": "v"}, book)):
+        for run in (out.count, out.select("id").collect, out.collect):
+            with pytest.raises(Exception, match="two labels"):
+                run()
+    assert labels.decode_labels(df.where("c = 2"), "c", book, "v").count() == 1
+    empty = labels.decode_columns(df.where("false"), {"c": "v"}, book.where("vallab = 'none'"))
+    assert empty.columns == ["id", "c", "c_label"] and empty.count() == 0

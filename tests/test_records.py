@@ -90,3 +90,36 @@ def test_file_order_without_a_sort(spark, tmp_dir):
     assert sorted((r["v"], r["batch"]) for r in some.collect()) == [(i, i // 100 + 1) for i in range(250)]
     assert [r["v"] for r in sections.section_head(src, ["k"], ["v"], 3, file_order=True).collect()] == [0, 1, 2]
     assert [r["k"] for r in sections.section_head(src, ["k"], ["v"], 3).collect()] == [1, 2, 3]
+
+
+def test_an_open_quote_is_an_error(spark, tmp_dir):
+    with open(f"{tmp_dir}/a.csv", "w") as f:
+        f.write('id,x\n1,ok\n2,"never closed\n' + "".join(f"{i},line\n" for i in range(3, 400)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "256"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            with pytest.raises(Exception, match="more than 1000 characters"):
+                read_csv_records(spark, f"{tmp_dir}/a.csv", max_record=1000).count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_line_is_exchanged(spark, tmp_dir, monkeypatch):
+    from quire.sources import records
+
+    rows = [[str(i), f"first {i}\nsecond, \"quoted\"\n\nlast"] for i in range(2000)]
+    _write(f"{tmp_dir}/a.csv", [["id", "x"], *rows])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = read_csv_records(spark, f"{tmp_dir}/a.csv")
+        assert [list(r) for r in df.collect()] == rows
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Exchange range" not in plan
+        # Rests longer than the first pass keeps are read again.
+        monkeypatch.setattr(records, "MAX_REST", 0)
+        found = records.read_records(spark, f"{tmp_dir}/a.csv").orderBy("file", "block", "seq").collect()
+        assert [r["record"].split(",", 1)[0].strip('"') for r in found] == ["id", *(r[0] for r in rows)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

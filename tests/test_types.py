@@ -78,3 +78,14 @@ def test_number_spellings_rejects_and_raise(spark):
     assert got == {(1, "n", "1D"), (1, "t", "abc"), (2, "n", "70000"), (4, "n", "0x1p3")}
     with pytest.raises((PySparkException, Py4JJavaError)):
         typing.apply_types(df, types, on_error="raise").collect()
+
+
+def test_nan_and_infinity_round_trip(spark):
+    from quire.operators import clean
+
+    df = spark.createDataFrame([(1, float("nan"), float("inf")), (2, float("-inf"), 1.5), (3, None, 1e300)], "id int, a double, b double")
+    back = typing.apply_types(clean.stringify_cells(df), {"id": "INTEGER", "a": "DOUBLE PRECISION", "b": "DOUBLE PRECISION"}, on_error="raise")
+    got = [tuple(map(str, r)) for r in back.orderBy("id").collect()]
+    assert got == [("1", "nan", "inf"), ("2", "-inf", "1.5"), ("3", "None", "1e+300")]
+    words = spark.createDataFrame([("nan", "inf")], "a string, b string")
+    assert [tuple(r) for r in typing.apply_types(words, {"a": "SMALLINT", "b": "BIGINT"}).collect()] == [(None, None)]
