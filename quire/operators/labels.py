@@ -4,8 +4,9 @@ lines become ``(vallab, code, value)`` rows; labels decode coded columns."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions.sqltext import alias, ident, lit
@@ -31,13 +32,14 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     table. No window covers a whole file, so one huge codebook is not one task.
 
     ``mode="strict"`` fails on a line with no separator (blank lines too);
-    ``"permissive"`` drops them. ``signed_codes`` keeps a leading ``-`` in
+    ``"permissive"`` drops them; ``"keep"`` keeps them, the line in ``rejected``,
+    under the heading above it. ``signed_codes`` keeps a leading ``-`` in
     the code instead of treating it as the separator.
     """
     cleaned = lines.withColumn("_t", F.expr(py_strip("replace(line, '\"', '')")))
     is_head = F.col("_t").endswith(":")
     rows = cleaned.select(
-        "file", "block", "seq", "sub", "_t",
+        "file", "block", "seq", "sub", "line", "_t",
         F.when(is_head, F.expr("substr(_t, 1, length(_t) - 1)")).alias("_head"),
     )
     in_split = Window.partitionBy("file", "block").orderBy("seq", "sub").rowsBetween(
@@ -62,9 +64,13 @@ def parse_value_labels(lines: DataFrame, mode: str = "strict", keep_position: bo
     elif mode == "permissive":
         values = values.where(~bad)
         code = F.get(parts, 0)
+    elif mode == "keep":
+        code = F.when(~bad, F.get(parts, 0))
     else:
-        raise ValueError("mode must be 'strict' or 'permissive'")
+        raise ValueError("mode must be 'strict', 'permissive' or 'keep'")
     out = [F.coalesce("_carry", "_inh").alias("vallab"), code.alias("code"), F.get(parts, 1).alias("value")]
+    if mode == "keep":
+        out.append(F.when(bad, F.col("line")).alias("rejected"))
     if keep_position:
         out += ["file", "block", "seq", "sub"]
     return values.select(*out)
@@ -74,6 +80,29 @@ def read_value_labels(spark, path, mode: str = "strict", signed_codes: bool = Fa
     return parse_value_labels(read_lines(spark, path), mode, signed_codes=signed_codes)
 
 
+class LabelLoad(NamedTuple):
+    """What ``load_value_labels`` wrote: the labels, the lines that are neither
+    heading nor ``code value`` (vallab, line), and the count of each."""
+
+    labels: DataFrame
+    rejects: DataFrame
+    n_labels: int
+    n_rejected: int
+
+
+def load_value_labels(lines: DataFrame, path: str, signed_codes: bool = False) -> LabelLoad:
+    """Parse a codebook and write labels and rejected lines as one Parquet table
+    under ``path`` (replacing it), counted by the write itself."""
+    seen = Observation()
+    rows = parse_value_labels(lines, "keep", signed_codes=signed_codes).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count("rejected").alias("rejected"))
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    back = lines.sparkSession.read.parquet(path)
+    n = {k: seen.get.get(k) or 0 for k in ("rows", "rejected")}
+    return LabelLoad(back.where("rejected is null").drop("rejected"), back.where("rejected is not null").select("vallab", F.col("rejected").alias("line")),
+                     n["rows"] - n["rejected"], n["rejected"])
+
+
 def rejected_label_lines(lines: DataFrame, signed_codes: bool = False) -> DataFrame:
     """Lines that are neither headings nor splittable, with their position."""
     separator = SIGNED_CODE_SEPARATOR if signed_codes else CODE_SEPARATOR

@@ -9,19 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.program import apply_rule
-from quire.functions.sqltext import ident, lit
+from quire.functions.sqltext import ident, lit, literal_frame
 from quire.functions.text import py_str
 from quire.operators.chunks import head_of_files
 
 SectionMap = Mapping[str, Sequence[str]]
 
 
-def sections_from_ranges(columns: Sequence[str], ranges: Sequence[tuple[str, str, str]]) -> dict[str, list[str]]:
-    """Expand ``(section, first, last)`` boundaries over a column order."""
+def sections_from_ranges(columns: Sequence[str], ranges: Sequence[tuple[str, str, str]], *,
+                         widths: Mapping[str, int] | None = None, disjoint: bool = False) -> dict[str, list[str]]:
+    """Expand ``(section, first, last)`` boundaries over a column order.
+
+    A run takes whatever lies between its ends, so a header in another order
+    would move columns silently: with ``widths`` (columns per section) a section
+    of another width is an error, and with ``disjoint`` a column in two sections.
+    """
     pos = {c: i for i, c in enumerate(columns)}
     out: dict[str, list[str]] = {}
     for section, first, last in ranges:
@@ -32,9 +38,44 @@ def sections_from_ranges(columns: Sequence[str], ranges: Sequence[tuple[str, str
         if j < i:
             raise ValueError(f"section {section}: {last} comes before {first}")
         out.setdefault(section, []).extend(columns[i:j + 1])
+    for section, n in (widths or {}).items():
+        if len(out.get(section, ())) != n:
+            raise ValueError(f"section {section} has {len(out.get(section, ()))} columns, not {n}: columns were moved, added or dropped")
+    if disjoint and (twice := coverage(columns, out)["multi_assigned"]):
+        raise ValueError(f"columns in several sections: {twice[:10]}")
     return out
 
 
+def section_coverage(spark: SparkSession, columns: Sequence[str], ranges: Sequence[tuple[str, str, str]],
+                     keys: Sequence[str] = ()) -> DataFrame:
+    """What a section map does with a header, one row per column: position (from
+    0), name, sections (how many hold it), section (the first of them) and status:
+    ``key``, ``ok``, ``uncovered`` or ``doubled``."""
+    header = literal_frame(spark, [(i, c) for i, c in enumerate(columns)], "position int, name string")
+    runs = literal_frame(spark, [(i, *r) for i, r in enumerate(ranges)], "run int, section string, first string, last string")
+    ends = runs.join(header.toDF("a", "first"), "first").join(header.toDF("b", "last"), "last")
+    # The columns of each run; a run that ends before it begins has none.
+    held = ends.where("a <= b").select("run", "section", F.explode(F.sequence("a", "b")).alias("position"))
+    by = held.groupBy("position").agg(F.count("*").cast("int").alias("sections"), F.min_by("section", "run").alias("section"))
+    n = F.coalesce("sections", F.lit(0))
+    status = (F.when(F.col("name").isin(list(keys)), "key").when(n == 0, "uncovered").when(n == 1, "ok").otherwise("doubled"))
+    return header.join(by, "position", "left").select("position", "name", n.alias("sections"), "section", status.alias("status"))
+
+
+def section_widths(spark: SparkSession, columns: Sequence[str], ranges: Sequence[tuple[str, str, str]],
+                   widths: Mapping[str, int]) -> DataFrame:
+    """What a header does to a section map, one row per run: section, declared and
+    found width, and status: ``ok``, ``missing`` (an end is not in the header),
+    ``reversed`` (its last column comes first) or ``moved`` (another width)."""
+    header = literal_frame(spark, [(i, c) for i, c in enumerate(columns)], "position int, name string")
+    rows = [(i, s, a, b, widths.get(s)) for i, (s, a, b) in enumerate(ranges)]
+    runs = literal_frame(spark, rows, "run int, section string, first string, last string, declared int")
+    ends = runs.join(header.toDF("a", "first"), "first", "left").join(header.toDF("b", "last"), "last", "left")
+    found = F.col("b") - F.col("a") + 1
+    status = (F.when(found.isNull(), "missing").when(found < 1, "reversed").when(found != F.col("declared"), "moved").otherwise("ok"))
+    return ends.select("run", "section", "declared", found.alias("found"), status.alias("status"))
+
+
 def coverage(columns: Sequence[str], sections: SectionMap, keys: Sequence[str] = ()) -> dict[str, list]:
     """Columns in no section and columns in more than one."""
     count: dict[str, int] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,51 +51,97 @@ def _typed_expr(col: str, target: T.DataType, empty_as_null: bool) -> str:
     return f"try_cast({src} AS {t})"
 
 
-def _checked(field: T.StructField, sql_type: str, empty_as_null: bool) -> tuple[str, str]:
-    """The typed expression of a column, and whether its value is refused."""
-    target = sql_to_spark(sql_type)
-    typed = _typed_expr(field.name, target, empty_as_null)
-    c = ident(field.name)
-    given = f"{c} IS NOT NULL" + (f" AND CAST({c} AS STRING) <> ''" if empty_as_null else "")
-    size = re.fullmatch(r"VARCHAR\((\d+)\)", sql_type.strip().upper())
-    if isinstance(target, T.StringType):
-        return typed, f"({given} AND length(CAST({c} AS STRING)) > {size[1]})" if size else "false"
-    return typed, f"({given} AND ({typed}) IS NULL)"
+def _parsed(df: DataFrame, types: Mapping[str, str], empty_as_null: bool) -> tuple[DataFrame, dict[str, tuple[str, str, str]]]:
+    """``df`` with each typed value as a column of its own, so that a cell is
+    parsed once, and per column SQL text of its typed value, of whether there was
+    a value, and of whether it is refused."""
+    prefix = "_typed"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    parsed, out = [], {}
+    for i, f in enumerate(df.schema.fields):
+        if f.name not in types:
+            continue
+        target, c = sql_to_spark(types[f.name]), ident(f.name)
+        typed = f"{prefix}{i}"
+        parsed.append(alias(_typed_expr(f.name, target, empty_as_null), typed))
+        given = f"({c} IS NOT NULL" + (f" AND CAST({c} AS STRING) <> '')" if empty_as_null else ")")
+        size = re.fullmatch(r"VARCHAR\((\d+)\)", types[f.name].strip().upper())
+        if isinstance(target, T.StringType):
+            bad = f"({given} AND length(CAST({c} AS STRING)) > {size[1]})" if size else "false"
+        else:
+            bad = f"({given} AND {typed} IS NULL)"
+        out[f.name] = typed, given, bad
+    return (df.selectExpr("*", *parsed) if parsed else df), out
+
+
+def _rejects(parsed: Mapping[str, tuple[str, str, str]], types: Mapping[str, str]) -> str:
+    rows = [f"CASE WHEN {bad} THEN named_struct('variable', {lit(c)}, 'value', CAST({ident(c)} AS STRING), 'sql_type', {lit(types[c])}) END"
+            for c, (_, _, bad) in parsed.items()]
+    return f"array_compact(array({', '.join(rows)}))"
 
 
 def rejected_values(df: DataFrame, types: Mapping[str, str], keys: Sequence[str], *, empty_as_null: bool = True) -> DataFrame:
     """Values that ``apply_types`` refuses: the keys, ``variable``, ``value`` and ``sql_type``."""
-    rows = []
-    for f in df.schema.fields:
-        if f.name in types:
-            _, bad = _checked(f, types[f.name], empty_as_null)
-            rows.append(f"CASE WHEN {bad} THEN named_struct('variable', {lit(f.name)}, "
-                        f"'value', CAST({ident(f.name)} AS STRING), 'sql_type', {lit(types[f.name])}) END")
-    out = df.selectExpr(*map(ident, keys), f"explode(array_compact(array({', '.join(rows)}))) AS _r")
-    return out.select(*map(ident, keys), "_r.variable", "_r.value", "_r.sql_type")
+    work, parsed = _parsed(df, types, empty_as_null)
+    out = work.selectExpr(*map(ident, keys), f"inline({_rejects(parsed, types)})")
+    return out.select(*map(ident, keys), "variable", "value", "sql_type")
 
 
 def apply_types(df: DataFrame, types: Mapping[str, str], *, empty_as_null: bool = True,
                 on_error: str = "null") -> DataFrame:
-    """Cast text columns to declared SQL types in one projection.
+    """Cast text columns to declared SQL types, each cell parsed once.
 
     ``types`` maps column -> SQL type (``SMALLINT``, ``VARCHAR(20)``, ...);
     columns not named keep their type. ``''`` becomes null first, and
     values that do not parse or are longer than their VARCHAR become null, or
-    fail the query with ``on_error="raise"``; ``rejected_values`` lists them.
+    fail the query with ``on_error="raise"``; ``load_typed`` keeps them.
     """
     if on_error not in ("null", "raise"):
         raise ValueError("on_error must be 'null' or 'raise'")
+    work, parsed = _parsed(df, types, empty_as_null)
+    return work.selectExpr(*_typed_columns(df, types, parsed, on_error))
+
+
+def _typed_columns(df: DataFrame, types: Mapping[str, str], parsed: Mapping, on_error: str = "null") -> list[str]:
     exprs = []
-    for f in df.schema.fields:
-        if f.name in types:
-            typed, bad = _checked(f, types[f.name], empty_as_null)
-            miss = ("NULL" if on_error == "null" else
-                    f"raise_error(concat('not a {types[f.name]}: ', CAST({ident(f.name)} AS STRING)))")
-            exprs.append(alias(f"CASE WHEN {bad} THEN {miss} ELSE {typed} END", f.name))
+    for c in df.columns:
+        if c in parsed:
+            typed, _, bad = parsed[c]
+            miss = "NULL" if on_error == "null" else f"raise_error(concat('not a {types[c]}: ', CAST({ident(c)} AS STRING)))"
+            exprs.append(alias(f"CASE WHEN {bad} THEN {miss} ELSE {typed} END", c))
         else:
-            exprs.append(ident(f.name))
-    return df.selectExpr(*exprs)
+            exprs.append(ident(c))
+    return exprs
+
+
+class TypedLoad(NamedTuple):
+    """What ``load_typed`` wrote: the typed rows, the refused values (keys,
+    variable, value, sql_type), and the cells that held a value: ``given`` =
+    ``typed`` + ``rejected``, of ``rows`` rows."""
+
+    data: DataFrame
+    rejects: DataFrame
+    rows: int
+    given: int
+    typed: int
+    rejected: int
+
+
+def load_typed(df: DataFrame, types: Mapping[str, str], keys: Sequence[str], path: str, *, empty_as_null: bool = True) -> TypedLoad:
+    """Write ``df`` with its declared types as Parquet under ``path`` (replacing
+    it), the refused values of a row beside it, in one pass; the write itself
+    counts (an observation), so no row is read twice."""
+    work, parsed = _parsed(df, types, empty_as_null)
+    given = " + ".join([f"CAST({g} AS INT)" for _, g, _ in parsed.values()] or ["0"])
+    out = work.selectExpr(*_typed_columns(df, types, parsed), f"{_rejects(parsed, types)} AS _rejects", f"{given} AS _given")
+    seen = Observation()
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum("_given").alias("given"), F.sum(F.size("_rejects")).alias("rejected"))
+    out.drop("_given").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    rejects = back.select(*map(ident, keys), F.inline("_rejects"))
+    n = {k: seen.get.get(k) or 0 for k in ("rows", "given", "rejected")}
+    return TypedLoad(back.drop("_rejects"), rejects, n["rows"], n["given"], n["given"] - n["rejected"], n["rejected"])
 
 
 def declared_types(variables: DataFrame, name_col: str = "name", sql_type_col: str = "sql_type") -> dict[str, str]:

@@ -51,6 +51,13 @@ SECTION_RANGES = [
     ("Other", "EndofInt_Time", "PWD"),
 ]
 
+# Columns in each static section.
+SECTION_WIDTHS = {
+    "A": 40, "B1": 43, "B2": 12, "B3": 188, "C1": 111, "D1": 55, "D": 62, "E": 66, "E1": 281, "E2": 61, "E3": 28,
+    "F": 30, "F1": 74, "F2": 74, "G": 569, "H": 290, "I": 125, "J": 257, "K1": 70, "L": 26, "M": 80, "N": 95,
+    "O": 50, "P": 187, "Q": 304, "R1": 11, "R2": 44, "R3": 31, "S": 22, "T": 8, "U": 125, "V": 2, "Other": 378,
+}
+
 # The 17 prefix groups (prefixes are tuples: any one matches;
 # "name" entries are members by exact name; "exclude" removes a prefix).
 PREFIX_GROUPS = {
@@ -76,8 +83,9 @@ PREFIX_GROUPS = {
 
 
 def survey_sections(columns: Sequence[str]) -> dict[str, list[str]]:
-    """The static section map expanded over a survey table's columns."""
-    return sections_from_ranges(columns, SECTION_RANGES)
+    """The static section map expanded over a survey table's columns; a header in
+    which a section has another width, or shares a column, is an error."""
+    return sections_from_ranges(columns, SECTION_RANGES, widths=SECTION_WIDTHS, disjoint=True)
 
 
 def survey_prefix_rules() -> list[tuple[str, str, str]]:

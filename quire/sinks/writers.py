@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quire.sources.profile import bytes_on_disk
+
 # CSV with minimal quoting that round-trips any text: quotes are doubled,
 # "" and null are both written as nothing, outer spaces are kept.
 CSV_WRITE_OPTIONS = {
@@ -71,3 +73,14 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] | str, *, fmt:
 def write_text(df: DataFrame, path: str, column: str, *, mode: str = "overwrite") -> str:
     df.select(column).write.mode(mode).text(path)
     return path
+
+
+def write_with_report(df: DataFrame, path: str, *, fmt: str = "parquet", options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` (replacing ``path``) and report what the write did, as one
+    row: rows (counted by the tasks that wrote them, an observation), files,
+    bytes and gb (of the files listed afterwards)."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").options(**(options or {})).format(fmt).save(path)
+    rows = F.lit(seen.get.get("rows") or 0).cast("long").alias("rows")
+    return bytes_on_disk(df.sparkSession, path).select(rows, "files", "bytes", "gb")

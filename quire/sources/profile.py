@@ -37,8 +37,18 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+#: One GB in reports, and the digits shown.
+GB, GB_DIGITS = 1e9, 2
+
+
+def bytes_per_file(spark: SparkSession, path: str) -> DataFrame:
+    """file_path and bytes of every data file under ``path``, at any depth (a
+    listing; contents are not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file_path"), F.col("length").alias("bytes"))
+
+
 def bytes_on_disk(spark: SparkSession, path: str) -> DataFrame:
-    """Total bytes of the files under ``path`` (file listing; contents not read)."""
-    files = spark.read.format("binaryFile").load(path).select("length")
-    return (files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
-            .withColumn("gb", F.round(F.col("bytes") / F.lit(1e9), 2)))
+    """Bytes, files and gb of the data files under ``path``."""
+    return (bytes_per_file(spark, path).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"))
+            .withColumn("gb", F.round(F.col("bytes") / F.lit(GB), GB_DIGITS)))

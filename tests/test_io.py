@@ -174,3 +174,14 @@ def test_types_are_inferred_alike_for_any_number_of_tokens(spark, tmp_dir):
         row = df.orderBy("i").collect()
         assert [r["i"] for r in row] == [None, 1, 2] and row[1]["e"] is None and row[1]["l"] == 9999999999
     assert kinds == [["int", "bigint", "double", "boolean", "string", "timestamp", "string", "string", "decimal(38,0)"]] * 4
+
+
+def test_a_chunk_that_fails_leaves_the_target(spark, tmp_dir):
+    path = f"{tmp_dir}/kept"
+    combine.append_chunks([spark.range(5)], path)
+    broken = spark.range(1000).selectExpr("CASE WHEN id = 900 THEN raise_error('broken chunk') ELSE id END AS id")
+    with pytest.raises(Exception, match="broken chunk"):
+        combine.append_chunks([spark.range(7), broken], path)
+    assert spark.read.parquet(path).count() == 5 and os.listdir(tmp_dir) == ["kept"]
+    combine.append_chunks([spark.range(7), spark.range(2)], path)
+    assert spark.read.parquet(path).count() == 9 and os.listdir(tmp_dir) == ["kept"]

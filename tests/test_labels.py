@@ -190,3 +190,11 @@ def test_a_clash_fails_counts_and_projections(spark):
     assert labels.decode_labels(df.where("c = 2"), "c", book, "v").count() == 1
     empty = labels.decode_columns(df.where("false"), {"c": "v"}, book.where("vallab = 'none'"))
     assert empty.columns == ["id", "c", "c_label"] and empty.count() == 0
+
+
+def test_labels_and_rejects_in_one_table(spark, tmp_dir):
+    path = write(tmp_dir, "mixed.txt", "lost\nsex:\n1 Male\nbad\n2 Female\n\n")
+    got = labels.load_value_labels(read_lines(spark, path), f"{tmp_dir}/labels")
+    assert (got.n_labels, got.n_rejected) == (2, 3)
+    assert sorted(tuple(r) for r in got.labels.collect()) == [("sex", "1", "Male"), ("sex", "2", "Female")]
+    assert sorted((r["vallab"] or "", r["line"]) for r in got.rejects.collect()) == [("", "lost"), ("sex", ""), ("sex", "bad")]

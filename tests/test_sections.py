@@ -48,6 +48,27 @@ def test_ranges_and_coverage():
         sections.sections_from_ranges(cols, [("Z", "nope", "x")])
 
 
+def test_a_moved_column_is_an_error(spark):
+    ranges, widths = [("A", "a1", "a2"), ("B", "b1", "b1")], {"A": 2, "B": 1}
+    assert sections.sections_from_ranges(["k", "a1", "a2", "b1"], ranges, widths=widths, disjoint=True) == {"A": ["a1", "a2"], "B": ["b1"]}
+    with pytest.raises(ValueError, match="section A has 3"):
+        sections.sections_from_ranges(["k", "a1", "b1", "a2"], ranges, widths=widths)
+    with pytest.raises(ValueError, match="several sections"):
+        sections.sections_from_ranges(["k", "a2", "a1", "b1"], [("A", "a1", "a1"), ("B", "a2", "b1")], disjoint=True)
+    rows = sections.section_widths(spark, ["k", "a1", "b1", "a2"], [*ranges, ("C", "a2", "a1"), ("D", "x", "b1")], widths | {"C": 1, "D": 1})
+    assert [(r["section"], r["found"], r["status"]) for r in rows.orderBy("run").collect()] == [
+        ("A", 3, "moved"), ("B", 1, "ok"), ("C", -1, "reversed"), ("D", None, "missing")]
+    cover = sections.section_coverage(spark, ["k", "a1", "b1", "a2", "z"], ranges, ["k"]).orderBy("position").collect()
+    assert [(r["name"], r["sections"], r["status"]) for r in cover] == [
+        ("k", 0, "key"), ("a1", 1, "ok"), ("b1", 2, "doubled"), ("a2", 1, "ok"), ("z", 0, "uncovered")]
+
+
+def test_survey_widths_add_up():
+    from quire.plans.survey import SECTION_RANGES, SECTION_WIDTHS
+
+    assert [s for s, _, _ in SECTION_RANGES] == list(SECTION_WIDTHS) and sum(SECTION_WIDTHS.values()) == 3799
+
+
 def test_survey_ranges_are_contiguous_and_disjoint():
     # A synthetic header that follows the survey's order at the boundaries.
     assert len(SECTION_RANGES) == 33

@@ -89,3 +89,14 @@ def test_nan_and_infinity_round_trip(spark):
     assert got == [("1", "nan", "inf"), ("2", "-inf", "1.5"), ("3", "None", "1e+300")]
     words = spark.createDataFrame([("nan", "inf")], "a string, b string")
     assert [tuple(r) for r in typing.apply_types(words, {"a": "SMALLINT", "b": "BIGINT"}).collect()] == [(None, None)]
+
+
+def test_typed_load_counts_add_up(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "1D", "abc"), (2, "70000", "ab"), (3, " 7 ", None), (4, "", "")], "id int, n string, t string")
+    got = typing.load_typed(df, {"n": "SMALLINT", "t": "VARCHAR(2)"}, ["id"], f"{tmp_dir}/typed")
+    assert (got.rows, got.given, got.typed, got.rejected) == (4, 5, 2, 3)
+    assert [tuple(r) for r in got.data.orderBy("id").collect()] == [(1, None, None), (2, None, "ab"), (3, 7, None), (4, None, None)]
+    assert sorted(tuple(r) for r in got.rejects.collect()) == [
+        (1, "n", "1D", "SMALLINT"), (1, "t", "abc", "VARCHAR(2)"), (2, "n", "70000", "SMALLINT")]
+    none = typing.load_typed(df.where("false"), {"n": "SMALLINT"}, ["id"], f"{tmp_dir}/none")
+    assert (none.rows, none.given, none.rejected) == (0, 0, 0) and none.rejects.count() == 0
