@@ -29,8 +29,8 @@ from .tokens import encoder, tokenizer_path
 END_ID = 1
 #: Tokens after which a block is closed (a longer document is a block of its own).
 BLOCK_TOKENS = 1 << 18
-#: Rounds of replacement, and the least count of a pair worth a rule.
-ROUNDS, LEAST = 3, 4
+#: Least count of a pair worth a rule.
+LEAST = 4
 
 SLOT_BITS = 18
 
@@ -54,21 +54,30 @@ class Grammar(NamedTuple):
     def sizes(self) -> np.ndarray:
         return np.concatenate([np.ones(len(self.alphabet), np.int64), self.lengths.astype(np.int64)])
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a stretch of symbols: every nonterminal is spelt out once, in
-        order of length, then the stretch is gathered from the spellings."""
+    def spelt(self, symbols: np.ndarray) -> np.ndarray:
+        """The terminals of a stretch of symbols; only rules below it are opened,
+        one level of them at a time."""
         d = len(self.alphabet)
-        spelt = symbols if not len(self.rules) else np.arange(d, d + len(self.rules))
-        while (spelt >= d).any():  # as often as rules are nested
-            nt = spelt >= d
+        while (nt := symbols >= d).any():
             to = np.cumsum(nt + 1)
             out = np.empty(int(to[-1]), np.int64)
-            pair = self.rules[spelt[nt] - d]
-            out[to[~nt] - 1] = spelt[~nt]
+            pair = self.rules[symbols[nt] - d]
+            out[to[~nt] - 1] = symbols[~nt]
             out[to[nt] - 2], out[to[nt] - 1] = pair[:, 0], pair[:, 1]
-            spelt = out
+            symbols = out
+        return symbols
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a stretch of symbols."""
+        return self.alphabet[self.spelt(symbols)]
+
+    def ids(self) -> np.ndarray:
+        """Ids of the whole block: every nonterminal is spelt out once, in their
+        order, then the sequence is gathered from the spellings."""
+        d, symbols = len(self.alphabet), self.sequence
         if not len(self.rules):
             return self.alphabet[symbols]
+        spelt = self.spelt(np.arange(d, d + len(self.rules)))
         pool = np.concatenate([self.alphabet, self.alphabet[spelt]])
         size = self.sizes()
         at = np.cumsum(size) - size
@@ -77,9 +86,6 @@ class Grammar(NamedTuple):
         total = int(after[-1]) if len(after) else 0
         return pool[np.repeat(at[symbols] - (after - n), n) + np.arange(total)]
 
-    def ids(self) -> np.ndarray:
-        return self.expand(self.sequence)
-
     def token_range(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start:stop`` of the block; only the symbols that cover them are expanded."""
         size = self.sizes()[self.sequence]
@@ -99,44 +105,37 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return (pairs * odd) >> pairs.dtype.type(bits - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[Grammar, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[Grammar, np.ndarray]:
     """Re-Pair over one block. ``ends`` marks the last id of each document.
 
     A round counts all adjacent pairs, gives a rule to those whose count is
     within a factor of the most frequent one's, and replaces their occurrences
-    from left to right without overlaps. The last round takes every pair that
-    occurs ``least`` times. Also returns the end marks of the sequence.
+    from left to right without overlaps. Rounds go on until no pair occurs
+    ``least`` times. Also returns the end marks of the sequence.
     """
     there = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
     there[ids] = True
     alphabet = np.flatnonzero(there).astype("<u4")
     d = len(alphabet)
-    # Two symbols side by side fit one word: 16 bits each if the block allows it.
-    half, pair = (np.uint16, np.uint32) if d <= 1 << 15 else (np.uint32, np.uint64)
-    bits, room = pair(8 * half().itemsize), int(np.iinfo(half).max) - d
-    none = pair(np.iinfo(pair).max)  # no symbol is as large as the largest half
-    rank = (np.cumsum(there) - 1).astype(half)
-    seq, ends = rank[ids], ends.copy()
-    rules, lengths = np.empty((0, 2), half), np.empty(0, np.int64)
-    for r in range(rounds):
-        if len(seq) < 2 or not room:
-            break
-        pairs = (seq[:-1].astype(pair) << bits) | seq[1:]
+    seq, ends = (np.cumsum(there) - 1).astype(np.uint32)[ids], ends.copy()
+    rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
+    while len(seq) > 1:
+        base = d + len(rules)
+        # A pair is one number, in the narrower type while all of them fit it.
+        number = np.uint32 if base * base < np.iinfo(np.uint32).max else np.uint64
+        none = number(np.iinfo(number).max)
+        pairs = seq[:-1].astype(number) * number(base) + seq[1:]
         pairs[ends[:-1]] = none  # none crosses a document's end
         s = np.sort(pairs)
         s = s[:np.searchsorted(s, none)]
-        if not len(s):
-            break
-        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
         count = np.diff(np.append(at, len(s)))
-        floor = least if r == rounds - 1 else max(least, int(count.max()) >> 5)
-        if (count >= floor).sum() > room:
-            floor = max(floor, int(np.sort(count)[-room]) + 1)
-        chosen = s[at[count >= floor]]
-        if not len(chosen):
+        if not len(count) or count.max() < least:
             break
-        # A table of hashed pairs finds them; of two in one slot the more frequent stays.
-        chosen = chosen[np.argsort(count[count >= floor], kind="stable")]
+        often = count >= max(least, int(count.max()) >> 5)
+        # A table of hashed pairs finds them; of two in one slot the more
+        # frequent stays, and the other waits for a later round.
+        chosen = s[at[often]][np.argsort(count[often], kind="stable")]
         table = np.full(1 << SLOT_BITS, -1, np.int32)
         table[_slots(chosen)] = np.arange(len(chosen))
         place = table[_slots(pairs)]
@@ -148,11 +147,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int
         uses = np.bincount(place[take], minlength=len(chosen))
         named = np.cumsum(uses > 0) - 1
         new = chosen[uses > 0]
-        new = np.stack([new >> bits, new & pair(np.iinfo(half).max)], 1).astype(half)
+        new = np.stack([new // number(base), new % number(base)], 1).astype(np.uint32)
         size = np.concatenate([np.ones(d, np.int64), lengths])
-        seq[take] = (named[place[take]] + d + len(rules)).astype(half)
+        seq[take] = named[place[take]] + base
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size[new].sum(1)])
-        room -= len(new)
         ends[take] = ends[take + 1]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False

@@ -62,6 +62,17 @@ def test_repair_round_trip_and_random_access(rng=np.random.default_rng(0)):
         assert (g.token_range(10, 99) == ids[10:99]).all()
 
 
+def test_repair_goes_on_until_no_pair_repeats(rng=np.random.default_rng(8)):
+    phrase = rng.integers(0, 50, 300)
+    ids = np.concatenate([phrase if rng.random() < 0.7 else rng.integers(0, 50, 40) for _ in range(60)]).astype("<u4")
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    g, marks = repair_output.compress(ids, ends)
+    assert (g.ids() == ids).all() and (g.expand(g.sequence) == ids).all()
+    _, count = np.unique(np.stack([g.sequence[:-1], g.sequence[1:]]), axis=1, return_counts=True)
+    assert count.max() < repair_output.LEAST and g.lengths.max() >= 256 and len(g.sequence) < len(ids) / 8
+
+
 def test_repair_digests(docs, empty):
     path = tokenizer_path("word_bpe_49k.json")
     got = repair_output.read_digests(repair_output.encode_shards(docs, path, shards=3, block_tokens=50).cache())
