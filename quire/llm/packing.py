@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,6 @@ END_ID = 2
 SEQUENCE = 1024
 #: Documents packed together in one group.
 GROUP = 8192
-#: Passes of the local search over the underfull sequences of a group.
-PASSES = 4
 
 SIZED_DDL = "row long, doc_id long, n_tokens long, crcs array<long>"
 _SIZED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64()))])
@@ -94,10 +93,11 @@ def best_fit(sizes: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = PASSES) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: np.ndarray, size: int) -> list[list[int]]:
     """Local search between underfull bins. From the emptiest bin upwards, a
     bin gives away one document, or exchanges one or two of its documents for
-    a smaller one, where that increases the sum of squared fills most."""
+    a smaller one, where that increases the sum of squared fills most; passes go
+    on until one moves nothing (each move adds to that sum, so they end)."""
     sizes = sizes.tolist()
     fill = [sum(sizes[i] for i in b) for b in bins]
     live = {b for b, f in enumerate(fill) if 0 < f < size}
@@ -106,12 +106,13 @@ def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = P
         for i in bins[b]:
             holders[sizes[i]][b] = holders[sizes[i]].get(b, 0) + 1
     holders[0] = {b: 1 for b in live}  # giving away is an exchange for nothing
-    room = np.full(size + 1, -1)  # most room of a bin that has this size, and that bin
-    where = np.full(size + 1, -1)
+    # Most room of a bin that has this size, and that bin; then the second most.
+    room, where = np.full((2, size + 1), -1), np.full((2, size + 1), -1)
 
     def refresh(n: int) -> None:
-        b = max(holders[n], key=lambda x: (size - fill[x], -x), default=-1)
-        where[n], room[n] = b, size - fill[b] if b >= 0 else -1
+        best = nlargest(2, holders[n], key=lambda x: (size - fill[x], -x))
+        for k in range(2):
+            where[k, n], room[k, n] = (best[k], size - fill[best[k]]) if k < len(best) else (-1, -1)
 
     for n in range(size + 1):
         if holders[n]:
@@ -137,7 +138,8 @@ def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = P
                 holders[sizes[i]].pop(b, None)
         return {0, *(sizes[i] for i in bins[b]), *(sizes[i] for i in out)}
 
-    for _ in range(passes):
+    moved = True
+    while moved:
         moved = False
         for v in sorted(live, key=lambda b: fill[b]):
             while v in live:
@@ -146,15 +148,16 @@ def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = P
                 for x in range(len(mine)):
                     for y in range(x):
                         offers.setdefault(sizes[mine[x]] + sizes[mine[y]], [mine[x], mine[y]])
-                best = None
+                best, own = None, where[0] == v
+                others = np.where(own, room[1], room[0])  # the roomiest bin but this one
                 for s, out in offers.items():
                     if s > size:
                         continue
                     gain = s - np.arange(s)  # what the other bin would grow by
-                    fits = np.flatnonzero((room[:s] >= gain) & (where[:s] != v))
+                    fits = np.flatnonzero(others[:s] >= gain)
                     if not len(fits):
                         continue
-                    other = size - room[fits]
+                    other = size - others[fits]
                     value = 2 * gain[fits] * (other - fill[v] + gain[fits])
                     k = int(np.argmax(value))
                     if value[k] > 0 and (best is None or value[k] > best[0]):
@@ -162,14 +165,12 @@ def improve(bins: list[list[int]], sizes: np.ndarray, size: int, passes: int = P
                 if best is None:
                     break
                 _, out, n = best
-                b = int(where[n])
+                b = int(where[1, n] if own[n] else where[0, n])
                 back = [next(i for i in bins[b] if sizes[i] == n)] if n else []
                 touched = change(b, back, out) | change(v, out, back)
                 for n in touched:
                     refresh(n)
                 moved = True
-        if not moved:
-            break
     return [b for b in bins if b]
 
 
