@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, on_workers, read_table, worker_cache
+from .common import documents, id_text, materialize, on_workers, read_table, worker_cache
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -214,8 +214,13 @@ def _clean_rows(items_of):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no window occurs."""
+    """The rows of ``docs``, all columns, in whose text no window occurs. With
+    several sets of items, what each leaves is written before the next, so a
+    worker holds one set however large the benchmark is."""
     on_workers(docs.sparkSession)
+    waiting = False
     for s in item_sets(benchmark, set_bytes):
-        docs = docs.mapInArrow(_clean_rows([_Set(docs.sparkSession, s)]), docs.schema)
+        if waiting:
+            docs = materialize(docs, "decontaminated")
+        docs, waiting = docs.mapInArrow(_clean_rows([_Set(docs.sparkSession, s)]), docs.schema), True
     return docs

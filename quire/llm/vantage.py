@@ -41,7 +41,7 @@ LEAF = 64
 FACTOR = 2.5
 #: What rounding may add to a distance near zero.
 SLACK = 1e-6
-_TREE = "dim int, shard long, ids binary, owners binary, vectors binary, tree binary"
+_TREE = "dim int, shard long, k int, ids binary, owners binary, vectors binary, tree binary"
 _FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -193,9 +193,9 @@ def _build(k: int):
         cut = np.flatnonzero(np.diff(place[which][by])) + 1
         groups = [_smallest_ids(g, k) for g in np.split(ids[by], cut)]
         owners = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        row = {"dim": dim, "shard": shard, "ids": np.concatenate(groups).astype("<i8").tobytes(), "owners": owners.astype("<i8").tobytes(),
+        row = {"dim": dim, "shard": shard, "k": k, "ids": np.concatenate(groups).astype("<i8").tobytes(), "owners": owners.astype("<i8").tobytes(),
                "vectors": v[order].astype("<f8").tobytes(), "tree": pickle.dumps([tuple(n) for n in nodes])}
-        return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int64()), *((c, pa.binary()) for c in ("ids", "owners", "vectors", "tree"))]))
+        return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("k", pa.int32()), *((c, pa.binary()) for c in ("ids", "owners", "vectors", "tree"))]))
     return build
 
 
@@ -206,6 +206,8 @@ def _search(k: int, factor: float):
         if not trees.num_rows or not queries.num_rows:
             return schema.empty_table()
         row, dim = trees.to_pylist()[0], key[0].as_py()
+        if k > row["k"]:
+            raise ValueError(f"the index holds enough copies for {row['k']} neighbours, not {k}")
         ids, owners = (np.frombuffer(row[c], "<i8") for c in ("ids", "owners"))
         vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
         first = np.searchsorted(owners, np.arange(len(vectors) + 1))
