@@ -22,6 +22,11 @@ def log_path(checkpoint: str) -> str:
     return checkpoint.rstrip("/") + "-log"
 
 
+def _make_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def ingest_log(spark: SparkSession, checkpoint: str) -> DataFrame:
     """One row per finished batch: batch, rows written, running total."""
     log = spark.read.schema(f"rows long, {BATCH} long").parquet(log_path(checkpoint))
@@ -67,6 +72,7 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType |
     stream = (spark.readStream.format(fmt).schema(schema)
               .option("maxFilesPerTrigger", str(max_files_per_trigger))
               .options(**(source_options or {})).load(source))
+    _make_folder(spark, log_path(checkpoint))  # a source without files leaves an empty log
     write = _write_batch(sink, checkpoint, transform, sink_format, sink_options or {})
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -95,3 +95,9 @@ def test_a_killed_batch_counts_once(spark, tmp_dir, point, monkeypatch):
     assert sorted(r["id"] for r in read_ingested(spark, sink, ckpt).collect()) == list(range(40))
     again = incremental_ingest(spark, landing, "id long", sink, ckpt, max_files_per_trigger=1)
     assert log_rows(again) == log_rows(ingest_log(spark, ckpt)) == log_rows(log)
+
+
+def test_a_source_without_files(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/in")
+    log = incremental_ingest(spark, f"{tmp_dir}/in", "id long", f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
+    assert log_rows(log) == [] and log.columns == ["batch", "rows", "rows_total"]

@@ -1,4 +1,5 @@
-"""Summarise the physical plan of every registered query (after AQE ran):
+"""Summarise the physical plan of every core query (after AQE ran; of a query
+that writes tables on its way, the plan of its last step):
 shuffles, broadcasts, sorts, windows, scans with their pushed filters and
 read schemas. Usage: python tools/plan_report.py [sf_dir] > PLANS.md"""
 
@@ -10,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from quire.plans import catalog  # noqa: E402
 from quire.session import get_session  # noqa: E402
 
 
@@ -23,7 +24,7 @@ def main() -> None:
     spark = get_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
     print("| query | shuffles | broadcasts | sorts | windows | codegen stages | scans (columns read, pushed filters) |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         df = fn(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
