@@ -48,7 +48,7 @@ _ACCOUNT = re.compile(r"[\s:#=.]{0,3}(?:([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(
 _ASSIGNED = re.compile(r"""["']?[ \t]{0,3}(?:=|:)>?[ \t]{0,3}(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"'<>,;|]{8,512}))""")
 _KEY = re.compile(r"[A-Za-z0-9_-]{16,255}(?![A-Za-z0-9_-])")
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
-#: Cues are compared without the case of these letters; no place moves.
+#: Letters of cues, where a text cannot be lowered as a whole.
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZÉÚÑ", "abcdefghijklmnopqrstuvwxyzéúñ")
 
 
@@ -123,7 +123,9 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of every kind, in order of their start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended, kept or not
-    low = text.translate(_LOWER)
+    # Lower case as it is, unless a letter grows by it and places would move.
+    low = text.lower()
+    low = low if len(low) == len(text) else text.translate(_LOWER)
     for end, (kind, size) in _ANCHORS.iter(low):
         at = end - size + 1
         if kind == "email":
