@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, materialize, text_slices
-from .tokens import encoder, tokenizer_path
+from .tokens import ENCODE_BYTES, encoder, tokenizer_path
 
 END_ID = 2
 SEQUENCE = 1024
@@ -45,16 +45,17 @@ def piece_lengths(n: int, size: int = SEQUENCE) -> list[int]:
     return [first] * (first > 0) + [size] * (n // size)
 
 
-def _sized(path: str, end: bytes, size: int):
+def _sized(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "spaced")
         for batch in batches:
             n, crcs = [], []
-            for _, texts in text_slices(batch):
-                for t in texts:
-                    ids = memoryview(enc.encode(t) + end)
-                    n.append(len(ids) // 4)
-                    at, mine = 0, []
+            for _, texts in text_slices(batch, most=ENCODE_BYTES):
+                ids, ends = enc.encode_all(texts, end_id)
+                ids, at = memoryview(ids).cast("B"), 0
+                for stop in ends.tolist():
+                    n.append(stop - at)
+                    mine = []
                     for m in piece_lengths(n[-1], size):
                         mine.append(zlib.crc32(ids[4 * at:4 * (at + m)]))
                         at += m
@@ -67,7 +68,7 @@ def _sized(path: str, end: bytes, size: int):
 def token_sizes(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
     """Per document: token count and the crc32 of each piece's ids."""
     rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
-    return rows.mapInArrow(_sized(path, np.array([end_id], "<u4").tobytes(), size), SIZED_DDL)
+    return rows.mapInArrow(_sized(path, end_id, size), SIZED_DDL)
 
 
 def best_fit(sizes: np.ndarray, size: int) -> list[list[int]]:
@@ -247,24 +248,25 @@ def pieces(packed: DataFrame, size: int = SEQUENCE) -> DataFrame:
     return packed.mapInPandas(_piece_rows(size), PIECE_DDL)
 
 
-def _ids_of_pieces(path: str, end: bytes, size: int):
+def _ids_of_pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "spaced")
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                ids = np.frombuffer(enc.encode(text or b"") + end, "<u4").astype(np.int32)
-                lengths = piece_lengths(len(ids), size)
-                cut = np.split(ids, np.cumsum(lengths)[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()),
-                     pa.array([c.tolist() for c in cut], pa.list_(pa.int32()))], names=["doc_id", "piece", "ids"])
+            docs = batch.column("doc_id").to_pylist()
+            for first, texts in text_slices(batch):
+                ids, ends = enc.encode_all(texts, end_id)
+                for k, mine in enumerate(np.split(ids.astype(np.int32), ends[:-1])):
+                    cut = np.split(mine, np.cumsum(piece_lengths(len(mine), size))[:-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([docs[first + k]] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()),
+                         pa.array([c.tolist() for c in cut], pa.list_(pa.int32()))], names=["doc_id", "piece", "ids"])
     return run
 
 
 def sequences(docs: DataFrame, placed: DataFrame, path: str, end_id: int = END_ID, size: int = SEQUENCE) -> DataFrame:
     """The packed sequences themselves: (sequence_id, ids). Needs unique doc_id.
     Groups hold at most ``size`` ids, whatever the data."""
-    ids = id_text(docs).mapInArrow(_ids_of_pieces(path, np.array([end_id], "<u4").tobytes(), size),
+    ids = id_text(docs).mapInArrow(_ids_of_pieces(path, end_id, size),
                                    "doc_id long, piece int, ids array<int>")
     rows = placed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

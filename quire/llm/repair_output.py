@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, materialize, text_slices
-from .tokens import encoder, tokenizer_path
+from .tokens import ENCODE_BYTES, encoder, tokenizer_path
 
 END_ID = 1
 #: Tokens after which a block is closed (a longer document is a block of its own).
@@ -182,19 +182,22 @@ def document(row, k: int) -> np.ndarray:
     return g.expand(g.sequence[int(places[k]):int(places[k + 1]) if k + 1 < len(places) else None])
 
 
-def _shards(path: str, end: bytes, block_tokens: int):
+def _shards(path: str, end_id: int, block_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, block = encoder(path, "words"), TaskContext.get().partitionId(), 0
         ids: list = []
-        got: list[bytes] = []
+        got: list[memoryview] = []
         size = 0
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for first, texts in text_slices(batch):
-                for k, text in enumerate(texts):
+            for first, texts in text_slices(batch, most=ENCODE_BYTES):
+                flat, ends = enc.encode_all(texts, end_id)
+                flat, at = memoryview(flat).cast("B"), 0
+                for k, stop in enumerate(ends.tolist()):
                     ids.append(names[first + k])
-                    got.append(enc.encode(text) + end)
-                    size += len(got[-1]) // 4
+                    got.append(flat[4 * at:4 * stop])
+                    size += stop - at
+                    at = stop
                     if size >= block_tokens:
                         yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, _block(shard, block, ids, got)))], _BLOCK_ARROW)
                         ids, got, size, block = [], [], 0, block + 1
@@ -209,7 +212,7 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID, shards: int
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.xxhash64("text")
     ordered = id_text(docs).repartitionByRange(n, F.col("doc_id"), key).sortWithinPartitions(F.col("doc_id"), key)
-    return ordered.mapInArrow(_shards(path, np.array([end_id], "<u4").tobytes(), block_tokens), BLOCK_SCHEMA)
+    return ordered.mapInArrow(_shards(path, end_id, block_tokens), BLOCK_SCHEMA)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
