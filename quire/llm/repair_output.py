@@ -158,7 +158,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[Gra
     return Grammar(alphabet, rules.astype("<u4"), lengths.astype("<u4"), seq.astype("<u4")), ends
 
 
-def _block(shard: int, block: int, doc_ids: list, encoded: list[bytes]) -> list:
+def _block(shard: int, block: int, doc_ids: list, encoded: list) -> list:
     ids = np.frombuffer(b"".join(encoded), "<u4")
     n = np.array([len(e) // 4 for e in encoded], np.int64)
     ends = np.zeros(len(ids), bool)

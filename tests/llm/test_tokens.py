@@ -41,3 +41,23 @@ def test_parts_are_forgotten_in_bounds(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_BYTES", 100)
     assert [bound.encode_all(t)[0].tolist() for t in texts] == want
     assert len(bound.parts.keys) <= 2 * 202 < len(free.parts.keys) + 202
+
+
+def test_blocks_encode_by_slice_and_close_where_they_did(monkeypatch):
+    """The texts of a slice are encoded in one call; a block still closes after the document that fills it."""
+    import pyarrow as pa
+
+    from quire.llm import repair_output
+
+    path, calls = tokens.tokenizer_path("word_bpe_49k.json"), []
+    enc = tokens.Encoder(path, "words")
+    monkeypatch.setattr(enc, "encode_all", lambda *a, f=enc.encode_all: calls.append(a) or f(*a))
+    monkeypatch.setattr(repair_output, "encoder", lambda *a: enc)
+    monkeypatch.setattr(repair_output, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    texts = ["a b c", None, "a b c d e f g", "", "x", "a b c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    blocks = [r for b in repair_output._shards(path, 1, 5)(iter([batch])) for r in b.to_pylist()]
+    assert len(calls) == 1
+    assert [b["doc_ids"] for b in blocks] == [[0, 1], [2], [3, 4, 5]]
+    got = [repair_output.document(b, k).tolist() for b in blocks for k in range(len(b["doc_ids"]))]
+    assert got == [[*enc.parts.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
