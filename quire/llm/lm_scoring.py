@@ -19,6 +19,7 @@ and all train; without training documents every token costs 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, WordHash, crc_remainder, documents, id_text, materialize, mix, text_slices
+from .common import crc_remainder, documents, id_text, materialize, mix, text_slices
 
 FOLDS, HELD_OUT = 7, 2
 #: Least count of a pair that is an arc, whatever the corpus.
@@ -44,25 +45,51 @@ ROOT = -1  # place of a word that is not cached
 #: Key of a word in the tables: its place if cached, else its hash with this bit (so negative).
 RARE = np.uint64(1 << 63)
 
-_HASHES = WordHash()
+#: Text bytes of which pairs are counted, and that are scored, at a time.
+PAIR_BYTES, SCORE_BYTES = 32 << 20, 8 << 20
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
 
-def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys.sort()
+
+def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of ``n`` of each."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return keys[at], np.diff(np.append(at, len(keys)))
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens of ``texts`` (ascending), the number among
+    them of each token (words of a text, then its end), and where texts end."""
+    whole = (b"\n".join(texts) + b"\n").lower()
+    space = _SPACE[np.frombuffer(whole, np.uint8)]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    last = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(starts, last)  # words up to the text's end
+    # A word with the white space after it is one stretch of the bytes.
+    at = np.append(starts, len(whole))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(whole)]).dictionary_encode()
+    words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    spelt = np.fromiter((xxhash.xxh3_64_intdigest(w.rstrip()) for w in words), np.uint64, len(words))
+    hashes, number = np.unique(np.append(spelt, np.uint64(END)), return_inverse=True)
+    which = np.insert(number[found.indices.to_numpy()], upto, number[-1])
+    return hashes, which, upto + np.arange(1, len(texts) + 1)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (by hash) in the training texts of each batch."""
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        got, ends = [], 0
-        for first, texts in text_slices(batch):
+        keys, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for first, texts in text_slices(batch, most=PAIR_BYTES):
             train = [t for k, t in enumerate(texts) if crc_remainder(ids[first + k], FOLDS) != HELD_OUT]
-            ends += len(train)
-            got.append(_HASHES.array([w for t in train for w in t.lower().split()]))
-        keys, n = _tally(np.concatenate([*got, np.full(ends, END, np.uint64)]))
+            if train:
+                hashes, which, _ = _split(train)
+                keys.append(hashes)
+                n.append(np.bincount(which, minlength=len(hashes)))
+        keys, n = _tally(np.concatenate(keys), np.concatenate(n))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "c"])
 
 
@@ -82,16 +109,11 @@ class Automaton:
         state, word = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.weight = (np.log10((n - DISCOUNT) / counts[state] + self.left[state] * 10 ** self.unigram[word])
                        if len(self.pairs) else np.empty(0))
-        self.index: dict[bytes, int] = {}
         self.filter = np.zeros(FILTER_BITS // 8, np.uint8)
         self.rare = self.arcs = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "rare", "arcs")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.index = {}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rare", "arcs")}
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word hash, ROOT for those that have none."""
@@ -101,15 +123,6 @@ class Automaton:
         at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == hashes, at, ROOT)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word; those of a slice of text are looked up together."""
-        index, distinct = self.index, set(words)
-        if len(index) + len(distinct) > 2 * MEMO_WORDS:
-            index.clear()
-        new = list(distinct.difference(index))
-        index.update(zip(new, self.places(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))).tolist()))
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
     def traverse(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Weight of reading ``word`` in ``state``, as far as it is cached."""
         return self.read(state, word)[0]
@@ -131,40 +144,50 @@ class Automaton:
         return cost, missed
 
 
-def _paths(automaton: Automaton, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For all tokens in a row (words of a text, then its end): the key of the
-    word before and its own, the place of the two, and the text it is of."""
-    cut = [t.lower().split() for t in texts]
-    size = np.array([len(c) + 1 for c in cut])
-    last = np.cumsum(size) - 1
-    end = int(automaton.places(np.array([END], np.uint64))[0])
-    words = [w for c in cut for w in c]
-    word = np.empty(int(last[-1]) + 1, np.int64)
-    inner = np.ones(len(word), bool)
-    inner[last] = False
-    word[inner] = automaton.ids(words)
-    word[last] = end
-    key = word.copy()
-    out = np.flatnonzero(word[inner] == ROOT)
-    key[np.flatnonzero(inner)[out]] = (_HASHES.array([words[i] for i in out.tolist()]) | RARE).view(np.int64)
-    if end == ROOT:
-        key[last] = np.array([END | 1 << 63], np.uint64).view(np.int64)[0]
-
-    def before(x: np.ndarray) -> np.ndarray:  # a text starts in the state of the end
-        return np.concatenate([x[-1:], x[:-1]])
-
-    return before(key), key, before(word), word, np.repeat(np.arange(len(texts)), size)
-
-
-def _runs(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of ``keys``, in their order, and how often each occurs."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+def _keyed(automaton: Automaton, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and key (ascending) of the distinct tokens of ``texts``, the number
+    among them of each token, and where texts end."""
+    hashes, which, ends = _split(texts)
+    place = automaton.places(hashes)
+    key = np.where(place == ROOT, (hashes | RARE).view(np.int64), place)
+    order = np.argsort(key)
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    return place[order], key[order], number[which], ends
+
+
+def _before(which: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The token before each one; a text starts in the state of the end."""
+    out = np.empty_like(which)
+    out[1:] = which[:-1]
+    out[0] = which[ends[0] - 1]
+    return out
+
+
+def _runs(bounds: list[int], *keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``keys`` (from 0 to below their bounds), in their order, and how often each occurs."""
+    if math.prod(map(int, bounds)) >= 1 << 63:  # too many for one number
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        at = np.flatnonzero(new)
+        return [k[at] for k in keys], np.diff(np.append(at, len(order)))
+    code = np.zeros(len(keys[0]), np.int64)
+    for bound, k in zip(bounds, keys):
+        code *= bound
+        code += k
+    code.sort()
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
     at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.diff(np.append(at, len(order)))
+    n, code = np.diff(np.append(at, len(code))), code[at]
+    out = []
+    for bound in bounds[:0:-1]:
+        code, k = np.divmod(code, bound)
+        out.append(k)
+    return [code, *out[::-1]], n
 
 
 def _slots(s: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -178,12 +201,12 @@ def _pairs(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, texts in text_slices(batch):
+            for first, texts in text_slices(batch, most=PAIR_BYTES):
                 train = [t for k, t in enumerate(texts) if crc_remainder(ids[first + k], FOLDS) != HELD_OUT]
                 if train:
-                    before, key, *_ = _paths(model.value, train)
-                    (s, w), n = _runs(before, key)
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(w), pa.array(n.astype(np.int64))], names=["s", "w", "c"])
+                    _, key, which, ends = _keyed(model.value, train)
+                    (s, w), n = _runs([len(key)] * 2, _before(which, ends), which)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(key[w]), pa.array(n.astype(np.int64))], names=["s", "w", "c"])
     return run
 
 
@@ -219,21 +242,23 @@ def _scored(model):
         a = model.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, texts in text_slices(batch):
-                before, key, state, word, text = _paths(a, texts)
-                m, placed = len(texts), word != ROOT
-                cost, missed = a.read(state, word)
+            for first, texts in text_slices(batch, most=SCORE_BYTES):
+                m, (place, key, which, ends) = len(texts), _keyed(a, texts)
+                before, text = _before(which, ends), np.repeat(np.arange(m), np.diff(ends, prepend=0))
+                word = place[which]
+                placed = word != ROOT
+                cost, missed = a.read(place[before], word)
                 base = np.bincount(text[placed], a.unigram[word[placed]] if len(a.unigram) else None, minlength=m)
                 missed = np.flatnonzero(missed)
-                slot = _slots(before[missed], key[missed])
+                slot = _slots(key[before[missed]], key[which[missed]])
                 missed = missed[(a.filter[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-                (rt, rk), rn = _runs(text[~placed], key[~placed])
-                (mt, ms, mw), mn = _runs(text[missed], before[missed], key[missed])
+                (rt, rw), rn = _runs([m, len(key)], text[~placed], which[~placed])
+                (mt, ms, mw), mn = _runs([m, len(key), len(key)], text[missed], before[missed], which[missed])
                 cols = [batch.column("row").slice(first, m), batch.column("doc_id").slice(first, m),
                         pa.array([crc_remainder(i, FOLDS) == HELD_OUT for i in ids[first:first + m]], pa.bool_()),
                         pa.array(np.bincount(text, minlength=m), pa.int64()), pa.array(np.bincount(text[placed], minlength=m), pa.int64()),
                         pa.array(base, pa.float64()), pa.array(np.bincount(text, cost, minlength=m), pa.float64()),
-                        _lists(rt, m, h=rk, m=rn), _lists(mt, m, s=ms, w=mw, m=mn)]
+                        _lists(rt, m, h=key[rw], m=rn), _lists(mt, m, s=key[ms], w=key[mw], m=mn)]
                 yield pa.RecordBatch.from_arrays(cols, names=_SCORED)
     return run
 
