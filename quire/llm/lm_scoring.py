@@ -221,11 +221,17 @@ def _odds(model):
                 k = batch.column(name).to_numpy()
                 x = factor[np.maximum(k, 0)] if len(factor) else np.ones(len(k))
                 got.append(pa.array(x, pa.float64(), mask=k < 0))
-            got.append(pa.array(_slots(batch.column("s").to_numpy(), batch.column("w").to_numpy()) + 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s", "w", "c")), *got], names=["s", "w", "c", "fs", "fw", "slot"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s", "w", "c")), *got], names=["s", "w", "c", "fs", "fw"])
     return run
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit of each arc in the filter, from 1."""
+    for batch in batches:
+        slot = _slots(batch.column("s").to_numpy(), batch.column("w").to_numpy()) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(slot)], names=["slot"])
+
+
 _SCORED_DDL = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, path double, "
                "rare array<struct<h:long,m:long>>, missed array<struct<s:long,w:long,m:long>>")
 _SCORED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "path", "rare", "missed"]
@@ -308,17 +314,19 @@ def train(docs: DataFrame, counts: DataFrame, word_rate: float = WORD_RATE, pair
     model = Automaton(hashes, n, total, distinct, left, keys[order], often[order])
 
     # Odds of an arc against the failure arc; the factors of rare words are joined.
-    odds = materialize(pairs.mapInArrow(_odds(sc.broadcast(model)), "s long, w long, c long, fs double, fw double, slot long"), "odds")
-    blocks = odds.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    known, odds_ddl = sc.broadcast(model), "s long, w long, c long, fs double, fw double"
+    plain = pairs.where("s >= 0 and w >= 0").mapInArrow(_odds(known), odds_ddl)
+    odds = materialize(pairs.where("s < 0 or w < 0").mapInArrow(_odds(known), odds_ddl), "odds")
+    slots = pairs.select("s", "w").mapInArrow(_filled, "slot long")
+    blocks = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
     if blocks.num_rows:  # a block has 2^15 bits; blocks count from 1
         held = np.frombuffer(b"".join(blocks.column("bits").to_pylist()), np.uint8).reshape(blocks.num_rows, -1)
         model.filter.reshape(-1, held.shape[1])[blocks.column("b").to_numpy() - 1] = held
-    odds = odds.drop("slot")
     joined = odds.where("fs is null").drop("fs").join(rare, "s").withColumn("fs", 1 / (F.col("n") * F.col("left"))).select(odds.columns)
     odds = odds.where("fs is not null").unionByName(joined)
     floor = F.lit(float(total + distinct + 1))
     joined = odds.where("fw is null").drop("fw").join(rare.select(F.col("s").alias("w"), "n"), "w").withColumn("fw", floor / (F.col("n") + 1))
-    odds = odds.where("fw is not null").unionByName(joined.select(odds.columns))
+    odds = odds.where("fw is not null").unionByName(joined.select(odds.columns)).unionByName(plain)
     gain = F.log10(1 + (F.col("c") - DISCOUNT) * F.col("fs") * F.col("fw"))
     model.rare, model.arcs = rare, materialize(odds.select("s", "w", gain.alias("gain")), "arcs")
     return model

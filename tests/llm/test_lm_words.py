@@ -45,3 +45,14 @@ def test_runs_count_rows_whatever_the_bounds():
         keys, n = lm_scoring._runs(bounds, a, b, c)
         rows, times = np.unique(np.stack([a, b, c]), axis=1, return_counts=True)
         assert (np.stack(keys) == rows).all() and (n == times).all()
+
+
+def test_only_odds_of_rare_words_are_written(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(lm_scoring, "materialize", lambda df, name, f=lm_scoring.materialize: kept.setdefault(name, f(df, name)))
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d e", "d e a b"] * 8)]
+    docs = lm_scoring.id_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    lm_scoring.train(docs, lm_scoring.word_counts(docs), word_rate=0.2)
+    key = {(r["s"], r["w"]) for r in kept["arcs"].collect()}
+    assert key == {(r["s"], r["w"]) for r in kept["pairs"].collect()}
+    assert {(r["s"], r["w"]) for r in kept["odds"].collect()} == {(s, w) for s, w in key if s < 0 or w < 0} != key
