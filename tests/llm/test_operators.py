@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quire.llm import (decontaminate, host_rules, jaccard_join, lm_scoring, packing, pii, repair_output, substrings, token_counts,
+from quire.llm import (common, decontaminate, host_rules, jaccard_join, lm_scoring, packing, pii, repair_output, substrings, token_counts,
                        toxicity)
 from quire.llm.components import components
 from quire.llm.tokens import Encoder, tokenizer_path
@@ -240,6 +240,33 @@ def test_jaccard_crowded_columns(spark, monkeypatch, rng=np.random.default_rng(5
     assert {i: v[0]["component_id"] for i, v in got.items()} == want and 1 < len(set(want.values())) < 60
 
 
+def test_jaccard_writes_few_files(spark, monkeypatch, rng=np.random.default_rng(6)):
+    """Small tables have few files, however many partitions a shuffle has."""
+    monkeypatch.setattr(jaccard_join, "DIRECT", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rows = []
+    for i in range(160):
+        w = [f"g{i % 20}_{x}" for x in range(40)]
+        for at in rng.choice(40, rng.integers(0, 3), replace=False):
+            w[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(w)))
+    many = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    written = []
+    for module in (jaccard_join, common):
+        monkeypatch.setattr(module, "materialize", lambda df, name, f=module.materialize: written.append((name, f(df, name))) or written[-1][1])
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {i: v[0]["component_id"] for i, v in got.items()} == jaccard_components(rows)
+    assert {"classes", "shared", "pairs", "linked", "labels"} <= {name for name, _ in written}
+    assert {name: n for name, t in written if (n := len(t.inputFiles())) > spark.sparkContext.defaultParallelism} == {}
+
+
 def test_components_of_a_path(spark):
     order = np.random.default_rng(2).permutation(50).tolist()
     links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(49)] + [(100, 101)], "a long, b long")
