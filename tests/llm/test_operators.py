@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -267,6 +268,56 @@ def test_jaccard_writes_few_files(spark, monkeypatch, rng=np.random.default_rng(
     assert {name: n for name, t in written if (n := len(t.inputFiles())) > spark.sparkContext.defaultParallelism} == {}
 
 
+def near_copies(groups, size, rng, changed):
+    rows = []
+    for g in range(groups):
+        for k in range(size):
+            w = [f"g{g}_{x}" for x in range(120)]
+            for at in rng.choice(120, rng.integers(0, changed), replace=False):
+                w[at] = f"e{k}_{at}"
+            rows.append((g * size + k, " ".join(w)))
+    return rows
+
+
+def test_jaccard_compares_a_group_by_its_size(spark, monkeypatch, rng=np.random.default_rng(7)):
+    """A text is sent for about each row of a group, not for each pair."""
+    rows = near_copies(10, 12, rng, changed=2)
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, name, f=common.materialize: written.append((name, f(df, name))) or written[-1][1])
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: v[0]["component_id"] for i, v in got.items()} == jaccard_components(rows)
+    assert sum(t.count() for name, t in written if name in ("first", "pairs")) < 2 * len(rows)
+
+
+def test_jaccard_in_shares(spark, monkeypatch, rng=np.random.default_rng(8)):
+    """Pairs, sums and blocks in shares, and groups dealt out, give the same links."""
+    monkeypatch.setattr(jaccard_join, "SENT", (40, 40))
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "DIRECT", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rows = near_copies(6, 10, rng, changed=6)
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = jaccard_components(rows)
+    assert {i: v[0]["component_id"] for i, v in got.items()} == want and 6 < len(set(want.values())) < 60
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    rows = spark.range(2000).selectExpr("id", "xxhash64(id) AS h")
+
+    def shuffles():
+        return {m for m in re.findall(r"shuffle_(\d+)_", blocks.getAllBlocks().mkString(" "))}
+
+    before = shuffles()
+    written = common.materialize(rows.repartition("h").join(rows.groupBy("h").count(), "h"), "few")
+    for _ in range(20):  # files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - before and written.count() == 2000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_components_of_a_path(spark):
     order = np.random.default_rng(2).permutation(50).tolist()
     links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(49)] + [(100, 101)], "a long, b long")
