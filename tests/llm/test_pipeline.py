@@ -3,10 +3,11 @@
 import zlib
 
 import corpus_pipeline
-from quire.llm import decontaminate, pii, toxicity
+import numpy as np
+from quire.llm import common, decontaminate, pii, toxicity
 from quire.llm.common import materialize, read_table
 
-from .test_operators import jaccard_components
+from .test_operators import jaccard_components, near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,14 @@ def test_stages(spark):
         assert {r["doc_id"]: r["text"] for r in docs.collect()} == want, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.collect()} == set(want)
+
+
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    """Of each group one row stays, and a text is sent for about each row, not for each pair."""
+    rows = near_copies(4, 12, np.random.default_rng(9), changed=2)
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, name, f=common.materialize: written.append((name, f(df, name))) or written[-1][1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(jaccard_components(rows).values()))
+    assert sum(t.count() for name, t in written if name in ("first", "pairs")) < 2 * len(rows)
